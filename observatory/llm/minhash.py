@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from observatory.llm.arrow import filled, passes, utf8
+from observatory.llm.filters import bitmap
 from observatory.llm.shingles import mix, shingles
 from observatory.operators.components import connected_components
 from observatory.shared import cut
@@ -36,9 +37,6 @@ BLOCK = 64
 BLOCKS = 8
 #: Pairs with one text that one task verifies.
 PAIRS = 500
-#: Bits of the filter that spares texts without candidates; with more candidates than bits it spares none, and nothing else changes.
-FILTER_BITS = 1 << 24
-
 _ring: list[np.ndarray] = []
 
 
@@ -104,29 +102,21 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def shingle_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, shingles binary) of the texts whose id is in ``ids`` (column id).
 
-    A bitmap of the ids, of FILTER_BITS bits whatever their number, goes to all
-    workers and spares most other texts; a join then takes out the rest.
+    A bitmap of the ids goes to all workers and spares most other texts; a join
+    then takes out the rest.
     """
-    spark = df.sparkSession
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("long")
-    one = F.col("b") + 1  # the bitmap functions count from 1
-    parts = ids.select(bit.alias("b")).groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("m")).collect()
-    bits = np.zeros(FILTER_BITS // 8 + 4096, dtype=np.uint8)
-    for k, m in parts:
-        bits[(k - 1) * 4096 : (k - 1) * 4096 + len(m)] = np.frombuffer(bytes(m), np.uint8)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
+    hashed = F.xxhash64("id")
+    may_be = bitmap(ids.select(hashed.alias("h")), "h")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            at = b.column(2).to_numpy(zero_copy_only=False)
-            texts = filled(b.column(1).filter(pa.array(bits[(at >> 3)] >> (at & 7).astype(np.uint8) & 1 == 1)))
-            ids = b.column(0).filter(pa.array(bits[(at >> 3)] >> (at & 7).astype(np.uint8) & 1 == 1))
+            keep = pa.array(may_be(b.column(2).to_numpy(zero_copy_only=False)))
+            texts, ids = filled(b.column(1).filter(keep)), b.column(0).filter(keep)
             for low, high in passes(texts):
                 found, bounds = shingles(*utf8(texts.slice(low, high - low)))
                 yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array([found[bounds[i] : bounds[i + 1]].tobytes() for i in range(high - low)], pa.binary())], names=["id", "shingles"])
 
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("bit", bit)
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", hashed)
     return rows.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi")
 
 
