@@ -3,16 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from observatory.llm import lines, minhash, packing, toxicity
+from observatory.shared import cut
 from observatory.sources.tables import table
 
-STAGES: list = []
+#: Documents with a toxicity of this or more go.
+TOXIC = 0.5
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier, trained on this corpus' labels, rejects."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    scored = toxicity.scores(docs, model, keep=others)
+    return scored.where(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each line stays where it stands first; a document of which nothing is left goes."""
+    done = lines.dedup_lines(docs)
+    emptied = F.col("lines_removed").isNotNull() & (F.col("text") == "")
+    done = done.where(~emptied)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        done = done.withColumn("n_chars", F.when(F.col("lines_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return done.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest doc_id stays."""
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and where they stand in sequences."""
+    import public_tokenizers
+
+    return packing.harmonic_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("packing", pack),
+]
+
+#: A trained classifier and BPE are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs, name)
     return docs
