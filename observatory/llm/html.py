@@ -1,0 +1,295 @@
+"""Main text of web pages, with the site's template removed.
+
+Each page is read into a light element tree. The hash of every container element's
+subtree goes to Spark, which counts on how many pages of its host it stands; a
+subtree that stands on many of them is template and is deleted. What is left of the
+page's article, without elements that by name, class or id are not part of it, is
+its text.
+"""
+
+from __future__ import annotations
+
+import html as entities
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from observatory.llm.filters import bitmap
+
+#: A subtree is template if it stands on at least so many pages of its host ...
+LEAST_PAGES = 10
+#: ... and on at least this share of them.
+SHARE = 0.2
+#: Up to so many template hashes are broadcast (8 bytes each); beyond, pages get theirs by a join.
+BROADCAST_HASHES = 1_000_000
+
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.S)
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "math")}
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+#: Elements that a subtree is hashed for.
+_CONTAINER = frozenset("aside div dl fieldset figure footer form header main menu nav ol p section table ul".split())
+_DROPPED = frozenset("aside audio button canvas dialog embed fieldset footer form head header iframe input menu nav noscript object script select style svg template textarea title video".split())
+_HINTS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+_BODIES = frozenset("article articlebody content entry post story".split())
+#: A class such as no-sidebar says nothing of the element itself.
+_NEGATIONS = frozenset("has no with without".split())
+#: An open element that the start of another one closes.
+_ENDS = {t: frozenset(x.split()) for t, x in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
+_SCOPES = frozenset("ul ol dl table select article section main body html div td".split())
+_CLOSES_P = _BLOCK - frozenset("body br caption dd dt head html legend li option summary tbody td tfoot th thead title tr".split()) | {"li", "dd", "dt", "td", "tr"}
+
+
+class Page:
+    """Elements in document order: tag, attributes, parent, the range of events inside; events are texts and element starts."""
+
+    def __init__(self, source: str) -> None:
+        self.tag, self.attributes, self.parent = ["#root"], [""], [-1]
+        self.first, self.stop = [0], [0]
+        #: (element, text) for text; (element, None) where an element of its own block begins or ends.
+        self.events: list[tuple[int, str | None]] = []
+        self._read(source)
+
+    def _open(self, tag: str, attributes: str) -> int:
+        self.tag.append(tag)
+        self.attributes.append(attributes)
+        self.parent.append(self._stack[-1])
+        self.first.append(len(self.events))
+        self.stop.append(-1)
+        return len(self.tag) - 1
+
+    def _pop(self) -> None:
+        element = self._stack.pop()
+        self.stop[element] = len(self.events)
+        if self.tag[element] in _BLOCK:
+            self.events.append((self._stack[-1] if self._stack else 0, None))
+
+    def _close(self, tags: frozenset[str], scopes: frozenset[str]) -> None:
+        """Ends the innermost open element of ``tags`` unless one of ``scopes`` stands in between."""
+        for at in range(len(self._stack) - 1, 0, -1):
+            tag = self.tag[self._stack[at]]
+            if tag in tags:
+                while len(self._stack) > at:
+                    self._pop()
+                return
+            if tag in scopes:
+                return
+
+    def _read(self, source: str) -> None:
+        self._stack = [0]
+        at, search = 0, _MARKUP.search
+        while True:
+            found = search(source, at)
+            text = source[at : found.start() if found else len(source)]
+            if text:
+                self.events.append((self._stack[-1], text))
+            if not found:
+                break
+            at = found.end()
+            tag = found[2]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if found[1]:
+                if tag not in _VOID:
+                    self._close(frozenset((tag,)), frozenset() if tag in ("body", "html", "article", "main", "table", "div", "section") else frozenset(("article", "main")) - {tag})
+                continue
+            if tag in _CLOSES_P:
+                self._close(frozenset(("p",)), _SCOPES)
+            if tag in _ENDS:
+                self._close(_ENDS[tag], _SCOPES - {"td"} if tag in ("td", "th", "tr") else _SCOPES)
+            if tag in _BLOCK:
+                self.events.append((self._stack[-1], None))
+            element = self._open(tag, found[3])
+            if tag in _VOID or (found[3].endswith("/") and tag in ("svg", "math")):
+                self.stop[element] = len(self.events)
+            elif tag in _RAW:
+                end = _RAW[tag].search(source, at)
+                inside = source[at : end.start() if end else len(source)]
+                self.events.append((element, inside))
+                self.stop[element] = len(self.events)
+                at = end.end() if end else len(source)
+            else:
+                self._stack.append(element)
+        while self._stack:
+            self._pop()
+
+    def words(self, element: int) -> tuple[set[str], str]:
+        """(words of class and id, role)."""
+        out: set[str] = set()
+        role = ""
+        if self.attributes[element]:
+            for name, value in _ATTRIBUTE.findall(self.attributes[element]):
+                value = value.strip("\"'").lower()
+                if name.lower() in ("class", "id", "itemprop"):
+                    for x in value.split():
+                        parts = set(re.split(r"[^a-z]+", x))
+                        if not parts & _NEGATIONS:
+                            out |= parts
+                elif name.lower() == "role":
+                    role = value
+        return out, role
+
+    def facts(self) -> None:
+        """Fills size (text lengths inside), dropped (named as no part of an article) and hashes of containers."""
+        n = len(self.tag)
+        self.size, self.dropped, self.named, self.hashes = [0] * n, [False] * n, [set()] * n, [0] * n
+        parts: list[list[str]] = [[] for _ in range(n)]
+        texts = [""] * 0
+        del texts
+        for element, text in self.events:
+            if text is not None:
+                clean = " ".join(text.split())
+                self.size[element] += len(clean)
+                parts[element].append(clean)
+        for i in range(1, n):
+            words, role = self.words(i)
+            self.named[i] = words
+            structural = self.tag[i] in ("html", "body", "main", "article")
+            self.dropped[i] = self.tag[i] in _DROPPED or (bool(words & _HINTS or role in _ROLES) and (not structural or (self.tag[i] == "article" and bool(words & {"comment", "comments", "related", "promo", "sponsored", "ad"}))))
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            self.size[p] += self.size[i] if not self.dropped[i] else 0
+            own = f"<{self.tag[i]} {' '.join(sorted(self.named[i]))}>{' '.join(parts[i])}"
+            parts[p].append(own + "</>" if len(own) < 64 else f"#{xxhash.xxh3_64_hexdigest(own)}")
+            if self.tag[i] in _CONTAINER:
+                self.hashes[i] = xxhash.xxh3_64_intdigest(own)
+
+    def root(self) -> int:
+        """The article: the largest <article>, else <main>, else an element named as content, else the page."""
+        n = len(self.tag)
+        gone = [False] * n
+        for i in range(1, n):
+            gone[i] = self.dropped[i] or gone[self.parent[i]]
+        for wanted in (lambda i: self.tag[i] == "article", lambda i: self.tag[i] == "main" or "role" in self.attributes[i] and self.words(i)[1] == "main", lambda i: bool(self.named[i] & _BODIES) and self.tag[i] in ("div", "section", "td")):
+            found = [i for i in range(1, n) if not gone[i] and wanted(i) and self.size[i]]
+            if found:
+                return max(found, key=lambda i: (self.size[i], -i))
+        return 0
+
+    def text(self, template: frozenset[int] | set[int], host: bytes) -> str:
+        root = self.root()
+        marked = [i for i in range(1, len(self.tag)) if self.hashes[i] and not self.dropped[i] and template and key(host, self.hashes[i]) in template]
+        # a paragraph of the article, or most of it, that other pages repeat is still the article
+        marked = [i for i in marked if self._inside(i, root) and (root == 0 or self.tag[i] != "p") and 2 * self.size[i] < self.size[root]]
+        out = self._joined(root, set(marked))
+        return out if out or not marked else self._joined(root, set())
+
+    def _inside(self, i: int, root: int) -> bool:
+        return i != root and self.first[root] <= self.first[i] and (root == 0 or self.stop[i] <= self.stop[root]) and i > root
+
+    def _joined(self, root: int, template: set[int]) -> str:
+        n = len(self.tag)
+        gone = [False] * n
+        for i in range(root + 1, n):
+            gone[i] = self.dropped[i] or i in template or gone[self.parent[i]]
+        blocks: list[str] = []
+        run: list[str] = []
+        stop = self.stop[root] if root else len(self.events)
+        for element, text in self.events[self.first[root] : stop]:
+            if text is None:
+                if run:
+                    blocks.append("".join(run))
+                    run = []
+            elif not gone[element]:
+                run.append(entities.unescape(text) if "&" in text else text)
+        blocks.append("".join(run))
+        return " ".join(" ".join(blocks).split())
+
+
+def key(host: bytes, subtree: int) -> int:
+    x = xxhash.xxh3_64_intdigest(host + subtree.to_bytes(8, "little"))
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def host_of(url: str | None) -> bytes:
+    return re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").lower()).split("/", 1)[0].split("?", 1)[0].rpartition("@")[2].encode("utf-8", "surrogatepass")
+
+
+def _parsed(source: str | None) -> Page:
+    page = Page(source or "")
+    page.facts()
+    return page
+
+
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """Rows (host, subtree) of each page's distinct container subtrees, and (host, null) once a page; ``pages`` is (url, html)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hosts, keys = [], []
+            for url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                host = host_of(url)
+                page = _parsed(source)
+                found = {key(host, h) for h in page.hashes if h}
+                hosts += [key(host, 0)] * (len(found) + 1)
+                keys += [None, *found]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64())], names=["host", "subtree"])
+
+    return pages.mapInArrow(run, "host long, subtree long")
+
+
+def template_subtrees(df: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    """Rows (subtree): hashes, of host and subtree, of the subtrees that many pages of their host hold."""
+    counted = _subtrees(df.select(url_col, html_col)).groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    pages = counted.where("subtree is null").select("host", F.col("n").alias("pages"))
+    often = counted.where(F.col("subtree").isNotNull() & (F.col("n") >= least_pages))
+    return often.join(pages, "host").where(F.col("n") >= share * F.col("pages")).select("subtree").distinct()
+
+
+def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+    """Rows (id_col, url_col, text, n_chars): the main text of each page.
+
+    Character references are decoded, white space within and between blocks is one
+    space, the ends are trimmed. A null or empty page has the empty text; a null url
+    is a host of its own. Rows keep their number; equal rows give equal rows; other
+    columns are ignored. An empty table gives no rows.
+    """
+    spark = df.sparkSession
+    template = template_subtrees(df, url_col, html_col).persist()
+    types = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long"
+    pages = df.select(id_col, url_col, html_col)
+    names = [id_col, url_col, "text", "n_chars"]
+
+    def done(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
+
+    if template.count() <= broadcast_hashes:
+        found = np.array([r[0] for r in template.collect()], dtype=np.int64)
+        shared = spark.sparkContext.broadcast(found.tobytes())
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = frozenset(np.frombuffer(shared.value, np.int64).tolist())
+            for b in batches:
+                yield done(b, [_parsed(h).text(known, host_of(u)) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
+
+        return pages.mapInArrow(run, types)
+
+    may_be = bitmap(template, "subtree")
+    page = F.xxhash64(id_col, url_col, html_col)
+
+    def hits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, keys = [], []
+            for u, h, p in zip(*(c.to_pylist() for c in b.columns)):
+                host = host_of(u)
+                own = np.array([key(host, x) for x in set(_parsed(h).hashes) if x], dtype=np.int64)
+                own = own[may_be(own)].tolist() if len(own) else []
+                rows += [p] * len(own)
+                keys += own
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.int64())], names=["page", "subtree"])
+
+    own = pages.select(url_col, html_col, page.alias("page")).mapInArrow(hits, "page long, subtree long").join(template, "subtree").groupBy("page").agg(F.collect_set("subtree").alias("template"))
+
+    def run_joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield done(b, [_parsed(h).text(frozenset(k or ()), host_of(u)) for u, h, k in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))])
+
+    return pages.withColumn("page", page).join(own, "page", "left").select(id_col, url_col, html_col, "template").mapInArrow(run_joined, types)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from observatory.llm import bpe, fingerprints, lines, minhash, packing, toxicity
+from observatory.llm import bpe, fingerprints, html, lines, minhash, packing, toxicity
 from observatory.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.scores(docs, model)
     return scored.select("doc_id", F.coalesce(toxicity.held_out("doc_id", 5), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
