@@ -5,11 +5,12 @@ at every shift of the ring, gives all coordinates of the signature. Signatures a
 cut into bands; texts that share a band are candidates, and a link stands only if
 the full shingle sets say so.
 
-Equal sets are one representative. Within a band's bucket a representative is
-first compared with one pivot, so a group of copies costs as many comparisons as
-it has members; what the links found then leave apart is compared block by block,
-until no bucket holds two representatives of different components that have not
-been compared.
+Equal sets are one representative. Within a band's bucket each representative is
+compared with one pivot, so a group of copies costs as many comparisons as it has
+members. A pair of which both are linked to the pivot needs no comparison. A member
+that isn't linked to the pivot holds much that the pivot lacks, and whatever links
+to it must share some of that: so such members meet others in what they have beside
+the pivot, rarest shingles first, and only those pairs are compared.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from observatory.llm.arrow import filled, passes, utf8
@@ -31,10 +32,6 @@ COORDINATES = 128
 ROWS = 4
 #: Positions of the ring.
 RING = 1 << 20
-#: Members of a bucket whose comparison with all others is one block of work.
-BLOCK = 64
-#: Blocks of a bucket that one round takes.
-BLOCKS = 8
 #: Pairs with one text that one task verifies.
 PAIRS = 500
 _ring: list[np.ndarray] = []
@@ -74,9 +71,9 @@ def _totals(found: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, n, s1, s2, bands, low): set size, 128 bits of the set, band keys, low bytes of the signature.
+    """Rows (id, n, s1, s2, bands): set size, 128 bits of the set, band keys.
 
-    The last four are null for empty sets.
+    s1 and s2 are null for empty sets.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +87,12 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 none = n == 0
                 offsets = pa.array(np.arange(high - low + 1, dtype=np.int32) * keys.shape[1])
                 listed = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
-                lows = pa.array([None if e else x.tobytes() for e, x in zip(none, (signature & np.uint32(255)).astype(np.uint8))], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(low, high - low), pa.array(n, pa.int64()), *(pa.array(_totals(found, bounds, salt), mask=none) for salt in (0x2545F4914F6CDD1D, 0x6C8E9CF570932BD5)), listed, lows],
-                    names=["id", "n", "s1", "s2", "bands", "low"],
+                    [b.column(0).slice(low, high - low), pa.array(n, pa.int64()), *(pa.array(_totals(found, bounds, salt), mask=none) for salt in (0x2545F4914F6CDD1D, 0x6C8E9CF570932BD5)), listed],
+                    names=["id", "n", "s1", "s2", "bands"],
                 )
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, low binary")
+    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>")
 
 
 def shingle_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -120,46 +116,69 @@ def shingle_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> D
     return rows.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` (a, b, n: pairs that b may be in) whose sets are alike enough.
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b, linked, shared, beside) for the rows (a, b, n: pairs that b may be in, wide) of ``pairs``.
 
-    A text in many pairs is sent to as many tasks as it has blocks of PAIRS pairs.
+    shared counts what both sets hold; beside is, of wide pairs, what a holds and b
+    doesn't. A text in many pairs is sent to as many tasks as it has blocks of PAIRS
+    pairs.
     """
-    pairs = pairs.select("a", "b", F.ceil(F.col("n") / PAIRS).cast("int").alias("slots")).withColumn("slot", F.pmod(F.xxhash64("a"), "slots").cast("int"))
+    pairs = pairs.select("a", "b", "wide", F.ceil(F.col("n") / PAIRS).cast("int").alias("slots")).withColumn("slot", F.pmod(F.xxhash64("a"), "slots").cast("int"))
     right = pairs.select("b", "slots", "slot").distinct().join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(right, ["b", "slots", "slot"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
+            linked, shared, rest = [], [], []
+            for left, right, wide in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                merged = np.concatenate([x, y])
-                merged.sort()
-                shared = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(merged) - shared) and shared > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                common = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                n = int(common.sum())
+                shared.append(n)
+                linked.append(n > 0 and 100 * n >= percent * (len(x) + len(y) - n))
+                rest.append(x[~common].view(np.int64) if wide else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(shared, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["a", "b", "linked", "shared", "beside"])
 
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "left", "right", "wide").mapInArrow(run, "a long, b long, linked boolean, shared long, beside array<long>")
 
 
-def _alike_in_size(percent: int, x: str, y: str) -> F.Column:
+def _alike_in_size(percent: int, x: str, y: str) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _may_be_alike(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, n, low_a, low_b) whose signatures don't rule the link out.
+def _second_looks(stars: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a pivot's group that may be linked though not both are linked to the pivot.
 
-    A pair at the bound falls below this, six standard errors off, once in a thousand million times.
+    A link between a and b takes ``percent / (100 + percent)`` of their sizes' sum as
+    shared shingles. What a shares with the pivot falls short of that for b's of the
+    pivot's size and more, so a and b share shingles that the pivot lacks: at least
+    ``t`` of them, and so one of a's rarest, all but ``t - 1``. Smaller b's can do
+    with what both share with the pivot if that is enough; those are met by counts.
     """
-    bound = COORDINATES * (percent / 100 - 6.2 * (0.25 / COORDINATES) ** 0.5)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [int((np.frombuffer(x.as_buffer(), np.uint8) == np.frombuffer(y.as_buffer(), np.uint8)).sum()) >= bound for x, y in zip(b.column(3), b.column(4))]
-            yield b.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "n", "low_a", "low_b").mapInArrow(run, "a long, b long, n long")
+    apart = stars.where("not linked").select("b").distinct()
+    # a group of a pivot and one more has no second pair
+    groups = cut(stars.where("beside is not null").join(apart, "b").join(sizes.toDF("a", "size"), "a"), "groups")
+    least = groups.groupBy("b").agg(F.min("size").alias("least"))
+    short = F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100))
+    needed = F.ceil((F.col("size") + short) * percent / (100 + percent)) - F.col("shared")
+    members = groups.join(least, "b").withColumn("t", needed).select("b", "a", "size", "shared", "linked", "t", "beside")
+    held = members.select("b", "a", "linked", "t", F.size("beside").alias("own"), F.explode("beside").alias("shingle"))
+    often = held.groupBy("b", "shingle").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("outside")).where("n > 1 and outside > 0")
+    met = cut(held.join(often, ["b", "shingle"]), "beside")
+    # shingles that nobody else holds come first, and count
+    of_a = Window.partitionBy("b", "a")
+    alone = F.col("own") - F.count("*").over(of_a)
+    place = F.row_number().over(of_a.orderBy("n", "shingle")) + alone
+    seekers = met.where("not linked").withColumn("place", place).where(F.col("place") <= F.col("own") - F.greatest("t", F.lit(1)) + 1)
+    seekers = seekers.select("b", "shingle", F.col("a").alias("x"))
+    holders = met.select("b", "shingle", F.col("a").alias("y"))
+    one = seekers.join(holders, ["b", "shingle"]).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    part = members.select("b", "a", "size", "shared", "linked", "t")
+    left = part.where("not linked and t < 1").select("b", F.col("a").alias("x"), F.col("size").alias("x_size"), F.col("shared").alias("x_shared"))
+    right = part.where((100 + percent) * F.col("shared") >= percent * F.col("size"))
+    bound = percent * (F.col("x_size") + F.col("size"))
+    two = left.join(right, "b").where((F.col("x") != F.col("a")) & ((100 + percent) * F.col("x_shared") >= bound) & ((100 + percent) * F.col("shared") >= bound))
+    return one.union(two.select(F.greatest("x", "a").alias("a"), F.least("x", "a").alias("b"))).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -174,45 +193,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     sketch = cut(sketches(df, id_col, text_col), "sketches")
     named = sketch.where("id is not null and s1 is not null")
-    heads = named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands", "low")))
+    heads = named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands")))
     heads = cut(heads, "heads")
     equal = heads.select("s1", "s2", "rep")
-    keyed = heads.select("rep", "n", F.explode("bands").alias("key"))
-    order = F.struct(F.xxhash64("rep", "key"), "rep")
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min_by(F.struct("rep", "n"), order).alias("p")).where("size > 1")
-    buckets = cut(buckets.select("key", "size", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")), "buckets")
-    members = cut(keyed.join(buckets, "key"), "members")
-
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        return rows.where(_alike_in_size(percent, "n", "pivot_n")).groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.max("size").alias("n"))
-
-    pairs = cut(pairs_of(members.where("rep <> pivot")), "pairs")
-    sets = cut(shingle_sets(df, members.select(F.col("rep").alias("id")).distinct(), id_col, text_col), "sets")
+    keyed = heads.select("rep", "copies", F.explode("bands").alias("key"))
+    # a set that many rows share is likely what others were copied from
+    order = F.struct(-F.col("copies"), F.xxhash64("rep"), "rep")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min_by("rep", order).alias("pivot")).where("size > 1")
+    members = keyed.join(cut(buckets, "buckets"), "key").where("rep <> pivot").groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.max("size").alias("n"))
+    members = cut(members.withColumn("wide", F.col("n") > 2), "members")
+    sizes = heads.select(F.col("rep").alias("id"), "n")
+    sets = cut(shingle_sets(df, members.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col), "sets")
+    stars = cut(compared(members, sets, percent), "stars")
+    looks = _second_looks(stars, sizes, percent).join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b").where(_alike_in_size(percent, "a_n", "b_n"))
+    looks = cut(looks.select("a", "b"), "looks")
+    times = looks.groupBy("b").agg(F.count("*").alias("n"))
+    looks = looks.join(times, "b").withColumn("wide", F.lit(False))
     # an id with several texts is one document
     several = named.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("id")
     several = named.join(several, "id").join(equal, ["s1", "s2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = cut(verified(pairs, sets, percent).union(several), "links")
-    while True:
-        component = connected_components(links, "a", "b")
-        now = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        apart = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        now = now.join(apart, "key").select("key", "rep", "n", "size", "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key", "rep"), "blocks"))
-        now = cut(now, "apart")
-        found, done, most = None, 0, now.agg(F.max("blocks")).first()[0] or 0
-        while done < most and found is None:
-            # a pair is compared in the first round that has either of its blocks
-            pivots = now.where((F.col("block") >= done) & (F.col("block") < done + BLOCKS)).select("key", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), F.col("block").alias("pivot_block"))
-            near = now.join(pivots, "key").where((F.col("component") != F.col("pivot_component")) & ((F.col("block") >= done + BLOCKS) | (F.col("rep") < F.col("pivot"))) & (F.col("block") >= done))
-            near = cut(pairs_of(near), "pairs")
-            low = heads.select("rep", "low")
-            near = _may_be_alike(near.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b"), percent)
-            more = cut(verified(near, sets, percent), "links")
-            done += BLOCKS
-            if more.head(1):
-                found = more
-        if found is None:
-            break
-        links = cut(links.union(found), "links")
+    links = stars.where("linked").select("a", "b").union(compared(looks, sets, percent).where("linked").select("a", "b")).union(several)
+    component = connected_components(links, "a", "b")
     group = equal.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     by_row = sketch.join(group, ["s1", "s2"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return by_row.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from observatory.llm import bpe, fingerprints, html, lines, minhash, packing, toxicity
+from observatory.llm import bpe, fingerprints, lines, minhash, packing, pages, toxicity
 from observatory.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,4 +63,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract_main_text(table(spark, sf_dir, "pages"))
+    return pages.extract_main_text(table(spark, sf_dir, "pages"))
