@@ -24,9 +24,11 @@ SAMPLE = 20_000
 #: Vectors that a list holds, about.
 LIST_ROWS = 400
 MOST_LISTS = 4096
-#: Share of the lists that a query reads ...
-PROBE_SHARE = 0.25
-#: ... and vectors that its lists hold together, at least.
+#: Share of the sample's true neighbours that the lists read have to hold; sets how many lists a query reads ...
+TARGET = 0.97
+#: ... and queries of the sample that it is measured on.
+TRIALS = 200
+#: Vectors that a query's lists hold together, at least.
 PROBE_ROWS = 4000
 #: Candidates for each neighbour asked for that are ranked again by their vectors.
 RERANK = 15
@@ -86,6 +88,23 @@ def fit(sample: np.ndarray, lists: int, parts: int) -> Quantiser:
     return q
 
 
+def lists_to_read(q: Quantiser, sample: np.ndarray, k: int, target: float = TARGET, trials: int = TRIALS) -> int:
+    """How many of its nearest lists a query reads so that they hold ``target`` of the true neighbours.
+
+    Measured by brute force within the sample, whose neighbours lie further apart
+    than those among all vectors, so on the safe side.
+    """
+    asked = sample[:trials]
+    if len(sample) < 2:
+        return len(q.coarse)
+    s = asked @ sample.T
+    s[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    near = np.argsort(-s, axis=1)[:, : min(k, len(sample) - 1)]
+    place = np.argsort(np.argsort(-(asked @ q.coarse.T), axis=1, kind="stable"), axis=1)
+    needed = np.take_along_axis(place, q.lists(sample)[near], axis=1) + 1
+    return int(np.ceil(np.quantile(needed, target)))
+
+
 def usable(vector: str) -> Column:
     """Not null or zero, without null or non-finite components."""
     finite = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
@@ -96,7 +115,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dims)
 
 
-def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, probe_share: float = PROBE_SHARE, probe_rows: int = PROBE_ROWS) -> DataFrame:
+def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, target: float = TARGET, probe_rows: int = PROBE_ROWS) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k vectors of largest inner product with each query vector.
 
     ``query`` is true for the rows that are queries; a query's own id is no
@@ -104,9 +123,10 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
     that are null, zero or hold null or non-finite components, and rows with null
     ids, take no part, nor do vectors of another length than most; rows that repeat
     an id count once, by their smallest vector. The centroids are fitted on at most
-    ``sample`` vectors; all are indexed. A query reads lists until they hold
-    max(``probe_share`` of the lists, ``probe_rows`` vectors), so with fewer vectors
-    than that the result is exact up to the quantised pre-selection of k * RERANK.
+    ``sample`` vectors; all are indexed. A query reads as many lists as hold
+    ``target`` of the true neighbours in the sample, and so many that they hold
+    ``probe_rows`` vectors; with fewer vectors than that the result is exact up to
+    the quantised pre-selection of k * RERANK.
     An empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
@@ -137,7 +157,7 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
     for r in entries.groupBy("list").count().collect():
         held[r[0]] = r[1]
     blocks = np.maximum(1, -(-held // BLOCK_ROWS))
-    least = max(1, int(np.ceil(probe_share * n_lists)))
+    least = lists_to_read(q, x, k, target)
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = index.value
