@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from observatory.llm import ann, bpe, fingerprints, lines, minhash, packing, pages, sharding, toxicity
+from observatory.llm import ann, bpe, chat, fingerprints, lines, minhash, packing, pages, sharding, toxicity
 from observatory.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,33 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.as_calls(table(spark, sf_dir, "conversations"))
+    schema = [("reply", "prompt", "string", True), ("reply", "turn", "integer", True), ("reply", "length", "integer", False)]
+    schemas = spark.createDataFrame(schema, "name string, param string, type string, required boolean")
+    return chat.link_tool_calls(calls, results, schemas).withColumn("errors", F.array_join("errors", ","))
+
+
+ORACLE_SQL["op3_tool_calls"] = """
+WITH calls AS (
+  SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, coalesce(text, '') AS prompt
+  FROM conversations WHERE lower(role) = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), results AS (
+  SELECT conv_id, turn, 'call-' || conv_id || '-' || (turn - 1) AS call_id, text AS content
+  FROM conversations WHERE lower(role) = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM calls
+), linked AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.place, c.turn, c.prompt, r.content,
+    CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'ok' END AS status
+  FROM placed c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+)
+SELECT conv_id, call_id, place, status, '' AS errors,
+  '{"arguments":' || CASE WHEN place IS NULL THEN 'null' ELSE '{"length":' || length(prompt) || ',"prompt":' || to_json(prompt) || ',"turn":' || turn || '}' END
+  || ',"call_id":' || to_json(call_id) || ',"name":' || CASE WHEN place IS NULL THEN 'null' ELSE '"reply"' END
+  || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS message
+FROM linked
+"""
