@@ -46,14 +46,14 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = True
 
     def learn(self, words: list[str]) -> None:
-        if len(self) + len(words) > CACHE_ENTRIES:
-            self.clear()
         for low in range(0, len(words), 20_000):
             part = words[low : low + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         self.learn(sorted(set().union(*split).difference(self)))
         return [b"".join(map(self.__getitem__, words)) for words in split]
