@@ -79,43 +79,59 @@ def _lines(text: str) -> list[str]:
     return [x.strip() for x in text.split("\n")]
 
 
-def _occurrences(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """Rows (id, mark, pos, n, h1, h2, keys), one per line that isn't blank; mark tells texts of one id apart."""
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """Rows (id, mark, pos, h1, h2), one per line that isn't blank; mark tells texts of one id apart."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, 500):
                 part = b.slice(low, 500)
-                out: list[list] = [[] for _ in range(6)]
-                for i, mark, text in zip(*(c.to_pylist() for c in part.columns)):
+                out: list[list] = [[] for _ in range(4)]
+                for row, text in enumerate(part.column(2).to_pylist()):
                     for pos, line in enumerate(_lines(text)):
                         if line:
                             h1, h2 = _both(line.encode("utf-8", "surrogatepass"))
-                            for column, v in zip(out, (i, mark, pos, h1, h2, halves(line) if edits and len(line) >= least - 1 else None)):
+                            for column, v in zip(out, (row, pos, h1, h2)):
                                 column.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["id", "mark", "pos", "h1", "h2", "keys"])
+                at = pa.array(out[0], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["id", "mark", "pos", "h1", "h2"])
 
-    return docs.mapInArrow(run, "id long, mark long, pos int, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(run, "id long, mark long, pos int, h1 long, h2 long")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (h1, h2, line) of the distinct lines in ``wanted`` (h1, h2)."""
-    may_be = bitmap(wanted, "h1")
+def _half_keys(docs: DataFrame, least: int) -> DataFrame:
+    """Rows (key, h1) of the halves of all lines that may have a neighbour."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[tuple[int, int], str] = {}
-            for text in b.column(0).to_pylist():
-                lines = [x for x in _lines(text) if x]
-                if lines:
-                    keys = [_both(x.encode("utf-8", "surrogatepass")) for x in lines]
-                    for k, x, y in zip(keys, lines, may_be(np.array([k[0] for k in keys], dtype=np.int64)).tolist()):
-                        if y:
-                            found[k] = x
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.string())], names=["h1", "h2", "line"])
+            for low in range(0, b.num_rows, 500):
+                found = {x: 0 for text in b.column(0).slice(low, 500).to_pylist() for x in _lines(text) if len(x) >= least - 1}
+                keys = [k for x in found for k in halves(x)]
+                own = [h for x in found for h in (_both(x.encode("utf-8", "surrogatepass"))[0],) * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(own, pa.int64())], names=["key", "h1"])
+
+    return docs.select("text").mapInArrow(run, "key long, h1 long")
+
+
+def _candidates(docs: DataFrame, shared: DataFrame, least: int) -> DataFrame:
+    """Rows (h1, h2, line) of the distinct lines of which a half is in ``shared`` (key)."""
+    may_be = bitmap(shared, "key")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 500):
+                lines = list({x: 0 for text in b.column(0).slice(low, 500).to_pylist() for x in _lines(text) if len(x) >= least - 1})
+                keys = np.array([halves(x) for x in lines], dtype=np.int64).reshape(-1, 4)
+                at = np.flatnonzero(may_be(keys).any(axis=1))
+                own = [_both(lines[i].encode("utf-8", "surrogatepass")) for i in at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k[0] for k in own], pa.int64()), pa.array([k[1] for k in own], pa.int64()), pa.array([lines[i] for i in at], pa.string()), pa.array(keys[at].tolist(), pa.list_(pa.int64()))], names=["h1", "h2", "line", "keys"]
+                )
 
-    return docs.select("text").mapInArrow(run, "h1 long, h2 long, line string").join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    rows = docs.select("text").mapInArrow(run, "h1 long, h2 long, line string, keys array<long>").groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min("keys").alias("keys"))
+    rows = cut(rows, "half-lines")
+    sure = rows.select("h1", "h2", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h1", "h2").distinct()
+    return rows.join(sure, ["h1", "h2"], "left_semi").select("h1", "h2", "line")
 
 
 def _variants(lines: DataFrame, least: int) -> DataFrame:
@@ -138,10 +154,9 @@ def _variants(lines: DataFrame, least: int) -> DataFrame:
 
 def _near_earlier(docs: DataFrame, unique: DataFrame, least: int) -> DataFrame:
     """Rows (h1, h2) of the lines that have an earlier line within one edit."""
-    keyed = unique.where("keys is not null").select("h1", "h2", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = cut(keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct(), "candidates")
-    lines = cut(_texts(docs, wanted).join(unique.select("h1", "h2", "first"), ["h1", "h2"]), "lines")
+    shared = _half_keys(docs, least).groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key")
+    found = _candidates(docs, cut(shared, "halves"), least)
+    lines = cut(found.join(unique, ["h1", "h2"]), "lines")
     variants = cut(_variants(lines, least), "variants")
     own = F.struct("first", "h1", "h2")
     met = variants.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("self"), own)).alias("base"), F.min(F.when(~F.col("self"), own)).alias("least")).where("n > 1").drop("n")
@@ -177,15 +192,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     way. Rows keep their number.
     """
     docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    found = cut(_occurrences(docs, edits, least), "occurrences")
-    unique = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "pos")).alias("first"), F.first("keys").alias("keys"))
-    unique = cut(unique, "unique")
-    verdict = unique.select("h1", "h2", "first", F.lit(False).alias("near"))
-    if edits:
-        near = _near_earlier(docs, unique, least)
-        verdict = cut(unique.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "verdicts")
+    found = cut(_occurrences(docs), "occurrences")
+    unique = cut(found.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "pos")).alias("first")), "unique")
     own = F.struct("id", "mark", "pos")
-    out = found.select("id", "mark", "pos", "h1", "h2").join(verdict, ["h1", "h2"]).where(F.col("near") | (own > F.col("first")))
+    out = found.join(unique, ["h1", "h2"])
+    if edits:
+        near = cut(_near_earlier(docs, unique, least), "near").withColumn("near", F.lit(True))
+        out = out.join(near, ["h1", "h2"], "left").where(F.col("near").isNotNull() | (own > F.col("first")))
+    else:
+        out = out.where(own > F.col("first"))
     # a text's lines fit wherever the text does
     out = out.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.array_sort(F.collect_set("pos")).alias("__removed"))
     rows = df.drop("lines_removed")
