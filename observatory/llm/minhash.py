@@ -6,11 +6,11 @@ cut into bands; texts that share a band are candidates, and a link stands only i
 the full shingle sets say so.
 
 Equal sets are one representative. Within a band's bucket each representative is
-compared with one pivot, so a group of copies costs as many comparisons as it has
-members. A pair of which both are linked to the pivot needs no comparison. A member
-that isn't linked to the pivot holds much that the pivot lacks, and whatever links
-to it must share some of that: so such members meet others in what they have beside
-the pivot, rarest shingles first, and only those pairs are compared.
+compared with one pivot and with the bucket's hub, so a group of copies costs as many
+comparisons as it has members. A pair of which both are linked to the hub needs no
+comparison. A member that isn't linked to the hub holds much that the hub lacks, and
+whatever links to it must share some of that: so such members meet others in what
+they have beside the hub, rarest shingles first, and only those pairs are compared.
 """
 
 from __future__ import annotations
@@ -146,33 +146,51 @@ def _alike_in_size(percent: int, x: str, y: str) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def _hub_pairs(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, wide) of the members of all buckets of three and more with their bucket's hub.
+
+    Of the pivots that a bucket's members met in any bucket, its hub is the one with
+    most links. So the buckets of a large group, whatever their pivots, share a hub
+    that most of the group is linked to, and their members are one group of it.
+    """
+    links = stars.groupBy("b").agg(F.count("*").alias("links"))
+    met = members.select("rep", F.col("pivot").alias("b")).distinct().join(links, "b", "left")
+    best = met.groupBy("rep").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "b")).alias("best"))
+    wide = members.where("size > 2").select("key", "rep")
+    hub = wide.join(best, "rep").groupBy("key").agg(F.max("best").alias("hub")).select("key", F.col("hub.b").alias("b"))
+    pairs = cut(wide.join(hub, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "hub-pairs")
+    return pairs.join(pairs.groupBy("b").agg(F.count("*").alias("n")), "b").withColumn("wide", F.col("n") > 1)
+
+
 def _second_looks(stars: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of a pivot's group that may be linked though not both are linked to the pivot.
+    """Pairs (a, b) of members of a pivot's group that may be linked though not both are linked to the hub.
 
     A link between a and b takes ``percent / (100 + percent)`` of their sizes' sum as
-    shared shingles. What a shares with the pivot falls short of that for b's of the
-    pivot's size and more, so a and b share shingles that the pivot lacks: at least
+    shared shingles. What a shares with the hub falls short of that for b's of the
+    hub's size and more, so a and b share shingles that the hub lacks: at least
     ``t`` of them, and so one of a's rarest, all but ``t - 1``. Smaller b's can do
-    with what both share with the pivot if that is enough; those are met by counts.
+    with what both share with the hub if that is enough; those are met by counts.
     """
     apart = stars.where("not linked").select("b").distinct()
-    # a group of a pivot and one more has no second pair
+    # a group of a hub and one more has no second pair
     groups = cut(stars.where("beside is not null").join(apart, "b").join(sizes.toDF("a", "size"), "a"), "groups")
     least = groups.groupBy("b").agg(F.min("size").alias("least"))
     short = F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100))
     needed = F.ceil((F.col("size") + short) * percent / (100 + percent)) - F.col("shared")
     members = groups.join(least, "b").withColumn("t", needed).select("b", "a", "size", "shared", "linked", "t", "beside")
-    held = members.select("b", "a", "linked", "t", F.size("beside").alias("own"), F.explode("beside").alias("shingle"))
+    held = members.select("b", "a", "linked", "t", F.explode("beside").alias("shingle"))
     often = held.groupBy("b", "shingle").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("outside")).where("n > 1 and outside > 0")
     met = cut(held.join(often, ["b", "shingle"]), "beside")
-    # shingles that nobody else holds come first, and count
+    # Places by rarity, the same order for all; shingles that meet nobody come first and
+    # count. Of two that share t shingles beside the hub, the first one shared leaves
+    # t - 1 or more behind it on both sides.
     of_a = Window.partitionBy("b", "a")
-    alone = F.col("own") - F.count("*").over(of_a)
-    place = F.row_number().over(of_a.orderBy("n", "shingle")) + alone
-    seekers = met.where("not linked").withColumn("place", place).where(F.col("place") <= F.col("own") - F.greatest("t", F.lit(1)) + 1)
-    seekers = seekers.select("b", "shingle", F.col("a").alias("x"))
-    holders = met.select("b", "shingle", F.col("a").alias("y"))
-    one = seekers.join(holders, ["b", "shingle"]).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    behind = F.count("*").over(of_a) - F.row_number().over(of_a.orderBy("n", "shingle"))
+    met = met.withColumn("behind", behind)
+    wanted = F.greatest("t", F.lit(1)) - 1
+    seekers = met.where(~F.col("linked") & (F.col("behind") >= wanted)).select("b", "shingle", F.col("a").alias("x"), wanted.alias("wanted"))
+    holders = met.select("b", "shingle", F.col("a").alias("y"), "behind")
+    one = seekers.join(holders, ["b", "shingle"]).where("x <> y and behind >= wanted").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     part = members.select("b", "a", "size", "shared", "linked", "t")
     left = part.where("not linked and t < 1").select("b", F.col("a").alias("x"), F.col("size").alias("x_size"), F.col("shared").alias("x_shared"))
     right = part.where((100 + percent) * F.col("shared") >= percent * F.col("size"))
@@ -200,19 +218,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a set that many rows share is likely what others were copied from
     order = F.struct(-F.col("copies"), F.xxhash64("rep"), "rep")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min_by("rep", order).alias("pivot")).where("size > 1")
-    members = keyed.join(cut(buckets, "buckets"), "key").where("rep <> pivot").groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.max("size").alias("n"))
-    members = cut(members.withColumn("wide", F.col("n") > 2), "members")
+    members = cut(keyed.join(cut(buckets, "buckets"), "key").select("key", "rep", "pivot", "size"), "members")
+    first = members.where("rep <> pivot").groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.max("size").alias("n")).withColumn("wide", F.lit(False))
     sizes = heads.select(F.col("rep").alias("id"), "n")
-    sets = cut(shingle_sets(df, members.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col), "sets")
-    stars = cut(compared(members, sets, percent), "stars")
-    looks = _second_looks(stars, sizes, percent).join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b").where(_alike_in_size(percent, "a_n", "b_n"))
+    sets = cut(shingle_sets(df, members.select(F.col("rep").alias("id")).distinct(), id_col, text_col), "sets")
+    stars = cut(compared(first, sets, percent), "stars").where("linked").select("a", "b")
+    hubs = cut(compared(_hub_pairs(members, stars), sets, percent), "hubs")
+    looks = _second_looks(hubs, sizes, percent).join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b").where(_alike_in_size(percent, "a_n", "b_n"))
     looks = cut(looks.select("a", "b"), "looks")
     times = looks.groupBy("b").agg(F.count("*").alias("n"))
     looks = looks.join(times, "b").withColumn("wide", F.lit(False))
     # an id with several texts is one document
     several = named.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("id")
     several = named.join(several, "id").join(equal, ["s1", "s2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = stars.where("linked").select("a", "b").union(compared(looks, sets, percent).where("linked").select("a", "b")).union(several)
+    links = stars.union(hubs.where("linked").select("a", "b")).union(compared(looks, sets, percent).where("linked").select("a", "b")).union(several)
     component = connected_components(links, "a", "b")
     group = equal.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     by_row = sketch.join(group, ["s1", "s2"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
