@@ -3,14 +3,14 @@
 Two lines within one edit either differ in one character, and are equal without
 the character at that place, or one of them is the other without a character.
 So each line emits hashed keys: itself, and itself without each of its characters,
-with the place (replaced characters) and without it (inserted ones). Lines that
+with the place (replaced characters) or without it (inserted ones). Lines that
 meet in a key are compared with the earliest line there only, because whatever
 meets in a key with a place is within one edit of all others there, and whatever
 meets in one without a place is within one edit of the line that is the key.
 
-Equal lines are one, and a line emits its neighbourhood only if another line of
-nearly its length has the same first or second half: one edit leaves one half
-alone, so no other line can have a neighbour.
+Equal lines are one, and a line emits only what another line may meet: one edit
+leaves one half alone, so there must be another line of nearly its length with the
+same first or second half, and the edit is in the other half.
 """
 
 from __future__ import annotations
@@ -53,15 +53,24 @@ def halves(line: str) -> list[int]:
     return out
 
 
-def neighbourhood(line: str) -> list[tuple[int, bool]]:
-    """(key, whether the key is the line itself) of all variants within one deletion."""
-    raw = line.encode("utf-32-le", "surrogatepass")
-    out = {(_signed(xxhash.xxh3_64_intdigest(raw, seed=0)), True)}
-    for i in range(0, len(raw), 4):
-        less = raw[:i] + raw[i + 4 :]
-        out.add((_signed(xxhash.xxh3_64_intdigest(less, seed=0)), False))
-        out.add((_signed(xxhash.xxh3_64_intdigest(less, seed=1 + i)), False))
-    return sorted(out)
+def neighbourhood(line: str, shared: set[int]) -> dict[int, bool]:
+    """Key to whether it is the line itself, of all variants within one deletion that another line may have.
+
+    ``shared`` are those of the line's halves that other lines have too. A shared
+    half, and the length it stands for, leave open only edits in the other half.
+    """
+    raw, n = line.encode("utf-32-le", "surrogatepass"), len(line)
+    first, last, longer_first, longer_last = (k in shared for k in halves(line))
+    h, g = n // 2, (n - 1) // 2
+    key = lambda x, seed: _signed(xxhash.xxh3_64_intdigest(x, seed=seed))
+    out = {}
+    for i in [*(range(h) if last else ()), *(range(h, n) if first else ())]:
+        out[key(raw[: 4 * i] + raw[4 * i + 4 :], 1 + i)] = False
+    for i in range(0 if longer_last else g, n if longer_first else g + 1 if longer_last else 0):
+        out[key(raw[: 4 * i] + raw[4 * i + 4 :], 0)] = False
+    if first or last:
+        out[key(raw, 0)] = True
+    return out
 
 
 def within_one_edit(a: str, b: str) -> bool:
@@ -130,26 +139,42 @@ def _candidates(docs: DataFrame, shared: DataFrame, least: int) -> DataFrame:
 
     rows = docs.select("text").mapInArrow(run, "h1 long, h2 long, line string, keys array<long>").groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min("keys").alias("keys"))
     rows = cut(rows, "half-lines")
-    sure = rows.select("h1", "h2", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    return rows.join(sure, ["h1", "h2"], "left_semi").select("h1", "h2", "line")
+    sure = rows.select("h1", "h2", F.explode("keys").alias("key")).join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set("key").alias("shared"))
+    return rows.join(sure, ["h1", "h2"]).select("h1", "h2", "line", "shared")
 
 
-def _variants(lines: DataFrame, least: int) -> DataFrame:
-    """Rows (key, self, h1, h2, first) of the lines' neighbourhoods."""
+def _variant_keys(lines: DataFrame) -> DataFrame:
+    """Rows (key, h1) of all neighbourhoods."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, 200):
                 part = b.slice(low, 200)
-                keys = [neighbourhood(x) for x in part.column(2).to_pylist()]
-                at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for k in keys for x, _ in k], pa.int64()), pa.array([y for k in keys for _, y in k], pa.bool_()), *(part.column(c).take(at) for c in (0, 1, 3, 4, 5))],
-                    names=["key", "self", "h1", "h2", "id", "mark", "pos"],
-                )
+                keys = [list(neighbourhood(x, set(k))) for x, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x for k in keys for x in k], pa.int64()), part.column(0).take(at)], names=["key", "h1"])
+
+    return lines.select("h1", "line", "shared").mapInArrow(run, "key long, h1 long")
+
+
+def _variants(lines: DataFrame, met: DataFrame) -> DataFrame:
+    """Rows (key, self, h1, h2, first) of the neighbourhoods, only of keys in ``met`` (key)."""
+    may_be = bitmap(met, "key")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 200):
+                part = b.slice(low, 200)
+                found = [neighbourhood(x, set(k)) for x, k in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                at = np.repeat(np.arange(len(found)), [len(k) for k in found])
+                keys = np.array([x for k in found for x in k], dtype=np.int64)
+                own = np.array([y for k in found for y in k.values()], dtype=bool)
+                keep = np.flatnonzero(may_be(keys)) if len(keys) else np.zeros(0, np.int64)
+                rows = pa.array(at[keep], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(own[keep], pa.bool_()), *(part.column(c).take(rows) for c in (0, 1, 4, 5, 6))], names=["key", "self", "h1", "h2", "id", "mark", "pos"])
 
-    out = lines.select("h1", "h2", "line", "first.id", "first.mark", "first.pos").mapInArrow(run, "key long, self boolean, h1 long, h2 long, id long, mark long, pos int")
-    return out.select("key", "self", "h1", "h2", F.struct("id", "mark", "pos").alias("first"))
+    out = lines.select("h1", "h2", "line", "shared", "first.id", "first.mark", "first.pos").mapInArrow(run, "key long, self boolean, h1 long, h2 long, id long, mark long, pos int")
+    return out.join(met, "key", "left_semi").select("key", "self", "h1", "h2", F.struct("id", "mark", "pos").alias("first"))
 
 
 def _near_earlier(docs: DataFrame, unique: DataFrame, least: int) -> DataFrame:
@@ -157,7 +182,8 @@ def _near_earlier(docs: DataFrame, unique: DataFrame, least: int) -> DataFrame:
     shared = _half_keys(docs, least).groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key")
     found = _candidates(docs, cut(shared, "halves"), least)
     lines = cut(found.join(unique, ["h1", "h2"]), "lines")
-    variants = cut(_variants(lines, least), "variants")
+    several = _variant_keys(lines).groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key")
+    variants = cut(_variants(lines, cut(several, "met")), "variants")
     own = F.struct("first", "h1", "h2")
     met = variants.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("self"), own)).alias("base"), F.min(F.when(~F.col("self"), own)).alias("least")).where("n > 1").drop("n")
     # in a key with a place there is no base, and the earliest line there is near all others;

@@ -27,8 +27,8 @@ from observatory.shared import cut
 CAPACITY = 4096
 #: A document's rest below this is not cut any further.
 LEAST = 64
-#: Entries after which a worker's cache of encoded words is dropped and begun anew.
-CACHE_ENTRIES = 500_000
+#: Entries after which a worker's cache of encoded words begins anew; words of the one before are taken over as they come up.
+CACHE_ENTRIES = 120_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -44,18 +44,23 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True
+        self.before: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        for low in range(0, len(words), 20_000):
-            part = words[low : low + 20_000]
+        for low in range(0, len(words), 5_000):
+            part = words[low : low + 5_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHE_ENTRIES:
+            self.before = self.copy()
             self.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(sorted(set().union(*split).difference(self)))
+        new = set().union(*split).difference(self)
+        known = new.intersection(self.before)
+        self.update((w, self.before[w]) for w in known)
+        self.learn(sorted(new - known))
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
@@ -92,8 +97,8 @@ def pieces(df: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text_co
         encode = encoder(raw.value).encode
         seen: dict[int, int] = {}
         for b in batches:
-            for low in range(0, b.num_rows, 1000):
-                part = b.slice(low, 1000)
+            for low in range(0, b.num_rows, 250):
+                part = b.slice(low, 250)
                 rows = []
                 for i, ids in zip(part.column(0).to_pylist(), encode([x or "" for x in part.column(1).to_pylist()])):
                     ids += final
