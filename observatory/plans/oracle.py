@@ -101,7 +101,7 @@ STEPS = {
     "evidence": """
         SELECT a.developer_id, t.topic, count(*) AS repositories, coalesce(sum(l.contributions), 0) AS contributions,
           CASE WHEN count(l.delta) > 0 THEN coalesce(sum(l.delta) FILTER (l.delta > 0), 0) END AS recent, CASE WHEN count(l.contributions) > 0 THEN count(*) FILTER (l.observations > 0) / count(l.contributions) ELSE 0 END AS history,
-          least(1, 0.6 * least(1, count(*) / 2.0) + 0.4 * coalesce(avg(least(l.share, 0.25)), 0) / 0.25) AS strength
+          least(1, 0.6 * least(1, count(*) / 2.0) + 0.4 * coalesce(avg(CASE WHEN l.share IS NOT NULL THEN least(l.share, 0.25) END), 0) / 0.25) AS strength
         FROM {assoc} a JOIN {repository_topics} t ON t.repository_id = a.repository_id LEFT JOIN {act_thin} l ON l.repository_id = a.repository_id AND l.developer_id = a.developer_id GROUP BY a.developer_id, t.topic""",
     "crossing": """
         SELECT x.developer_id, x.contributions + y.contributions AS contributions, n.distinct_repositories,
