@@ -32,8 +32,10 @@ TRIALS = 200
 PROBE_ROWS = 4000
 #: Candidates for each neighbour asked for that are ranked again by their vectors.
 RERANK = 15
-#: Vectors of a list that one task scores.
+#: Vectors of a list that are scored together ...
 BLOCK_ROWS = 4096
+#: ... by about so many queries.
+QUERY_ROWS = 1024
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -177,9 +179,10 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
             at = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lists, pa.int32()), pa.array(parts, pa.int32())], names=["id", "v", "list", "block"])
 
-    # queries of one list and block come together with its vectors, in runs of bounded size
+    # queries of one list and block come together with its vectors, in runs of about QUERY_ROWS
+    runs = max(1, -(-entries.where("q").count() // QUERY_ROWS))
     asked = entries.where("q").select("id", "v").mapInArrow(probe, "id long, v array<double>, list int, block int")
-    run_of = F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")
+    run_of = F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int")
     per_block = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "list int, blocks int")
     stored = entries.join(F.broadcast(per_block), "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     stored = stored.groupBy("list", "block").agg(F.sort_array(F.collect_list(F.struct("id", "codes"))).alias("e")).select("list", "block", F.col("e.id").alias("ids"), F.col("e.codes").alias("codes"))
