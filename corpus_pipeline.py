@@ -16,9 +16,10 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier, trained on this corpus' labels, rejects."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    scored = toxicity.scores(docs, model, keep=others)
-    return scored.where(F.col("score") < TOXIC).select(*docs.columns)
+    # under names of their own, whatever the columns are called
+    plain = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    scored = toxicity.scores(docs.withColumnsRenamed(plain), model, plain["doc_id"], plain["text"], tuple(n for c, n in plain.items() if c != "doc_id"))
+    return scored.where(F.col("score") < TOXIC).select(*(F.col(n).alias(c) for c, n in plain.items()))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
