@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from observatory.functions import expr, text
 from observatory.operators import developers as dev
 from observatory.operators import graph, quality, scoring, temporal
+from observatory.shared import cut
 from observatory.sources.domain import view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,20 +268,23 @@ def set_ops_except(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ref(s: SparkSession, d: str) -> Column:
-    return end_of(view(s, d, "lines"), "captured_at")
+    """The newest contribution: a two-column scan, not the joined lines."""
+    parts = view(s, d, "part").select(F.col("p_partkey").alias("l_partkey"))
+    rows = view(s, d, "lineitem").select("l_partkey", F.col("l_shipdate").cast("timestamp").alias("at")).join(parts, "l_partkey", "left_semi")
+    return end_of(rows, "at")
 
 
 def activity(s: SparkSession, d: str, links: str = "links", window: int = 30) -> DataFrame:
     deltas = temporal.anchored_deltas(view(s, d, "contributor_snapshots"), ["repository_id", "developer_id"], "captured_at", "contributions", _ref(s, d), (window,))
-    return dev.link_activity(view(s, d, links), deltas)
+    return cut(dev.link_activity(view(s, d, links), deltas), "activity")
 
 
 def repositories(s: SparkSession, d: str) -> DataFrame:
-    """With momentum and trend at the newest observation of all."""
+    """With momentum and trend at the newest observation of all; like ``activity`` written once, as several branches of a query read it."""
     ref = _ref(s, d)
     series = scoring.with_momentum(temporal.series_windows(view(s, d, "repository_snapshots"), "repository_id", "captured_at", ["stars", "forks", "pushed_at"]), ref)
     scored = series.withColumn("trend", scoring.trend(ref)).select(F.col("repository_id").alias("id"), "momentum", "trend")
-    return view(s, d, "repositories").select("id", "owner_id", "full_name").join(scored, "id", "left")
+    return cut(view(s, d, "repositories").select("id", "owner_id", "full_name").join(scored, "id", "left"), "repositories")
 
 
 @query
@@ -312,8 +316,12 @@ def topic_relevance(s: SparkSession, d: str) -> DataFrame:
 
 
 def _developers(s: SparkSession, d: str) -> DataFrame:
-    act, repos, topics = activity(s, d), repositories(s, d), view(s, d, "repository_topics")
-    scores = dev.activity_scores(act)
+    return _labelled(s, d, activity(s, d), repositories(s, d))
+
+
+def _labelled(s: SparkSession, d: str, act: DataFrame, repos: DataFrame) -> DataFrame:
+    topics = view(s, d, "repository_topics")
+    scores = cut(dev.activity_scores(act), "scores")
     eco = dev.ecosystem_scores(dev.topic_relevance(act, repos, topics), scores, repos, dev.associated(act, repos))
     followers = temporal.anchored_deltas(view(s, d, "developer_snapshots"), ["developer_id"], "captured_at", "followers", _ref(s, d), (30,))
     first = view(s, d, "links").groupBy("developer_id").agg(F.min("first_seen_at").alias("first_seen_at"))
@@ -356,7 +364,7 @@ def developers_filtered(s: SparkSession, d: str) -> DataFrame:
 @query
 def topic_developer_rollup(s: SparkSession, d: str) -> DataFrame:
     act, repos = activity(s, d), repositories(s, d)
-    out = dev.topic_rollup(dev.topic_relevance(act, repos, view(s, d, "repository_topics")), _developers(s, d))
+    out = dev.topic_rollup(dev.topic_relevance(act, repos, view(s, d, "repository_topics")), _labelled(s, d, act, repos))
     return out.select("topic", "developers", *r6("mean_relevance", "max_relevance"), "emerging", "active", "established", "quiet", "insufficient_history")
 
 
@@ -495,7 +503,8 @@ def category_overlap(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def developer_quality(s: SparkSession, d: str) -> DataFrame:
-    return quality.developer_quality(activity(s, d), _developers(s, d))
+    act = activity(s, d)
+    return quality.developer_quality(act, _labelled(s, d, act, repositories(s, d)))
 
 
 @query
