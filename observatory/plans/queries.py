@@ -256,12 +256,12 @@ def set_ops_union(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def set_ops_intersect(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "thin_links").select("developer_id").intersect(view(s, d, "repositories").select("owner_id"))
+    return view(s, d, "links").select("developer_id").intersect(view(s, d, "repositories").select("owner_id"))
 
 
 @query
 def set_ops_except(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "developers").select(F.col("id").alias("developer_id")).exceptAll(view(s, d, "thin_links").select("developer_id").distinct())
+    return view(s, d, "developers").select(F.col("id").alias("developer_id")).exceptAll(view(s, d, "links").select("developer_id").distinct())
 
 
 # ---- developers
@@ -274,9 +274,9 @@ def _ref(s: SparkSession, d: str) -> Column:
     return end_of(rows, "at")
 
 
-def activity(s: SparkSession, d: str, links: str = "links", window: int = 30) -> DataFrame:
+def activity(s: SparkSession, d: str, window: int = 30) -> DataFrame:
     deltas = temporal.anchored_deltas(view(s, d, "contributor_snapshots"), ["repository_id", "developer_id"], "captured_at", "contributions", _ref(s, d), (window,))
-    return cut(dev.link_activity(view(s, d, links), deltas), "activity")
+    return cut(dev.link_activity(view(s, d, "links"), deltas), "activity")
 
 
 def repositories(s: SparkSession, d: str) -> DataFrame:
@@ -368,11 +368,11 @@ def topic_developer_rollup(s: SparkSession, d: str) -> DataFrame:
     return out.select("topic", "developers", *r6("mean_relevance", "max_relevance"), "emerging", "active", "established", "quiet", "insufficient_history")
 
 
-# ---- graph, over links of ten contributions and more
+# ---- graph, over all links
 
 
 def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    links, repos = activity(s, d, "thin_links"), repositories(s, d)
+    links, repos = activity(s, d), repositories(s, d)
     return links, repos, dev.associated(links, repos), view(s, d, "repository_topics")
 
 
@@ -383,7 +383,7 @@ def graph_nodes(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def graph_edges(s: SparkSession, d: str) -> DataFrame:
-    return graph.edges(view(s, d, "thin_links"), view(s, d, "repositories"), view(s, d, "repository_topics"))
+    return graph.edges(view(s, d, "links"), view(s, d, "repositories"), view(s, d, "repository_topics"))
 
 
 @query

@@ -1,0 +1,36 @@
+"""The graph's queries over all links: their SQL without its minimum of contributions, on the smallest tables."""
+
+import duckdb
+import pytest
+
+from observatory.plans.oracle import ORACLE_SQL
+from observatory.plans.queries import QUERIES
+
+from test_oracle import TABLES, plain
+
+LEAST = " WHERE contributions >= 10"
+NAMES = sorted(k for k, v in ORACLE_SQL.items() if LEAST in v and k != "components")
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_takes_all_links(spark, sf_dir, duck, name):
+    got = QUERIES[name](spark, sf_dir)
+    want = duck.sql(ORACLE_SQL[name].replace(LEAST, ""))
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    left = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=str)
+    right = sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
+    assert left == right
+
+
+def test_names():
+    assert len(NAMES) == 17
