@@ -427,10 +427,8 @@ def centrality_topic(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def components(s: SparkSession, d: str) -> DataFrame:
-    """Of developers and repositories; topics would join nearly all."""
-    none = view(s, d, "repository_topics").limit(0)
-    links, repos = view(s, d, "thin_links").where("contributions >= 12"), view(s, d, "repositories")
-    return graph.components(graph.nodes(view(s, d, "developers"), repos, none), graph.edges(links, repos.where("id % 3 = 0"), none))
+    """Over all nodes and all three kinds of edges, even if they make one component."""
+    return graph.components(graph_nodes(s, d), graph_edges(s, d))
 
 
 @query
