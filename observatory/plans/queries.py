@@ -513,7 +513,7 @@ def evidence_ids(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def text_normalize(s: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("\t \x01 "), F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" \r\n")), F.lit("  "))
+    raw = F.concat(F.lit("\t \x01 "), F.replace("text", F.lit("\n"), F.lit(" \r\n")), F.lit("  "))
     return view(s, d, "documents").select("doc_id", text.normalize_payload(raw, 120).alias("payload"), F.md5(text.normalize_excerpt(raw, 10000)).alias("excerpt"))
 
 
