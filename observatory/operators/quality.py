@@ -42,6 +42,25 @@ def developer_quality(activity: DataFrame, labelled: DataFrame) -> DataFrame:
     return links.crossJoin(labelled.agg(F.count("*").alias("developers"), *counts))
 
 
+def link_windows(links: DataFrame, deltas: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """Per window: links, usable and complete ones, and developers with any such; ``deltas`` are ``anchored_deltas`` of contributions."""
+    keys = ["repository_id", "developer_id", "window_days"]
+    rows = links.select(*keys[:2], F.explode(F.array(*map(F.lit, windows))).alias("window_days")).join(deltas.select(*keys, "delta", "complete"), keys, "left")
+    per = rows.groupBy("window_days", "developer_id").agg(F.count("*").alias("n"), F.count("delta").alias("u"), F.count_if("complete").alias("c"))
+    return per.groupBy("window_days").agg(
+        F.sum("n").alias("links"), F.sum("u").alias("usable"), F.sum("c").alias("complete"), F.count("*").alias("developers"),
+        F.count_if(F.col("u") > 0).alias("developers_usable"), F.count_if(F.col("c") > 0).alias("developers_complete"),
+    )
+
+
+def repository_flags(repositories: DataFrame, newest: DataFrame, at: Column, stale_hours: int = 24) -> DataFrame:
+    """One row: repositories that are archived, forks, last observed ``stale_hours`` before ``at`` or longer, never observed; ``newest`` is (id, seen)."""
+    stale = F.unix_micros(at) - F.unix_micros("seen") >= stale_hours * 3_600_000_000
+    return repositories.join(newest, "id", "left").agg(
+        F.count("*").alias("repositories"), F.count_if("is_archived").alias("archived"), F.count_if("is_fork").alias("forked"), F.count_if(stale).alias("stale"), F.count_if(F.col("seen").isNull()).alias("never_observed"),
+    )
+
+
 def bundle(items: DataFrame, entity: str, order: list[str]) -> DataFrame:
     """``items`` with evidence_id E1, E2, ... by the columns of ``order`` within each entity."""
     return items.withColumn("evidence_id", F.concat(F.lit("E"), F.row_number().over(Window.partitionBy(entity).orderBy(*order)).cast("string")))

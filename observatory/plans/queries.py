@@ -505,6 +505,18 @@ def developer_quality(s: SparkSession, d: str) -> DataFrame:
     return quality.developer_quality(act, _labelled(s, d, act, repositories(s, d)))
 
 
+@query
+def developer_quality_windows(s: SparkSession, d: str) -> DataFrame:
+    deltas = temporal.anchored_deltas(view(s, d, "contributor_snapshots"), ["repository_id", "developer_id"], "captured_at", "contributions", _ref(s, d))
+    return quality.link_windows(view(s, d, "links"), deltas, temporal.WINDOWS)
+
+
+@query
+def quality_flags(s: SparkSession, d: str) -> DataFrame:
+    newest = dense(s, d).groupBy(F.col("repository_id").alias("id")).agg(F.max("captured_at").alias("seen"))
+    return quality.repository_flags(view(s, d, "dense_repositories"), newest, end_of(dense(s, d), "captured_at"))
+
+
 @query
 def evidence_ids(s: SparkSession, d: str) -> DataFrame:
     rows = view(s, d, "events").select("event_id", F.concat(F.lit("see E"), F.col("event_id") % 17, F.lit(" and E2, not xE3 or E"), F.col("user_id")).alias("t"))
