@@ -132,7 +132,9 @@ def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of plain conversations: each user turn calls the tool ``reply``.
 
     The assistant's turn behind it is the result of that call, and a call depends on
-    the one two turns before. Roles are compared in lower case.
+    the one two turns before. Roles are compared in lower case; turns of any other
+    role, such as system, are neither calls nor results and left out. These calls fit
+    their schema and depend on earlier turns only.
     """
     role = F.lower("role")
     call_id = F.concat_ws("-", F.lit("call"), F.col("conv_id"), F.col("turn"))
