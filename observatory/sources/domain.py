@@ -46,8 +46,6 @@ VIEWS = {
         FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {repositories} r ON p.p_brand = r.p_brand AND p.p_type = r.p_type""",
     "links": """
         SELECT repository_id, developer_id, count(*) AS contributions, min(captured_at) AS first_seen_at, max(captured_at) AS last_seen_at FROM {lines} GROUP BY repository_id, developer_id""",
-    "thin_links": """
-        SELECT * FROM {links} WHERE contributions >= 10""",
     "contributor_snapshots": """
         SELECT repository_id, developer_id, captured_at, sum(n) OVER (PARTITION BY repository_id, developer_id ORDER BY captured_at ROWS UNBOUNDED PRECEDING) AS contributions
         FROM (SELECT repository_id, developer_id, captured_at, count(*) AS n FROM {lines} GROUP BY repository_id, developer_id, captured_at) x""",
