@@ -16,6 +16,7 @@ import hashlib
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,67 +33,96 @@ LEAST = 64
 #: Entries after which a worker's cache of encoded words begins anew; words of the one before are taken over as they come up.
 CACHE_ENTRIES = 120_000
 
-#: A mark between a letter and white space is a piece of its own in any case.
-_MARK = re.compile(r"(?<=[^\W\d_])([.,;:!?])(?=[ \n]|\Z)")
+#: The tokenizer's own pieces, for printable ASCII in lower case.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+_MARKS = frozenset(".,;:!?")
 
 _encoders: dict[str, Encoder] = {}
 
 
 def _plain(text: str) -> str:
-    """The text with fewer different words and the same ids: lower case, marks apart.
+    """The text in lower case, with fewer different words and the same ids.
 
     The tokenizer lowers each character of the composed text. Lowering a whole text
-    differs for sigmas alone, which depend on what stands around them.
+    differs for sigmas, which depend on what stands around them, and a dotted capital I
+    becomes two characters, of which the second may change places with others.
     """
-    if unicodedata.is_normalized("NFC", text) and "\u03a3" not in text:
-        return _MARK.sub(r" \1", text.lower())
+    if "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+        return text.lower()
     return text
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself if it is printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_CHARACTERS = _byte_characters()
+
+
 class Encoder(dict):
     """Ids of a text by a tokenizer that drops white space, so that words can be encoded apart.
 
-    Maps a word, anything between spaces and line feeds, to its packed ids.
+    Maps a word, anything between spaces and line feeds, to its packed ids. A word's
+    pieces go straight to the tokenizer's BPE where it is plain what they are: in
+    printable ASCII and in words of Latin letters. All other words go through the
+    whole tokenizer, and so do whole texts that hold one of its added tokens.
     """
 
     def __init__(self, raw: bytes) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
         self.before: dict[str, bytes] = {}
-        names = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
-
-    def learn(self, words: list[str]) -> None:
-        """Words of letters are one piece each, so a run of them can be encoded as one text and cut at the ids that end words."""
-        letters = [w for w in words if w.isalpha()]
-        others = [w for w in words if not w.isalpha()]
-        for low in range(0, len(letters), 2_000):
-            part = letters[low : low + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) != len(part):
-                others += part
-                continue
-            raw, stops = ids.tobytes(), stops.tolist()
-            self.update(zip(part, (raw[i:j] for i, j in zip([0, *stops], stops))))
-        for low in range(0, len(others), 5_000):
-            part = others[low : low + 5_000]
+
+    def piece(self, p: str) -> bytes:
+        """Of one piece of the text, in lower case."""
+        known = self.get(p)
+        if known is None:
+            plain = p if p.isascii() else p.encode().decode("latin-1").translate(_CHARACTERS)
+            known = self[p] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        return known
+
+    def learn(self, words: set[str]) -> None:
+        piece, rest = self.piece, []
+        for w in words:
+            stem = w[:-1] if w[-1:] in _MARKS else w  # most words are letters, or letters and a mark
+            if stem.isalpha() and stem.islower() and (stem.isascii() or max(stem) < "\u0250"):
+                if stem is w:
+                    piece(w)
+                else:
+                    self[w] = piece(stem) + piece(w[-1])
+            elif w.isascii() and w.isprintable() and w == w.lower():
+                self[w] = b"".join(map(piece, _PIECE.findall(w)))
+            else:
+                rest.append(w)
+        # a word that holds an added token only now that it is lowered holds plain text
+        self.tokenizer.encode_special_tokens = True
+        for low in range(0, len(rest), 5_000):
+            part = rest[low : low + 5_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
+                self[w] = array("I", e.ids).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHE_ENTRIES:
             self.before = self.copy()
             self.clear()
-        split = [_plain(t).replace("\n", " ").split(" ") for t in texts]
+        own = {i: self.whole(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        split = [[] if i in own else _plain(t).replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         new = set().union(*split).difference(self)
         known = new.intersection(self.before)
         self.update((w, self.before[w]) for w in known)
-        self.learn(sorted(new - known))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        self.learn(new - known)
+        return [own[i] if i in own else b"".join(map(self.__getitem__, words)) for i, words in enumerate(split)]
 
 
 def encoder(raw: bytes) -> Encoder:
@@ -168,8 +198,8 @@ def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
 def harmonic_pack(df: DataFrame, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
     """One row per piece: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    A document is its text's ids, without special tokens, and ``end_id`` behind
-    them; a null or empty text is that id alone. Every id is in one piece, and the
+    A document is its text's ids, by the tokenizer as its file has it but for special
+    tokens around the text, and ``end_id`` behind them; a null or empty text is that id alone. Every id is in one piece, and the
     pieces of a sequence stand gapless from offset 0. Repeated rows and null ids are
     documents of their own; an empty table gives no rows; other columns are ignored.
     """

@@ -70,8 +70,8 @@ def test_packing_places_every_id_once(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    docs = [(None, None), (1, ""), (1, ""), (2, "<|endoftext|> hi"), *((10 + i, x) for i, x in enumerate(texts(400, 5))), (999, "word salad, and more. " * 3000)]
+    assert t.encode("<|endoftext|> hi", add_special_tokens=False).ids[0] == 49407
+    docs = [(None, None), (1, ""), (1, ""), (2, "<|endoftext|> hi"), (3, "<|ENDOFTEXT|> hi \u00e9<|STARTOFTEXT|>, it's"), (4, "a\u0130\u036d\u0323 b\n" * 3), *((10 + i, x) for i, x in enumerate(texts(400, 5))), (999, "word salad, and more. " * 3000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     rows = packing.harmonic_pack(df, P.path("word_bpe_49k.json")).collect()
     want, sequences = Counter(), defaultdict(list)
