@@ -5,12 +5,14 @@ at every shift of the ring, gives all coordinates of the signature. Signatures a
 cut into bands; texts that share a band are candidates, and a link stands only if
 the full shingle sets say so.
 
-Equal sets are one representative. Within a band's bucket each representative is
-compared with one pivot and with the bucket's hub, so a group of copies costs as many
-comparisons as it has members. A pair of which both are linked to the hub needs no
-comparison. A member that isn't linked to the hub holds much that the hub lacks, and
-whatever links to it must share some of that: so such members meet others in what
-they have beside the hub, rarest shingles first, and only those pairs are compared.
+Equal sets are one representative. Each representative is compared with one pivot of
+each of its buckets, the member that shares buckets with most others, so a group of
+copies costs as many comparisons as it has members and becomes one component. A
+bucket whose members are all of one component has nothing more to tell. Members of
+the other buckets meet again in their shingles, rarest first: two sets as alike as
+asked for share one within the first few of either, and only such pairs of different
+components are compared. Of each shingle's holders those of the largest component
+meet the others, not each other.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from observatory.llm.arrow import filled, passes, utf8
+from observatory.llm.arrow import filled, let_go, passes, utf8
 from observatory.llm.filters import bitmap
 from observatory.llm.shingles import mix, shingles
 from observatory.operators.components import connected_components
@@ -77,6 +79,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             texts = filled(b.column(1))
             for low, high in passes(texts):
@@ -96,110 +99,70 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, shingles binary) of the texts whose id is in ``ids`` (column id).
+    """Rows (id, mark, shingles array) of the texts whose id is in ``ids`` (column id).
 
     A bitmap of the ids goes to all workers and spares most other texts; a join
-    then takes out the rest.
+    then takes out the rest. mark tells an id's sets apart; equal ones are one row.
     """
     hashed = F.xxhash64("id")
     may_be = bitmap(ids.select(hashed.alias("h")), "h")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             keep = pa.array(may_be(b.column(2).to_numpy(zero_copy_only=False)))
             texts, ids = filled(b.column(1).filter(keep)), b.column(0).filter(keep)
             for low, high in passes(texts):
                 found, bounds = shingles(*utf8(texts.slice(low, high - low)))
-                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array([found[bounds[i] : bounds[i + 1]].tobytes() for i in range(high - low)], pa.binary())], names=["id", "shingles"])
+                listed = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(_totals(found, bounds, 0x2545F4914F6CDD1D)), listed], names=["id", "mark", "shingles"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", hashed)
-    return rows.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi")
+    return rows.mapInArrow(run, "id long, mark long, shingles array<long>").join(ids, "id", "left_semi").dropDuplicates(["id", "mark"])
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, b, linked, shared, beside) for the rows (a, b, n: pairs that b may be in, wide) of ``pairs``.
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those rows (a, b) of ``pairs`` (a, b, n: pairs that b is in) whose sets are as alike as asked for.
 
-    shared counts what both sets hold; beside is, of wide pairs, what a holds and b
-    doesn't. A text in many pairs is sent to as many tasks as it has blocks of PAIRS
-    pairs.
+    A set in many pairs is sent to as many tasks as it has blocks of PAIRS pairs.
     """
-    pairs = pairs.select("a", "b", "wide", F.ceil(F.col("n") / PAIRS).cast("int").alias("slots")).withColumn("slot", F.pmod(F.xxhash64("a"), "slots").cast("int"))
+    pairs = pairs.select("a", "b", F.ceil(F.col("n") / PAIRS).cast("int").alias("slots")).withColumn("slot", F.pmod(F.xxhash64("a"), "slots").cast("int"))
     right = pairs.select("b", "slots", "slot").distinct().join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(right, ["b", "slots", "slot"])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked, shared, rest = [], [], []
-            for left, right, wide in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                common = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-                n = int(common.sum())
-                shared.append(n)
-                linked.append(n > 0 and 100 * n >= percent * (len(x) + len(y) - n))
-                rest.append(x[~common].view(np.int64) if wide else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(shared, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["a", "b", "linked", "shared", "beside"])
-
-    return both.select("a", "b", "left", "right", "wide").mapInArrow(run, "a long, b long, linked boolean, shared long, beside array<long>")
+    shared = F.size(F.array_intersect("left", "right"))
+    return both.where(shared * 100 >= (F.size("left") + F.size("right") - shared) * percent).select("a", "b")
 
 
-def _alike_in_size(percent: int, x: str, y: str) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that hold all pairs of ``percent`` alike; ``labels`` is (rep, component, members).
 
-
-def _hub_pairs(members: DataFrame, stars: DataFrame) -> DataFrame:
-    """Pairs (a, b, n, wide) of the members of all buckets of three and more with their bucket's hub.
-
-    Of the pivots that a bucket's members met in any bucket, its hub is the one with
-    most links. So the buckets of a large group, whatever their pivots, share a hub
-    that most of the group is linked to, and their members are one group of it.
-    """
-    links = stars.groupBy("b").agg(F.count("*").alias("links"))
-    met = members.select("rep", F.col("pivot").alias("b")).distinct().join(links, "b", "left")
-    best = met.groupBy("rep").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "b")).alias("best"))
-    wide = members.where("size > 2").select("key", "rep")
-    hub = wide.join(best, "rep").groupBy("key").agg(F.max("best").alias("hub")).select("key", F.col("hub.b").alias("b"))
-    pairs = cut(wide.join(hub, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "hub-pairs")
-    return pairs.join(pairs.groupBy("b").agg(F.count("*").alias("n")), "b").withColumn("wide", F.col("n") > 1)
-
-
-def _second_looks(stars: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of a pivot's group that may be linked though not both are linked to the hub.
-
-    A link between a and b takes ``percent / (100 + percent)`` of their sizes' sum as
-    shared shingles. What a shares with the hub falls short of that for b's of the
-    hub's size and more, so a and b share shingles that the hub lacks: at least
-    ``t`` of them, and so one of a's rarest, all but ``t - 1``. Smaller b's can do
-    with what both share with the hub if that is enough; those are met by counts.
+    Two sets of sizes x >= y that are alike share ``percent / (100 + percent)`` of
+    x + y. So of any one order of shingles, the first one shared stands so early in
+    both that this many are left from there on, and y is not too small. The order is
+    by number of holders. Shingles whose holders are of one component can't be
+    shared by others; they come first and only count.
     """
-    apart = stars.where("not linked").select("b").distinct()
-    # a group of a hub and one more has no second pair
-    groups = cut(stars.where("beside is not null").join(apart, "b").join(sizes.toDF("a", "size"), "a"), "groups")
-    least = groups.groupBy("b").agg(F.min("size").alias("least"))
-    short = F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100))
-    needed = F.ceil((F.col("size") + short) * percent / (100 + percent)) - F.col("shared")
-    members = groups.join(least, "b").withColumn("t", needed).select("b", "a", "size", "shared", "linked", "t", "beside")
-    held = members.select("b", "a", "linked", "t", F.explode("beside").alias("shingle"))
-    often = held.groupBy("b", "shingle").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("outside")).where("n > 1 and outside > 0")
-    met = cut(held.join(often, ["b", "shingle"]), "beside")
-    # Places by rarity, the same order for all; shingles that meet nobody come first and
-    # count. Of two that share t shingles beside the hub, the first one shared leaves
-    # t - 1 or more behind it on both sides.
-    of_a = Window.partitionBy("b", "a")
-    behind = F.count("*").over(of_a) - F.row_number().over(of_a.orderBy("n", "shingle"))
-    met = met.withColumn("behind", behind)
-    wanted = F.greatest("t", F.lit(1)) - 1
-    seekers = met.where(~F.col("linked") & (F.col("behind") >= wanted)).select("b", "shingle", F.col("a").alias("x"), wanted.alias("wanted"))
-    holders = met.select("b", "shingle", F.col("a").alias("y"), "behind")
-    one = seekers.join(holders, ["b", "shingle"]).where("x <> y and behind >= wanted").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    part = members.select("b", "a", "size", "shared", "linked", "t")
-    left = part.where("not linked and t < 1").select("b", F.col("a").alias("x"), F.col("size").alias("x_size"), F.col("shared").alias("x_shared"))
-    right = part.where((100 + percent) * F.col("shared") >= percent * F.col("size"))
-    bound = percent * (F.col("x_size") + F.col("size"))
-    two = left.join(right, "b").where((F.col("x") != F.col("a")) & ((100 + percent) * F.col("x_shared") >= bound) & ((100 + percent) * F.col("shared") >= bound))
-    return one.union(two.select(F.greatest("x", "a").alias("a"), F.least("x", "a").alias("b"))).distinct()
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    size = F.size("shingles").cast("long")
+    held = sets.join(labels.withColumnRenamed("rep", "id"), "id").select("id", "mark", "component", "members", size.alias("size"), F.explode("shingles").alias("shingle"))
+    shared = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.max_by("component", "members").alias("major")).where("x <> y")
+    shared = cut(shared.select("shingle", "n", "major"), "shared")
+    # a set of which fewer shingles are shared than the smallest partner asks for has no partner
+    may_be = held.join(shared, "shingle").select("id", "mark", "component", "size", "shingle", "n", "major")
+    of_set = Window.partitionBy("id", "mark")
+    count = F.count("*").over(of_set)
+    place = F.col("size") - count + F.row_number().over(of_set.orderBy("n", "shingle")) - 1
+    placed = may_be.withColumn("place", place).withColumn("count", count).where(F.col("count") * 100 >= F.col("size") * percent)
+    # of the smallest partner's shingles and of those of one as large: how many places come into question
+    probe = F.col("size") - F.ceil(F.col("size") * percent / 100)
+    placed = cut(placed.where(F.col("place") <= probe).select("id", "component", "size", "shingle", "place", F.col("component").eqNullSafe(F.col("major")).alias("usual")), "rare")
+    seek, hold = (placed.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "component", "size", "place", "usual"))) for side in ("x", "y"))
+    left = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
+    fits = (left * (100 + percent) >= (F.col("x_size") + F.col("y_size")) * percent) & (F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent)
+    met = seek.where("not x_usual").join(hold, "shingle").where((F.col("x_component") != F.col("y_component")) & (F.col("y_usual") | (F.col("x_id") < F.col("y_id"))) & fits)
+    return met.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, exhaustive: bool = False) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept): one for each row of ``df``.
 
     Links texts with 100 * shared >= percent * united distinct 5-word shingles;
@@ -207,32 +170,45 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whether that is the row's own id. A text without words, or a null one, has the
     empty set and no links. A row with a null id cannot be named: its component_id
     is null and it is kept. Rows that repeat an id are one document; it links where
-    any of its texts does. Other columns of ``df`` are ignored.
+    any of its texts does. Other columns of ``df`` are ignored, an empty table gives
+    no rows. A pair at the bound of 0.75 shares no band with probability 5e-6 (less,
+    the more alike); with ``exhaustive`` all texts, not only those that share bands,
+    meet in their shingles, and none is missed.
     """
     sketch = cut(sketches(df, id_col, text_col), "sketches")
     named = sketch.where("id is not null and s1 is not null")
-    heads = named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands")))
-    heads = cut(heads, "heads")
+    heads = cut(named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands"))), "heads")
     equal = heads.select("s1", "s2", "rep")
     keyed = heads.select("rep", "copies", F.explode("bands").alias("key"))
-    # a set that many rows share is likely what others were copied from
-    order = F.struct(-F.col("copies"), F.xxhash64("rep"), "rep")
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min_by("rep", order).alias("pivot")).where("size > 1")
-    members = cut(keyed.join(cut(buckets, "buckets"), "key").select("key", "rep", "pivot", "size"), "members")
-    first = members.where("rep <> pivot").groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.max("size").alias("n")).withColumn("wide", F.lit(False))
-    sizes = heads.select(F.col("rep").alias("id"), "n")
-    sets = cut(shingle_sets(df, members.select(F.col("rep").alias("id")).distinct(), id_col, text_col), "sets")
-    stars = cut(compared(first, sets, percent), "stars").where("linked").select("a", "b")
-    hubs = cut(compared(_hub_pairs(members, stars), sets, percent), "hubs")
-    looks = _second_looks(hubs, sizes, percent).join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b").where(_alike_in_size(percent, "a_n", "b_n"))
-    looks = cut(looks.select("a", "b"), "looks")
-    times = looks.groupBy("b").agg(F.count("*").alias("n"))
-    looks = looks.join(times, "b").withColumn("wide", F.lit(False))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(keyed.join(shared, "key").select("key", "rep", "copies", "size"), "members")
+    # what most others were copied from shares buckets with most of them
+    central = members.groupBy("rep").agg(F.sum("size").alias("met"))
+    order = F.struct("met", "copies", F.xxhash64("rep"), "rep")
+    pivots = members.join(central, "rep").groupBy("key").agg(F.max(order).alias("p")).select("key", F.col("p.rep").alias("pivot"))
+    first = cut(members.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pivots")
+    first = first.join(first.groupBy("b").agg(F.count("*").alias("n")), "b")
+    reps = heads.select("rep") if exhaustive else members.select("rep").distinct()
+    sets = cut(shingle_sets(df, reps.select(F.col("rep").alias("id")), id_col, text_col), "sets")
     # an id with several texts is one document
     several = named.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("id")
     several = named.join(several, "id").join(equal, ["s1", "s2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = stars.union(hubs.where("linked").select("a", "b")).union(compared(looks, sets, percent).where("linked").select("a", "b")).union(several)
-    component = connected_components(links, "a", "b")
-    group = equal.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    stars = connected_components(linked(first, sets, percent).union(several), "a", "b").withColumnRenamed("node", "rep")
+    labels = reps.join(stars, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labels = cut(labels.join(stars.groupBy("component").agg(F.count("*").alias("members")), "component", "left").select("rep", "component", F.coalesce("members", F.lit(1)).alias("members")), "labels")
+    open_reps = labels
+    if not exhaustive:
+        open_keys = members.join(labels, "rep").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        open_reps = labels.join(members.join(open_keys, "key").select("rep").distinct(), "rep", "left_semi")
+    looks = cut(_rare_pairs(sets, open_reps, percent), "looks")
+    found = linked(looks.join(looks.groupBy("b").agg(F.count("*").alias("n")), "b"), sets, percent)
+    # of two components that are linked, the smaller number is that of both
+    of = labels.select("rep", "component")
+    between = found.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("x", "y")
+    joined = connected_components(between, "x", "y").toDF("component", "least")
+    component = stars.join(joined, "component", "left").select("rep", F.coalesce("least", "component").alias("component"))
+    alone = joined.join(stars, F.col("rep") == joined["component"], "left_anti").select(F.col("component").alias("rep"), F.col("least").alias("component"))
+    component = component.union(alone)
+    group = equal.join(component, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     by_row = sketch.join(group, ["s1", "s2"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return by_row.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

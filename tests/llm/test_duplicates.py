@@ -49,6 +49,29 @@ def test_near_duplicates_equal_brute_force(spark):
     want = Counter((d, len(x), top(d) if d is not None else None, d is None or top(d) == d) for (d, _), x in zip(docs, sets))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("rep", F.lit(1)).withColumn("key", F.lit(2))
     assert Counter(map(tuple, minhash.near_duplicates(df).collect())) == want
+    assert Counter(map(tuple, minhash.near_duplicates(df, exhaustive=True).collect())) == want
+
+
+def test_near_duplicates_whose_pivots_say_nothing(spark):
+    """Members of one bucket that are unlike its pivot and alike in twos and threes; sets at the very bound."""
+    rnd = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    docs, n = [], 0
+    for _ in range(25):
+        own = [f"o{rnd.random()}" for _ in range(40)]
+        for k in range(rnd.randrange(1, 4)):
+            docs.append((n, " ".join([*common, *own[: 40 - k]])))
+            n += 1
+    docs += [(n, " ".join(f"w{i}" for i in range(84))), (n + 1, " ".join(f"w{i}" for i in range(64))), (n + 2, " ".join(f"w{i}" for i in range(63)))]  # 80, 60, 59 shingles
+    sets = {i: shingles(t) for i, t in docs}
+    want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert (n, n + 1) in want and (n, n + 2) not in want
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), exhaustive=True).collect()}
+    up = {i: i for i in sets}
+    for i, j in sorted(want):
+        old, new = max(up[i], up[j]), min(up[i], up[j])
+        up = {k: new if v == old else v for k, v in up.items()}
+    assert got == up
 
 
 def test_near_duplicates_of_nothing(spark):
