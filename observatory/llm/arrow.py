@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 
+T = TypeVar("T")
+
+_held: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], T]) -> T:
+    """The one large object (a model or vocabulary, with what it remembers) that a worker keeps for its next tasks.
+
+    Workers are reused by later stages, so the object of another key goes first.
+    """
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """For tasks that need no such object: drops what an earlier stage has left in this worker."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+
+
 #: Bytes of text that one numpy pass takes at a time; a longer text is a pass of its own.
 PASS_BYTES = 2 << 20
 

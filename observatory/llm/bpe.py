@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from observatory.llm.arrow import filled
+from observatory.llm.arrow import filled, held
 
 #: Entries after which a worker's cache of encoded chunks is dropped and begun anew.
 CACHE_ENTRIES = 500_000
@@ -227,16 +227,13 @@ class Tokenizer:
         return b"".join(map(self.vocabulary.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_tokenizers: dict[tuple[str, str], Tokenizer] = {}
-
-
 def tokenizer(raw: bytes, pattern: str) -> Tokenizer:
-    key = hashlib.sha256(raw).hexdigest(), pattern
-    if key not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[key] = Tokenizer(raw, pattern)
+    def make() -> Tokenizer:
+        made = Tokenizer(raw, pattern)
         gc.freeze()  # the vocabulary stays; no later collection need walk it
-    return _tokenizers[key]
+        return made
+
+    return held(("bpe", hashlib.sha256(raw).digest(), pattern), make)
 
 
 def bpe_encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from observatory.llm.arrow import let_go
 from observatory.llm.filters import bitmap
 from observatory.shared import cut
 
@@ -92,6 +93,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     """Rows (id, mark, pos, h1, h2), one per line that isn't blank; mark tells texts of one id apart."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             for low in range(0, b.num_rows, 500):
                 part = b.slice(low, 500)
@@ -112,6 +114,7 @@ def _half_keys(docs: DataFrame, least: int) -> DataFrame:
     """Rows (key, h1) of the halves of all lines that may have a neighbour."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             for low in range(0, b.num_rows, 500):
                 found = {x: 0 for text in b.column(0).slice(low, 500).to_pylist() for x in _lines(text) if len(x) >= least - 1}
@@ -127,6 +130,7 @@ def _candidates(docs: DataFrame, shared: DataFrame, least: int) -> DataFrame:
     may_be = bitmap(shared, "key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             for low in range(0, b.num_rows, 500):
                 lines = list({x: 0 for text in b.column(0).slice(low, 500).to_pylist() for x in _lines(text) if len(x) >= least - 1})
@@ -147,6 +151,7 @@ def _variant_keys(lines: DataFrame) -> DataFrame:
     """Rows (key, h1) of all neighbourhoods."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             for low in range(0, b.num_rows, 200):
                 part = b.slice(low, 200)
@@ -162,6 +167,7 @@ def _variants(lines: DataFrame, met: DataFrame) -> DataFrame:
     may_be = bitmap(met, "key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             for low in range(0, b.num_rows, 200):
                 part = b.slice(low, 200)
@@ -195,6 +201,7 @@ def _near_earlier(docs: DataFrame, unique: DataFrame, least: int) -> DataFrame:
     pairs = pairs.join(text, ["h1", "h2"]).join(text.toDF("r1", "r2", "other"), ["r1", "r2"]).select("h1", "h2", "line", "other")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             near = [within_one_edit(x, y) and min(len(x), len(y)) >= least - 1 and max(len(x), len(y)) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))

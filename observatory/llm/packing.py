@@ -13,6 +13,7 @@ classes, a bounded number, are put together first-fit, largest first.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import unicodedata
 import zlib
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from observatory.llm.arrow import held
 from observatory.shared import cut
 
 CAPACITY = 4096
@@ -38,9 +40,6 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 _MARKS = frozenset(".,;:!?")
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _plain(text: str) -> str:
     """The text in lower case, with fewer different words and the same ids.
 
@@ -126,14 +125,8 @@ class Encoder(dict):
 
 
 def encoder(raw: bytes) -> Encoder:
-    key = hashlib.sha256(raw).hexdigest()
-    if key not in _encoders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _encoders.clear()
-        _encoders[key] = Encoder(raw)
-    return _encoders[key]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return held(("packing", hashlib.sha256(raw).digest()), lambda: Encoder(raw))
 
 
 def cuts(n: int, capacity: int = CAPACITY, least: int = LEAST) -> list[int]:

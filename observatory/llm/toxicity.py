@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from observatory.llm.arrow import filled
+from observatory.llm.arrow import filled, held
 from observatory.llm.shingles import mix
 
 #: Table of features.
@@ -184,9 +184,6 @@ class _Words(dict):
             self.update(zip(part, self.model.word_logits(part).tolist()))
 
 
-_models: dict[str, _Words] = {}
-
-
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id_col, *keep, score): the probability of label 1 by the whole text.
 
@@ -197,10 +194,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     name = hashlib.md5(model.weights.tobytes() + repr(model.bias).encode()).hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _models:
-            _models.clear()
-            _models[name] = _Words(Model(np.frombuffer(shared.value[0], np.float32), shared.value[1]))
-        words, bias = _models[name], shared.value[1]
+        words = held(("toxicity", name), lambda: _Words(Model(np.frombuffer(shared.value[0], np.float32), shared.value[1])))
+        bias = shared.value[1]
         for b in batches:
             out = []
             texts = filled(b.column(0))
