@@ -9,6 +9,7 @@ is not quantised), and ranks the best of them again by the original vectors.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,11 +32,13 @@ TRIALS = 200
 #: Vectors that a query's lists hold together, at least.
 PROBE_ROWS = 4000
 #: Candidates for each neighbour asked for that are ranked again by their vectors.
-RERANK = 15
-#: Vectors of a list that are scored together ...
+RERANK = 8
+#: Vectors of a list that are stored together.
 BLOCK_ROWS = 4096
-#: ... by about so many queries.
-QUERY_ROWS = 1024
+#: Vectors whose scores one task compares ...
+GROUP_ROWS = 1 << 18
+#: ... for about so many queries, of which each leaves it with k * RERANK candidates at most.
+QUERY_ROWS = 256
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -159,59 +162,68 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
     for r in entries.groupBy("list").count().collect():
         held[r[0]] = r[1]
     blocks = np.maximum(1, -(-held // BLOCK_ROWS))
+    # blocks, list after list, are put together to groups of about GROUP_ROWS vectors
+    ahead = np.concatenate([[0], np.cumsum(held)])[:-1]
+    first, last = ahead // GROUP_ROWS, (ahead + (blocks - 1) * BLOCK_ROWS) // GROUP_ROWS
     least = lists_to_read(q, x, k, target)
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = index.value
         for b in batches:
             x = _matrix(b.column(1), dims)
-            near = x @ q.coarse.T
-            order = np.argsort(-near, axis=1, kind="stable")
-            ids, vs, lists, parts = [], [], [], []
+            order = np.argsort(-(x @ q.coarse.T), axis=1, kind="stable")
+            at, groups, lists = [], [], []
             for i, o in enumerate(order):
                 enough = int(np.searchsorted(np.cumsum(held[o]), probe_rows)) + 1
-                for one in o[: max(least, enough)]:
-                    if held[one]:
-                        for part in range(blocks[one]):
-                            ids.append(i)
-                            lists.append(one)
-                            parts.append(part)
-            at = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lists, pa.int32()), pa.array(parts, pa.int32())], names=["id", "v", "list", "block"])
-
-    # queries of one list and block come together with its vectors, in runs of about QUERY_ROWS
+                read = np.sort(o[: max(least, enough)]).astype(np.int32)
+                for g in np.unique(np.concatenate([np.arange(first[j], last[j] + 1) for j in read])):
+                    at.append(i)
+                    groups.append(g)
+                    lists.append(read[(first[read] <= g) & (g <= last[read])])
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(groups, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "group", "lists"])
+
+    # a run of about QUERY_ROWS queries comes together with each group of vectors
     runs = max(1, -(-entries.where("q").count() // QUERY_ROWS))
-    asked = entries.where("q").select("id", "v").mapInArrow(probe, "id long, v array<double>, list int, block int")
     run_of = F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int")
-    per_block = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "list int, blocks int")
-    stored = entries.join(F.broadcast(per_block), "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    stored = stored.groupBy("list", "block").agg(F.sort_array(F.collect_list(F.struct("id", "codes"))).alias("e")).select("list", "block", F.col("e.id").alias("ids"), F.col("e.codes").alias("codes"))
-    asked = asked.withColumn("run", run_of).groupBy("list", "block", "run").agg(F.collect_list("id").alias("q_ids"), F.flatten(F.collect_list("v")).alias("q_vs"))
+    asked = entries.where("q").select("id", "v").mapInArrow(probe, "id long, v array<double>, group int, lists array<int>").withColumn("run", run_of)
+    per_list = spark.createDataFrame([(i, int(n), int(o)) for i, (n, o) in enumerate(zip(blocks, ahead))], "list int, blocks int, ahead long")
+    stored = entries.join(F.broadcast(per_list), "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    group = F.floor((F.col("ahead") + F.col("block") * BLOCK_ROWS) / GROUP_ROWS).cast("int")
+    stored = stored.groupBy("list", "block", group.alias("group")).agg(F.sort_array(F.collect_list(F.struct("id", "codes"))).alias("e")).select("group", "list", F.col("e.id").alias("ids"), F.col("e.codes").alias("codes"))
+    stored = stored.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     keep = k * RERANK
 
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = index.value
-        for b in batches:
-            for i in range(b.num_rows):
-                one = b.column(0)[i].as_py()
-                ids = np.asarray(b.column(1)[i].values.to_numpy())
-                codes = np.frombuffer(b"".join(b.column(2)[i].as_py()), np.uint8).reshape(len(ids), -1)
-                who = np.asarray(b.column(3)[i].values.to_numpy())
-                x = np.asarray(b.column(4)[i].values.to_numpy(), dtype=np.float64).reshape(len(who), dims)
-                found_q, found_i, found_s = [], [], []
-                for low in range(0, len(who), 64):
-                    tables, base = q.tables(x[low : low + 64]), x[low : low + 64] @ q.coarse[one]
-                    for j in range(len(tables)):
-                        s = base[j] + tables[j][np.arange(codes.shape[1]), codes].sum(axis=1)
-                        s[ids == who[low + j]] = -np.inf
-                        best = np.lexsort((ids, -s))[:keep] if len(s) <= keep else _top(s, ids, keep)
-                        best = best[s[best] > -np.inf]
-                        found_q.append(np.full(len(best), who[low + j]))
-                        found_i.append(ids[best])
-                        found_s.append(s[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found_q, found_i, found_s)], names=["query", "id", "s"])
-
-    near = stored.join(asked, ["list", "block"]).select("list", "ids", "codes", "q_ids", "q_vs").mapInArrow(score, "query long, id long, s double")
+    def score(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        q, best = index.value, _Best(keep)
+        if asked.num_rows and stored.num_rows:
+            asked, stored = asked.combine_chunks(), stored.combine_chunks()
+            who = asked["id"].to_numpy()
+            x = _matrix(asked["v"].combine_chunks(), dims)
+            tables = q.tables(x).transpose(1, 2, 0).astype(np.float32)  # parts x 256 x queries
+            base = (x @ q.coarse.T).astype(np.float32)
+            readers = defaultdict(list)
+            for i, read in enumerate(asked["lists"].to_pylist()):
+                for one in read:
+                    readers[one].append(i)
+            for i, one in enumerate(stored["list"].to_pylist()):
+                of = np.array(readers.get(one, ()), dtype=np.int64)
+                if not len(of):
+                    continue
+                ids = stored["ids"][i].values.to_numpy()
+                codes = np.frombuffer(b"".join(stored["codes"][i].as_py()), np.uint8).reshape(len(ids), -1)
+                own = tables if len(of) == len(who) else tables[:, :, of]
+                s = np.tile(base[of, one], (len(ids), 1))
+                for part in range(codes.shape[1]):
+                    s += np.take(own[part], codes[:, part], axis=0)
+                at = np.minimum(np.searchsorted(ids, who[of]), len(ids) - 1)
+                itself = np.flatnonzero(ids[at] == who[of])
+                s[at[itself], itself] = -np.inf
+                best.add(of, ids, s)
+        found, ids, s = best.all()
+        return pa.table({"query": pa.array(asked["id"].to_numpy()[found] if len(found) else [], pa.int64()), "id": pa.array(ids, pa.int64()), "s": pa.array(s, pa.float64())})
+
+    near = asked.groupBy("group", "run").cogroup(stored.groupBy("group", "run")).applyInArrow(score, "query long, id long, s double")
     best = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "id"))).where(F.col("place") <= keep).select("query", "id")
     vectors = entries.select("id", "v")
     both = best.join(vectors, "id").join(vectors.select(F.col("id").alias("query"), F.col("v").alias("w")), "query")
@@ -226,8 +238,39 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _top(s: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
-    """Places of the ``keep`` largest scores, of equal ones those of the smallest ids."""
-    bound = -np.partition(-s, keep - 1)[keep - 1]
-    at = np.flatnonzero(s >= bound)
-    return at[np.lexsort((ids[at], -s[at]))][:keep]
+class _Best:
+    """The ``keep`` largest scores of each query so far, of equal ones those of the smallest ids."""
+
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
+        self.query, self.id, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+        self.bound = np.zeros(0, np.float32)
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        """``s`` is ids x queries."""
+        top = queries.max() + 1
+        if len(self.bound) < top:
+            self.bound = np.concatenate([self.bound, np.full(top - len(self.bound), np.finfo(np.float32).min)])
+        row, column = np.nonzero(s >= self.bound[queries])
+        self.new.append((queries[column], ids[row], s[row, column]))
+        self.waiting += len(row)
+        if self.waiting > max(100_000, 2 * len(self.s)):
+            self.settle()
+
+    def settle(self) -> None:
+        query, i, s = (np.concatenate([old, *(n[c] for n in self.new)]) for c, old in enumerate((self.query, self.id, self.s)))
+        order = np.lexsort((i, -s, query))
+        query = query[order]
+        begin = np.flatnonzero(np.diff(query, prepend=-1))
+        place = np.arange(len(query)) - np.repeat(begin, np.diff(np.append(begin, len(query))))
+        order, full = order[place < self.keep], order[place == self.keep - 1]
+        self.bound[query[place == self.keep - 1]] = s[full]
+        self.query, self.id, self.s = query[place < self.keep], i[order], s[order]
+        self.new, self.waiting = [], 0
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.new:
+            self.settle()
+        return self.query, self.id, self.s

@@ -57,6 +57,32 @@ def test_neighbours_recall(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_over_many_lists_and_groups(spark, monkeypatch):
+    """Clustered vectors, some repeated and some equal, against brute force; a vector that a third of the rows have."""
+    monkeypatch.setattr(ann, "GROUP_ROWS", 3000)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 40)
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(60, 12))[rng.integers(0, 60, 12000)] * 2 + rng.normal(size=(12000, 12)) * 0.4).astype(np.float32)
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, *rows[:50]], "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("rank", F.lit(2))
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 1, k=10, probe_rows=100).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    hit, full = 0, x.astype(float)
+    assert len(got) == 120
+    for q in range(1, 12000, 100):
+        s = full @ full[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(len(s)), -np.round(s, 9)))[:10]
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == list(range(1, 11)) and all(abs(v - s[i]) < 1e-9 for _, i, v in found)
+        assert [(-round(v, 9), i) for _, i, v in found] == sorted((-round(v, 9), i) for _, i, v in found)
+        hit += len({i for _, i, _ in found} & set(want.tolist()))
+    assert hit / 1200 >= 0.9
+
+
 def test_toxicity_held_out(spark):
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice(["ta", "ri", "mo", "le", "su", "ni"]) for _ in range(rnd.randrange(1, 4)))
