@@ -8,8 +8,8 @@ the full shingle sets say so.
 Equal sets are one representative. Each representative is compared with one pivot of
 each of its buckets, the member that shares buckets with most others, so a group of
 copies costs as many comparisons as it has members and becomes one component. A
-bucket whose members are all of one component has nothing more to tell. Members of
-the other buckets meet again in their shingles, rarest first: two sets as alike as
+bucket whose other members are all of one component has nothing more to tell, nor
+have those of sizes too far apart. Members of the other buckets meet again in their shingles, rarest first: two sets as alike as
 asked for share one within the first few of either, and only such pairs of different
 components are compared. Of each shingle's holders those of the largest component
 meet the others, not each other.
@@ -121,6 +121,10 @@ def shingle_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> D
     return rows.mapInArrow(run, "id long, mark long, shingles array<long>").join(ids, "id", "left_semi").dropDuplicates(["id", "mark"])
 
 
+def _alike_in_size(x: str, y: str, percent: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those rows (a, b) of ``pairs`` (a, b, n: pairs that b is in) whose sets are as alike as asked for.
 
@@ -157,7 +161,7 @@ def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     placed = cut(placed.where(F.col("place") <= probe).select("id", "component", "size", "shingle", "place", F.col("component").eqNullSafe(F.col("major")).alias("usual")), "rare")
     seek, hold = (placed.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "component", "size", "place", "usual"))) for side in ("x", "y"))
     left = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
-    fits = (left * (100 + percent) >= (F.col("x_size") + F.col("y_size")) * percent) & (F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent)
+    fits = (left * (100 + percent) >= (F.col("x_size") + F.col("y_size")) * percent) & _alike_in_size("x_size", "y_size", percent)
     met = seek.where("not x_usual").join(hold, "shingle").where((F.col("x_component") != F.col("y_component")) & (F.col("y_usual") | (F.col("x_id") < F.col("y_id"))) & fits)
     return met.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
 
@@ -179,14 +183,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = sketch.where("id is not null and s1 is not null")
     heads = cut(named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands"))), "heads")
     equal = heads.select("s1", "s2", "rep")
-    keyed = heads.select("rep", "copies", F.explode("bands").alias("key"))
+    keyed = heads.select("rep", "n", "copies", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(keyed.join(shared, "key").select("key", "rep", "copies", "size"), "members")
+    members = cut(keyed.join(shared, "key").select("key", "rep", "n", "copies", "size"), "members")
     # what most others were copied from shares buckets with most of them
     central = members.groupBy("rep").agg(F.sum("size").alias("met"))
-    order = F.struct("met", "copies", F.xxhash64("rep"), "rep")
-    pivots = members.join(central, "rep").groupBy("key").agg(F.max(order).alias("p")).select("key", F.col("p.rep").alias("pivot"))
-    first = cut(members.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pivots")
+    order = F.struct("met", "copies", F.xxhash64("rep"), "rep", "n")
+    pivots = members.join(central, "rep").groupBy("key").agg(F.max(order).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    others = cut(members.join(pivots, "key").where("rep <> pivot").select("key", "rep", "n", "pivot", "pivot_n"), "others")
+    first = cut(others.where(_alike_in_size("n", "pivot_n", percent)).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pivots")
     first = first.join(first.groupBy("b").agg(F.count("*").alias("n")), "b")
     reps = heads.select("rep") if exhaustive else members.select("rep").distinct()
     sets = cut(shingle_sets(df, reps.select(F.col("rep").alias("id")), id_col, text_col), "sets")
@@ -198,8 +203,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = cut(labels.join(stars.groupBy("component").agg(F.count("*").alias("members")), "component", "left").select("rep", "component", F.coalesce("members", F.lit(1)).alias("members")), "labels")
     open_reps = labels
     if not exhaustive:
-        open_keys = members.join(labels, "rep").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        open_reps = labels.join(members.join(open_keys, "key").select("rep").distinct(), "rep", "left_semi")
+        # sizes that may be alike fall into the same class or the next; what a pivot is to its bucket is known
+        step = F.floor(F.log(F.col("n")) / float(np.log(100 / min(percent, 99))) * (1 + 1e-9)).cast("int")
+        cells = others.withColumn("step", F.explode(F.array(step, step + 1)))
+        several_in = cells.join(labels, "rep").groupBy("key", "step").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "step")
+        open_reps = labels.join(cells.join(several_in, ["key", "step"]).select("rep").distinct(), "rep", "left_semi")
     looks = cut(_rare_pairs(sets, open_reps, percent), "looks")
     found = linked(looks.join(looks.groupBy("b").agg(F.count("*").alias("n")), "b"), sets, percent)
     # of two components that are linked, the smaller number is that of both
