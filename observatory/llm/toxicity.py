@@ -26,8 +26,6 @@ FEATURES = 1 << 20
 LENGTHS = (2, 3, 4, 5, 6)
 #: Labelled rows of each class that the model is fitted on, at most: those of the smallest hash of their id.
 MAX_ROWS = 2000
-#: Distinct words of one of those rows that are used, at most: those of the smallest hash.
-MAX_WORDS = 2000
 #: Words whose n-grams are held at a time.
 CHUNK = 5_000
 #: Words after which a worker's cache of word weights begins anew; words of the one before are taken over as they come up.
@@ -95,13 +93,12 @@ def fit(rows: list[tuple[list[str], int]], rounds: int = 100, smoothing: float =
         q += np.bincount(feature, negative[low + who], minlength=FEATURES)
     seen = p + q
     ratio = np.log((p + smoothing) / (p + smoothing).sum()) - np.log((q + smoothing) / (q + smoothing).sum())
-    # A ratio from a handful of words is noise. Signs of label 0 are left out: a long
-    # text holds so many that they would outweigh whatever stands beside them.
-    ratio = np.where((p >= 3) & (ratio * np.sqrt(seen) > 3), ratio, 0)
+    # a ratio from a handful of words is noise
+    ratio = np.where((seen >= 3) & (np.abs(ratio) * np.sqrt(seen) > 3), ratio, 0)
     found = []
     for low, part in chunks:
         feature, who = ngrams(part)
-        used = ratio[feature] > 0
+        used = ratio[feature] != 0
         found.append((feature[used].astype(np.int32), (low + who[used]).astype(np.int32)))
     feature, who = (np.concatenate(x) for x in zip(*found))
     kept, feature = np.unique(feature, return_inverse=True)
@@ -111,8 +108,10 @@ def fit(rows: list[tuple[list[str], int]], rounds: int = 100, smoothing: float =
     def logits(w: np.ndarray, b: float) -> np.ndarray:
         return np.bincount(row, np.bincount(who, (w * scale)[feature], minlength=len(names))[word], minlength=len(rows)) + b
 
-    # AdaGrad over all rows, both classes with the same weight
-    w, b = np.zeros(len(kept)), -1.0
+    # AdaGrad over all rows, both classes with the same weight; a weight below 0 would turn its ratio's sign
+    # without any sign a text is no likelier of label 1 than the labels have it, and not predicted
+    most = min(-1.0, float(np.log(labels.mean() / (1 - labels.mean()))))
+    w, b = np.zeros(len(kept)), most
     past_w, past_b = np.full(len(kept), 1e-8), 1e-8
     for _ in range(rounds):
         error = by_class * (1 / (1 + np.exp(-np.clip(logits(w, b), -30, 30))) - labels)
@@ -120,7 +119,7 @@ def fit(rows: list[tuple[list[str], int]], rounds: int = 100, smoothing: float =
         past_w += g * g
         past_b += error.sum() ** 2
         w = np.maximum(0, w - 0.1 * g / np.sqrt(past_w))
-        b -= 0.3 * error.sum() / np.sqrt(past_b)
+        b = min(most, b - 0.3 * error.sum() / np.sqrt(past_b))
     weights[kept] = w * scale
     return Model(weights, float(b))
 
@@ -133,9 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits the model on labelled rows whose id is not held out.
 
     Of each class at most ``max_rows`` rows, those whose id has the smallest hash,
-    and of each at most MAX_WORDS distinct words come to the driver. Null ids and
+    come to the driver, with the distinct words of their whole texts. Null ids and
     labels other than 0 and 1 are not used; an id labelled twice counts by its
-    largest label.
+    largest label; rows that repeat an id count each. Null and empty texts have no
+    words. Without documents or labels the model scores 0.5. Other columns are ignored.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col, folds))
     usable = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -146,12 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                words = distinct_words(t or "")
-                if len(words) > MAX_WORDS:
-                    words = sorted(words, key=lambda w: hashlib.md5(w.encode("utf-8", "surrogatepass")).digest())[:MAX_WORDS]
-                out.append("\n".join(sorted(words)))
+            out = ["\n".join(sorted(distinct_words(t or ""))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["y", "words"])
 
     # 2 * max_rows ids at most
