@@ -27,8 +27,11 @@ from observatory.llm.arrow import let_go
 from observatory.llm.filters import bitmap
 from observatory.shared import cut
 
-#: Lines of fewer code points have to be equal.
+#: One edit makes lines near-equal if it leaves 95 % of the longer one; shorter lines have to be equal, or the items of
+#: a numbered list would be one.
 LEAST = 20
+#: White space as str.strip takes it.
+_SOLID = r"[^\p{IsWhite_Space}\x1c-\x1f]"
 
 
 def _signed(x: int) -> int:
@@ -222,7 +225,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     stay null. Rows that are equal in id and text are treated alike. Returns the
     columns of ``df``, the text shortened, and, last, ``lines_removed`` (int array of
     places from 0, ascending; null if none): a column of that name in ``df`` gives
-    way. Rows keep their number.
+    way; all other columns are carried along. Rows keep their number, repeated ones
+    included; an empty table gives no rows.
     """
     docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     found = cut(_occurrences(docs), "occurrences")
@@ -239,6 +243,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     rows = df.drop("lines_removed")
     joined = rows.join(out, rows[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(rows[text_col]) == F.col("__mark")), "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
-    left = F.when(F.exists(kept, lambda x: F.trim(x) != ""), F.array_join(kept, "\n")).otherwise("")
+    left = F.when(F.exists(kept, lambda x: F.rlike(x, F.lit(_SOLID))), F.array_join(kept, "\n")).otherwise("")
     text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(left)
     return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in rows.columns), F.col("__removed").alias("lines_removed"))

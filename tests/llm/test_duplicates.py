@@ -134,3 +134,9 @@ def test_line_dedup_equals_brute_force(spark):
         want[i, t if gone is None else "\n".join(kept) if any(x.strip() for x in kept) else "", tuple(sorted(gone)) if gone else None] += 1
     got = Counter((r.doc_id, r.text, tuple(r.lines_removed) if r.lines_removed else None) for r in lines.dedup_lines(df).collect())
     assert near and got == want
+
+
+def test_lines_of_nothing_and_of_blanks(spark):
+    df = spark.createDataFrame([(1, "line of some length"), (2, "line of some length\n\t"), (3, "line of some length\r\n \x0b\r"), (4, "line of some length\n\u3000\x1c")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == {1: "line of some length", 2: "", 3: "", 4: ""}
+    assert lines.dedup_lines(df.limit(0)).count() == 0
