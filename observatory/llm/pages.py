@@ -2,15 +2,16 @@
 
 Each page is read into a light element tree. The hash of every container element's
 subtree goes to Spark, which counts on how many pages of its host it stands; a
-subtree that stands on many of them is template and is deleted. What is left of the
-page's article, without elements that by name, class or id are not part of it, is
-its text.
+subtree that stands on many of them is template and is deleted, before the article
+is looked for in what is left. The article, without elements that by name, class or
+id are not part of it, is the page's text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,16 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from observatory.llm.filters import bitmap
+from observatory.shared import cut
 
-#: A subtree is template if it stands on at least so many pages of its host ...
-LEAST_PAGES = 10
-#: ... and on at least this share of them.
-SHARE = 0.2
+#: A subtree is template if it stands on at least so many pages of its host, and on log2 of the host's pages: chance
+#: repeats grow with a host, but far less than it.
+LEAST_PAGES = 5
 #: Up to so many template hashes are broadcast (8 bytes each); beyond, pages get theirs by a join.
 BROADCAST_HASHES = 1_000_000
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.S)
+_START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
+_REST = re.compile(r"""(?:[^'">]+|"[^"]*"|'[^']*')*+>""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s/])([^\s=/]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "math")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -44,6 +46,8 @@ _NEGATIONS = frozenset("has no with without".split())
 #: An open element that the start of another one closes.
 _ENDS = {t: frozenset(x.split()) for t, x in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
 _SCOPES = frozenset("ul ol dl table select article section main body html div td".split())
+_CELL_SCOPES = _SCOPES - {"td"}
+_P = frozenset(("p",))
 _CLOSES_P = _BLOCK - frozenset("body br caption dd dt head html legend li option summary tbody td tfoot th thead title tr".split()) | {"li", "dd", "dt", "td", "tr"}
 
 
@@ -65,59 +69,76 @@ class Page:
         self.stop.append(-1)
         return len(self.tag) - 1
 
+    def _push(self, element: int) -> None:
+        self._at[self.tag[element]].append(len(self._stack))
+        self._stack.append(element)
+
     def _pop(self) -> None:
         element = self._stack.pop()
+        self._at[self.tag[element]].pop()
         self.stop[element] = len(self.events)
         if self.tag[element] in _BLOCK:
             self.events.append((self._stack[-1] if self._stack else 0, None))
 
+    def _innermost(self, tags: frozenset[str]) -> int:
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=0)
+
     def _close(self, tags: frozenset[str], scopes: frozenset[str]) -> None:
         """Ends the innermost open element of ``tags`` unless one of ``scopes`` stands in between."""
-        for at in range(len(self._stack) - 1, 0, -1):
-            tag = self.tag[self._stack[at]]
-            if tag in tags:
-                while len(self._stack) > at:
-                    self._pop()
-                return
-            if tag in scopes:
-                return
+        at = self._innermost(tags)
+        if at and at >= self._innermost(scopes):
+            while len(self._stack) > at:
+                self._pop()
 
     def _read(self, source: str) -> None:
-        self._stack = [0]
-        at, search = 0, _MARKUP.search
+        """One pass; a tag that never ends as quotes have it makes this one and all behind it end at the next ``>``."""
+        self._stack: list[int] = []
+        self._at: dict[str, list[int]] = defaultdict(list)
+        self._push(0)
+        at, quotes = 0, True
         while True:
-            found = search(source, at)
+            found = _START.search(source, at)
             text = source[at : found.start() if found else len(source)]
             if text:
                 self.events.append((self._stack[-1], text))
             if not found:
                 break
-            at = found.end()
             tag = found[2]
             if tag is None:
+                mark = "-->" if found[0] == "<!--" else ">"
+                end = source.find(mark, found.end())
+                at = end + len(mark) if end >= 0 else len(source)
                 continue
-            tag = tag.lower()
+            rest = _REST.match(source, found.end()) if quotes else None
+            if rest is None:
+                quotes = False
+                end = source.find(">", found.end()) + 1
+                if not end:
+                    self.events.append((self._stack[-1], source[found.start() :]))
+                    break
+            else:
+                end = rest.end()
+            attributes, at, tag = source[found.end() : end - 1], end, tag.lower()
             if found[1]:
                 if tag not in _VOID:
                     self._close(frozenset((tag,)), frozenset() if tag in ("body", "html", "article", "main", "table", "div", "section") else frozenset(("article", "main")) - {tag})
                 continue
             if tag in _CLOSES_P:
-                self._close(frozenset(("p",)), _SCOPES)
+                self._close(_P, _SCOPES)
             if tag in _ENDS:
-                self._close(_ENDS[tag], _SCOPES - {"td"} if tag in ("td", "th", "tr") else _SCOPES)
+                self._close(_ENDS[tag], _CELL_SCOPES if tag in ("td", "th", "tr") else _SCOPES)
             if tag in _BLOCK:
                 self.events.append((self._stack[-1], None))
-            element = self._open(tag, found[3])
-            if tag in _VOID or (found[3].endswith("/") and tag in ("svg", "math")):
+            element = self._open(tag, attributes)
+            if tag in _VOID or (attributes.endswith("/") and tag in ("svg", "math")):
                 self.stop[element] = len(self.events)
             elif tag in _RAW:
-                end = _RAW[tag].search(source, at)
-                inside = source[at : end.start() if end else len(source)]
-                self.events.append((element, inside))
+                close = _RAW[tag].search(source, at)
+                self.events.append((element, source[at : close.start() if close else len(source)]))
                 self.stop[element] = len(self.events)
-                at = end.end() if end else len(source)
+                at = close.end() if close else len(source)
             else:
-                self._stack.append(element)
+                self._push(element)
         while self._stack:
             self._pop()
 
@@ -142,8 +163,6 @@ class Page:
         n = len(self.tag)
         self.size, self.dropped, self.named, self.hashes = [0] * n, [False] * n, [set()] * n, [0] * n
         parts: list[list[str]] = [[] for _ in range(n)]
-        texts = [""] * 0
-        del texts
         for element, text in self.events:
             if text is not None:
                 clean = " ".join(text.split())
@@ -162,34 +181,45 @@ class Page:
             if self.tag[i] in _CONTAINER:
                 self.hashes[i] = xxhash.xxh3_64_intdigest(own)
 
-    def root(self) -> int:
-        """The article: the largest <article>, else <main>, else an element named as content, else the page."""
+    def root(self, gone: list[bool]) -> int:
+        """The article: the largest <article> that isn't gone, else <main>, else an element named as content, else the page."""
         n = len(self.tag)
-        gone = [False] * n
-        for i in range(1, n):
-            gone[i] = self.dropped[i] or gone[self.parent[i]]
+        size = [0] * n
+        for element, text in self.events:
+            if text is not None and not gone[element]:
+                size[element] += len(text.strip())
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
         for wanted in (lambda i: self.tag[i] == "article", lambda i: self.tag[i] == "main" or "role" in self.attributes[i] and self.words(i)[1] == "main", lambda i: bool(self.named[i] & _BODIES) and self.tag[i] in ("div", "section", "td")):
-            found = [i for i in range(1, n) if not gone[i] and wanted(i) and self.size[i]]
+            found = [i for i in range(1, n) if not gone[i] and size[i] and wanted(i)]
             if found:
-                return max(found, key=lambda i: (self.size[i], -i))
+                return max(found, key=lambda i: (size[i], -i))
         return 0
 
-    def text(self, template: frozenset[int] | set[int], host: bytes) -> str:
-        root = self.root()
-        marked = [i for i in range(1, len(self.tag)) if self.hashes[i] and not self.dropped[i] and template and key(host, self.hashes[i]) in template]
-        # a paragraph of the article, or most of it, that other pages repeat is still the article
-        marked = [i for i in marked if self._inside(i, root) and (root == 0 or self.tag[i] != "p") and 2 * self.size[i] < self.size[root]]
-        out = self._joined(root, set(marked))
-        return out if out or not marked else self._joined(root, set())
-
-    def _inside(self, i: int, root: int) -> bool:
-        return i != root and self.first[root] <= self.first[i] and (root == 0 or self.stop[i] <= self.stop[root]) and i > root
-
-    def _joined(self, root: int, template: set[int]) -> str:
-        n = len(self.tag)
-        gone = [False] * n
-        for i in range(root + 1, n):
+    def _gone(self, template: set[int]) -> list[bool]:
+        gone = [False] * len(self.tag)
+        for i in range(1, len(self.tag)):
             gone[i] = self.dropped[i] or i in template or gone[self.parent[i]]
+        return gone
+
+    def text(self, template: frozenset[int] | set[int], host: bytes) -> str:
+        """Without the subtrees in ``template``, which go before the article is looked for."""
+        marked = {i for i in range(1, len(self.tag)) if self.hashes[i] and not self.dropped[i] and template and key(host, self.hashes[i]) in template}
+        # what is most of a page is its article, and so are paragraphs within one, whatever other pages repeat
+        marked = {i for i in marked if 2 * self.size[i] < self.size[0] and not (self.tag[i] == "p" and self._in_article(i))}
+        out = self._joined(marked)
+        return out if out or not marked else self._joined(set())
+
+    def _in_article(self, i: int) -> bool:
+        while i > 0:
+            i = self.parent[i]
+            if self.tag[i] in ("article", "main") or self.named[i] & _BODIES:
+                return True
+        return False
+
+    def _joined(self, template: set[int]) -> str:
+        gone = self._gone(template)
+        root = self.root(gone)
         blocks: list[str] = []
         run: list[str] = []
         stop = self.stop[root] if root else len(self.events)
@@ -220,40 +250,49 @@ def _parsed(source: str | None) -> Page:
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """Rows (host, subtree) of each page's distinct container subtrees, and (host, null) once a page; ``pages`` is (url, html)."""
+    """Rows (host, subtree, text) of each page's distinct container subtrees, and (host, null, text) once a page.
+
+    ``pages`` is (url, html); text is a hash of the page's text as it is with no
+    templates known, so that copies of a page can count as one.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, keys = [], []
+            hosts, keys, texts = [], [], []
             for url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 host = host_of(url)
                 page = _parsed(source)
                 found = {key(host, h) for h in page.hashes if h}
                 hosts += [key(host, 0)] * (len(found) + 1)
                 keys += [None, *found]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64())], names=["host", "subtree"])
+                texts += [key(page.text(frozenset(), host).encode("utf-8", "surrogatepass"), 0)] * (len(found) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (hosts, keys, texts)], names=["host", "subtree", "text"])
 
-    return pages.mapInArrow(run, "host long, subtree long")
+    return pages.mapInArrow(run, "host long, subtree long, text long")
 
 
-def template_subtrees(df: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """Rows (subtree): hashes, of host and subtree, of the subtrees that many pages of their host hold."""
-    counted = _subtrees(df.select(url_col, html_col)).groupBy("host", "subtree").agg(F.count("*").alias("n"))
+def template_subtrees(df: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
+    """Rows (subtree): hashes, of host and subtree, of the subtrees that many pages of their host hold.
+
+    Pages of one host with the same text count as one: what copies of an article share is no template.
+    """
+    counted = _subtrees(df.select(url_col, html_col)).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     pages = counted.where("subtree is null").select("host", F.col("n").alias("pages"))
     often = counted.where(F.col("subtree").isNotNull() & (F.col("n") >= least_pages))
-    return often.join(pages, "host").where(F.col("n") >= share * F.col("pages")).select("subtree").distinct()
+    return often.join(pages, "host").where(F.col("n") >= F.log2("pages")).select("subtree").distinct()
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """Rows (id_col, url_col, text, n_chars): the main text of each page.
 
     Character references are decoded, white space within and between blocks is one
-    space, the ends are trimmed. A null or empty page has the empty text; a null url
-    is a host of its own. Rows keep their number; equal rows give equal rows; other
-    columns are ignored. An empty table gives no rows.
+    space, the ends are trimmed. A null or empty page has the empty text; null urls
+    are one host. Rows keep their number; equal rows give equal rows; other columns
+    are ignored. An empty table gives no rows. A page takes time in proportion to its
+    length, however its tags nest.
     """
     spark = df.sparkSession
-    template = template_subtrees(df, url_col, html_col).persist()
+    template = cut(template_subtrees(df, url_col, html_col), "templates")
     types = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long"
     pages = df.select(id_col, url_col, html_col)
     names = [id_col, url_col, "text", "n_chars"]

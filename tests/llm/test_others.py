@@ -23,6 +23,39 @@ def test_main_text_and_templates(spark):
     assert pages.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_templates_decide_where_names_say_nothing(spark):
+    """The counts per host in plain Python; the same boxes on a host that has them on few pages stay."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    boxes = {h: [f"<div><div>{' '.join(word() for _ in range(6))}</div></div>" for _ in range(4)] for h in "uv"}
+    rows, want = [], {}
+    for i in range(60):
+        host = "u" if i < 50 else "v"
+        own, extra = " ".join(word() for _ in range(40)), [b for b in boxes["u"] if rnd.random() < (0.5 if host == "u" else 0.3)]
+        rows.append((i, f"http://{host}.net/{i}", f"<body><div>{own}</div>{''.join(extra)}</body>", extra, own))
+    for i in range(60, 70):  # copies of one page are one
+        rows.append((i, f"http://u.net/{i}", "<body><div>" + "same words " * 30 + "</div><div>last same words</div></body>", [], "same words " * 30 + "last same words"))
+    count = defaultdict(int)
+    for i, url, _, extra, _ in rows:
+        for b in extra:
+            count[url[7], b] += 1
+    for i, url, _, extra, own in rows:
+        left = [b for b in extra if count[url[7], b] < max(5, np.log2(51 if url[7] == "u" else 10))]
+        want[i] = " ".join([own, *(b.replace("<div>", "").replace("</div>", "") for b in left)])
+    assert any(count["u", b] >= 6 for b in boxes["u"]) and any(0 < count["v", b] < 5 for b in boxes["u"])
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract_main_text(df).collect()} == want
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for source in ("<a " * 100_000, "<b>" * 40_000 + "<div>x</div></i>" * 20_000, '<a href="x>hi ' * 40_000, "<p>" + "<b>" * 40_000 + "</p>" * 40_000, "<!-- " * 100_000, "<a " + "b" * 400_000 + ">t", "<table>" + "<tr><td>" * 40_000):
+        began = time.time()
+        pages._parsed(source).text(frozenset(), b"h")
+        assert time.time() - began < 10
+
+
 def test_tool_calls(spark):
     calls = [(1, 0, "a", "t", '{"y":1.50,"x":"s"}', None), (1, 1, "b", "t", '{"x":1}', ["c"]), (1, 2, "c", "t", '{"x":"1","x":"2"}', ["a"]), (1, 6, "e", "t", '{"y":2}', ["f"]), (1, 7, "f", "t", '{"x":"q"}', ["e"]), (1, 8, "g", "t", '{"x":"q"}', ["f"]), (None, 1, "x", "t", "{}", None)]
     c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, depends array<string>").withColumn("place", F.lit(1))
