@@ -15,6 +15,8 @@ from observatory.shared import cut
 
 #: Places of a conversation that one task orders.
 SPAN = 1000
+#: Calls of a conversation that are brought into order together; longer ones go through joins.
+SMALL = 500
 
 _KINDS = {"integer": "BIGINT", "number": "(BIGINT|DECIMAL.*|DOUBLE|FLOAT)", "string": "STRING", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID", "any": ".*"}
 
@@ -44,41 +46,83 @@ def _checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return rows.withColumn("errors", errors).drop("params", "types")
 
 
-def _ordered(calls: DataFrame) -> DataFrame:
+def _settled(nodes: str) -> Column:
+    """(late, hop) of each of a conversation's calls; ``nodes`` is an array of (turn, froms: places in it), in its order.
+
+    Rounds within one expression; a round takes over the largest (late, hop) of the
+    calls depended on. Whatever still moves after more rounds than a path can have
+    hops is on a cycle or behind one.
+    """
+    kind = "array<struct<late:bigint,hop:bigint>>"
+    return F.expr(f"""
+      aggregate(sequence(1, 2 * size({nodes}) + 3),
+        named_struct('now', cast(transform({nodes}, n -> named_struct('late', n.turn, 'hop', 0L)) as {kind}), 'moved', true),
+        (s, round) -> if(NOT s.moved, s,
+          named_struct(
+            'now', cast(transform({nodes}, (n, i) -> aggregate(n.froms, named_struct('late', n.turn, 'hop', 0L),
+              (best, f) -> greatest(best, if(s.now[f].hop > size({nodes}), named_struct('late', {2**63 - 1}L, 'hop', size({nodes}) + 1L), named_struct('late', s.now[f].late, 'hop', s.now[f].hop + 1L))))) as {kind}),
+            'moved', s.now != cast(transform({nodes}, (n, i) -> aggregate(n.froms, named_struct('late', n.turn, 'hop', 0L),
+              (best, f) -> greatest(best, if(s.now[f].hop > size({nodes}), named_struct('late', {2**63 - 1}L, 'hop', size({nodes}) + 1L), named_struct('late', s.now[f].late, 'hop', s.now[f].hop + 1L))))) as {kind}))),
+        s -> s.now)""")
+
+
+def _ordered(calls: DataFrame, small: int) -> DataFrame:
     """``calls`` with ``late`` and ``hop``: by (late, hop, turn) each call stands behind those it depends on; hop is null on and behind cycles.
 
     By their turns calls stand right unless one depends on a later one; such a call
     takes over the later one's place, ``hop`` behind it. Only conversations with such
-    a dependency go through the rounds, one for each further step of a chain.
+    a dependency are ordered: up to ``small`` calls within one expression, longer ones
+    by rounds of joins, one for each further step of a chain.
     """
     edges = calls.select("conv_id", F.col("call_id").alias("to"), F.explode("depends").alias("call_id")).distinct()
     turns = calls.select("conv_id", "call_id", "turn")
     edges = edges.join(turns, ["conv_id", "call_id"]).select("conv_id", F.col("call_id").alias("from"), F.col("turn").alias("from_turn"), F.col("to").alias("call_id")).join(turns, ["conv_id", "call_id"])
     edges = cut(edges.select("conv_id", "from", F.col("call_id").alias("to"), (F.col("from_turn") >= F.col("turn")).alias("back")), "depends")
-    if not edges.where("back").head(1):
-        return calls.withColumn("late", F.col("turn")).withColumn("hop", F.lit(0).cast("long"))
     odd = edges.where("back").select("conv_id").distinct()
-    size = calls.groupBy("conv_id").agg(F.count("*").alias("size")).join(odd, "conv_id")
-    state = cut(turns.join(size, "conv_id").select("conv_id", "call_id", "turn", "size", F.col("turn").alias("late"), F.lit(0).cast("long").alias("hop")), "order")
-    edges = cut(edges.join(odd, "conv_id", "left_semi").select("conv_id", "from", "to"), "depends")
+    size = cut(calls.groupBy("conv_id").agg(F.count("*").alias("size")).join(odd, "conv_id"), "odd")
+    short = size.where(F.col("size") <= small).select("conv_id")
+    # at most ``small`` rows a conversation from here on
+    numbered = turns.join(short, "conv_id").withColumn("at", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "call_id")) - 1).cast("int"))
+    at = numbered.select("conv_id", "call_id", "at")
+    froms = edges.join(short, "conv_id").join(at.toDF("conv_id", "from", "f"), ["conv_id", "from"]).groupBy("conv_id", F.col("to").alias("call_id")).agg(F.array_sort(F.collect_list("f")).alias("froms"))
+    node = F.struct("at", F.col("turn").cast("long").alias("turn"), F.coalesce("froms", F.array().cast("array<int>")).alias("froms"), "call_id")
+    nodes = numbered.join(froms, ["conv_id", "call_id"], "left").groupBy("conv_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    done = nodes.withColumn("now", _settled("nodes")).select("conv_id", F.size("nodes").alias("size"), F.explode(F.arrays_zip("nodes", "now")).alias("x"))
+    state = done.select("conv_id", F.col("x.nodes.call_id").alias("call_id"), "size", F.col("x.now.late").alias("late"), F.col("x.now.hop").alias("hop"))
+    if size.where(F.col("size") > small).head(1):
+        state = state.union(_by_rounds(turns, edges, size.where(F.col("size") > small)))
+    state = state.select("conv_id", "call_id", F.col("late").alias("new_late"), F.when(F.col("hop") <= F.col("size"), F.col("hop")).alias("new_hop"), F.lit(True).alias("odd"))
+    out = calls.join(state, ["conv_id", "call_id"], "left")
+    return out.withColumn("late", F.coalesce("new_late", "turn")).withColumn("hop", F.when(F.col("odd"), F.col("new_hop")).otherwise(F.lit(0).cast("long"))).drop("new_late", "new_hop", "odd")
+
+
+def _by_rounds(turns: DataFrame, edges: DataFrame, size: DataFrame) -> DataFrame:
+    """Rows (conv_id, call_id, size, late, hop) of the conversations in ``size``, whose calls no task holds together."""
+    state = cut(turns.join(size, "conv_id").select("conv_id", "call_id", "turn", "size", F.col("turn").cast("long").alias("late"), F.lit(0).cast("long").alias("hop")), "order")
+    edges = cut(edges.join(size, "conv_id", "left_semi").select("conv_id", "from", "to"), "depends")
+    # what stands on no cycle nor behind one goes, a layer each round; a cycle alone stops it at once
+    left = edges
+    while True:
+        free = left.select(F.col("conv_id"), F.col("from").alias("call_id")).distinct().join(left.select("conv_id", F.col("to").alias("call_id")).distinct(), ["conv_id", "call_id"], "left_anti")
+        fewer = cut(left.join(free.withColumnRenamed("call_id", "from"), ["conv_id", "from"], "left_anti"), "cyclic")
+        if not left.join(free.withColumnRenamed("call_id", "from"), ["conv_id", "from"], "left_semi").head(1):
+            break
+        left = fewer
+    endless = left.select("conv_id", F.col("to").alias("call_id")).distinct()
+    last = state.join(endless, ["conv_id", "call_id"], "left_semi").select("conv_id", "call_id", "size", F.lit(2**63 - 1).alias("late"), (F.col("size") + 1).alias("hop"))
+    state = cut(state.join(endless, ["conv_id", "call_id"], "left_anti"), "order")
     while True:
         ahead = state.select("conv_id", F.col("call_id").alias("from"), "late", (F.col("hop") + 1).alias("hop"))
         ahead = edges.join(ahead, ["conv_id", "from"]).groupBy("conv_id", F.col("to").alias("call_id")).agg(F.max(F.struct("late", "hop")).alias("a"))
-        # more hops than calls: on a cycle, or behind one
-        endless = (F.col("a.hop") > F.col("size")) | (F.col("hop") > F.col("size"))
-        last = F.struct(F.lit(2**63 - 1).alias("late"), (F.col("size") + 1).alias("hop"))
-        placed = F.when(endless, last).when(F.col("a.late") >= F.col("turn"), F.col("a")).otherwise(F.struct(F.col("turn").alias("late"), F.lit(0).cast("long").alias("hop")))
+        placed = F.when(F.col("a.late") >= F.col("turn"), F.col("a")).otherwise(F.struct(F.col("turn").cast("long").alias("late"), F.lit(0).cast("long").alias("hop")))
         new = state.join(ahead, ["conv_id", "call_id"], "left").withColumn("b", placed)
         new = cut(new.select("conv_id", "call_id", "turn", "size", F.col("b.late").alias("late"), F.col("b.hop").alias("hop"), ((F.col("b.late") != F.col("late")) | (F.col("b.hop") != F.col("hop"))).alias("changed")), "order")
         state = new.drop("changed")
         if not new.where("changed").head(1):
-            break
-    state = state.select("conv_id", "call_id", F.col("late").alias("new_late"), F.when(F.col("hop") <= F.col("size"), F.col("hop")).alias("new_hop"), F.lit(True).alias("odd"))
-    out = calls.join(state, ["conv_id", "call_id"], "left")
-    return out.withColumn("late", F.coalesce("new_late", "turn")).withColumn("hop", F.when(F.col("odd"), F.col("new_hop")).otherwise(F.lit(0).cast("long"))).drop("new_late", "new_hop", "odd")
+            return state.select("conv_id", "call_id", "size", "late", "hop").union(last)
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, small: int = SMALL) -> DataFrame:
     """One row per call and per result without a call: (conv_id, call_id, place, status, errors, message).
 
     ``calls`` is (conv_id, turn, call_id, name, arguments JSON, depends array of
@@ -101,7 +145,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     body = F.struct("turn", "name", "arguments", F.array_sort("depends").alias("depends"))
     calls = calls.where(keyed).groupBy("conv_id", "call_id").agg(F.min(body).alias("b")).select("conv_id", "call_id", "b.*")
     results = results.where(keyed).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", F.col("content"))).alias("r")).select("conv_id", "call_id", F.col("r.content").alias("content"), F.lit(True).alias("answered"))
-    placed = _ordered(_checked(calls, schemas))
+    placed = _ordered(_checked(calls, schemas), small)
     cyclic = F.col("hop").isNull()
     placed = cut(placed.withColumn("late", F.when(~cyclic, F.col("late"))).withColumn("span", F.when(~cyclic, F.floor(F.col("late") / SPAN))), "calls")
     # places within a span, and how many stand in the spans before
@@ -129,18 +173,31 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
 
 
 def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calls, results) of plain conversations: each user turn calls the tool ``reply``.
-
-    The assistant's turn behind it is the result of that call, and a call depends on
-    the one two turns before. Roles are compared in lower case; turns of any other
-    role, such as system, are neither calls nor results and left out. These calls fit
-    their schema and depend on earlier turns only.
+    """(calls, results) of plain conversations, as models that err make them.
+
+    Each user turn is a call of the tool ``reply`` with turn, prompt and length; the
+    assistant's turn behind it is its result. By (31 conv_id + turn) mod 12 some calls
+    are no object (1), name an unknown tool (3), miss turn (5), have it as text (7) or
+    carry an unknown parameter (9). By conv_id mod 3 a call depends on the one before
+    (0), on the one behind (1), or, by pairs and in conversations of even number, each
+    of a pair on the other (2). By (conv_id + turn) mod 9 = 0 a result names a call
+    that nobody made. Roles are compared in lower case; turns of any other role, such
+    as system, are neither calls nor results.
     """
-    role = F.lower("role")
-    call_id = F.concat_ws("-", F.lit("call"), F.col("conv_id"), F.col("turn"))
-    arguments = F.to_json(F.struct(F.col("turn"), F.coalesce("text", F.lit("")).alias("prompt"), F.length(F.coalesce("text", F.lit(""))).alias("length")))
-    before = F.array(F.concat_ws("-", F.lit("call"), F.col("conv_id"), F.col("turn") - 2))
-    calls = conversations.where(role == "user").select("conv_id", "turn", call_id.alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), before.alias("depends"))
-    answer = F.concat_ws("-", F.lit("call"), F.col("conv_id"), F.col("turn") - 1)
+    role, conv, turn = F.lower("role"), F.col("conv_id"), F.col("turn")
+    call_id = F.concat_ws("-", F.lit("call"), conv, turn)
+    prompt = F.coalesce("text", F.lit(""))
+    length, prompt = F.length(prompt).alias("length"), prompt.alias("prompt")
+    odd = F.pmod(conv * 31 + turn, F.lit(12))
+    arguments = (
+        F.when(odd == 1, F.to_json(F.array(turn))).when(odd == 5, F.to_json(F.struct(prompt, length))).when(odd == 7, F.to_json(F.struct(turn.cast("string").alias("turn"), prompt, length)))
+        .when(odd == 9, F.to_json(F.struct(turn, prompt, length, F.lit("en").alias("lang")))).otherwise(F.to_json(F.struct(turn, prompt, length)))
+    )
+    kind = F.pmod(conv, F.lit(3))
+    pair = F.when(F.pmod(conv, F.lit(2)) == 0, F.when(F.pmod(turn, F.lit(4)) < 2, turn + 2).otherwise(turn - 2))
+    depends = F.array(F.concat(F.lit("call-"), conv, F.lit("-"), F.when(kind == 0, turn - 2).when(kind == 1, turn + 2).otherwise(pair)))
+    name = F.when(odd == 3, "search").otherwise("reply")
+    calls = conversations.where(role == "user").select("conv_id", "turn", call_id.alias("call_id"), name.alias("name"), arguments.alias("arguments"), depends.alias("depends"))
+    answer = F.when(F.pmod(conv + turn, F.lit(9)) == 0, F.concat_ws("-", F.lit("nobody"), conv, turn)).otherwise(F.concat_ws("-", F.lit("call"), conv, turn - 1))
     results = conversations.where(role == "assistant").select("conv_id", "turn", answer.alias("call_id"), F.col("text").alias("content"))
     return calls, results

@@ -91,22 +91,36 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op3_tool_calls"] = """
-WITH calls AS (
-  SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, coalesce(text, '') AS prompt
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, (31 * conv_id + turn) % 12 AS odd, length(coalesce(text, '')) AS len, to_json(coalesce(text, '')) AS prompt,
+    CASE conv_id % 3 WHEN 0 THEN turn - 2 WHEN 1 THEN turn + 2 ELSE CASE WHEN conv_id % 2 = 0 THEN CASE WHEN turn % 4 < 2 THEN turn + 2 ELSE turn - 2 END END END AS wanted
   FROM conversations WHERE lower(role) = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), calls AS MATERIALIZED (
+  SELECT *, CASE WHEN odd = 3 THEN 'search' ELSE 'reply' END AS name,
+    CASE WHEN odd = 1 THEN '[' || turn || ']' ELSE '{' || CASE WHEN odd = 9 THEN '"lang":"en",' ELSE '' END || '"length":' || len || ',"prompt":' || prompt || CASE odd WHEN 5 THEN '' WHEN 7 THEN ',"turn":"' || turn || '"' ELSE ',"turn":' || turn END || '}' END AS arguments
+  FROM raw
 ), results AS (
-  SELECT conv_id, turn, 'call-' || conv_id || '-' || (turn - 1) AS call_id, text AS content
+  SELECT conv_id, CASE WHEN (conv_id + turn) % 9 = 0 THEN 'nobody-' || conv_id || '-' || turn ELSE 'call-' || conv_id || '-' || (turn - 1) END AS call_id, text AS content
   FROM conversations WHERE lower(role) = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), edges AS MATERIALIZED (
+  SELECT a.conv_id, a.turn AS source, b.turn AS target FROM calls b JOIN calls a ON a.conv_id = b.conv_id AND a.turn = b.wanted
+), sizes AS MATERIALIZED (SELECT conv_id, count(*) AS n FROM calls GROUP BY 1), paths AS (
+  SELECT conv_id, turn, turn AS late, 0 AS hop FROM calls
+  UNION SELECT p.conv_id, e.target, p.late, p.hop + 1 FROM paths p JOIN edges e ON e.conv_id = p.conv_id AND e.source = p.turn JOIN sizes s ON s.conv_id = p.conv_id WHERE p.hop <= s.n
+), best AS (
+  SELECT p.conv_id, turn, max(hop) > any_value(n) AS cyclic, max({'late': late, 'hop': hop}) AS at FROM paths p JOIN sizes s ON s.conv_id = p.conv_id GROUP BY ALL
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM calls
+  SELECT c.*, b.cyclic, row_number() OVER (PARTITION BY c.conv_id ORDER BY b.cyclic, CASE WHEN NOT b.cyclic THEN b.at.late END, CASE WHEN NOT b.cyclic THEN b.at.hop END, c.turn, c.call_id) - 1 AS place,
+    CASE WHEN name <> 'reply' THEN 'no_tool' WHEN json_type(arguments) <> 'OBJECT' THEN 'no_object' ELSE concat_ws(',',
+      CASE WHEN NOT json_exists(arguments, '$.turn') THEN 'missing:turn' END, CASE WHEN json_type(arguments, '$.turn') = 'VARCHAR' THEN 'type:turn' END, CASE WHEN json_exists(arguments, '$.lang') THEN 'unknown:lang' END) END AS errors
+  FROM calls c JOIN best b ON b.conv_id = c.conv_id AND b.turn = c.turn
 ), linked AS (
-  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.place, c.turn, c.prompt, r.content,
-    CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'ok' END AS status
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.place, c.name, c.arguments, coalesce(c.errors, '') AS errors, r.content,
+    CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN c.cyclic THEN 'cycle' WHEN c.errors <> '' THEN 'invalid' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'ok' END AS status
   FROM placed c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
 )
-SELECT conv_id, call_id, place, status, '' AS errors,
-  '{"arguments":' || CASE WHEN place IS NULL THEN 'null' ELSE '{"length":' || length(prompt) || ',"prompt":' || to_json(prompt) || ',"turn":' || turn || '}' END
-  || ',"call_id":' || to_json(call_id) || ',"name":' || CASE WHEN place IS NULL THEN 'null' ELSE '"reply"' END
+SELECT conv_id, call_id, place, status, errors,
+  '{"arguments":' || CASE WHEN arguments IS NULL OR starts_with(arguments, '[') THEN 'null' ELSE arguments END || ',"call_id":' || to_json(call_id) || ',"name":' || coalesce('"' || name || '"', 'null')
   || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS message
 FROM linked
 """

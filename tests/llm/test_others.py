@@ -63,14 +63,29 @@ def test_tool_calls(spark):
     h = spark.createDataFrame([("t", "x", "string", True), ("t", "y", "number", False)], "name string, param string, type string, required boolean")
     got = {(x.conv_id, x.call_id): (x.place, x.status, x.errors) for x in chat.link_tool_calls(c, r, h).collect()}
     assert got == {(1, "a"): (0, "ok", []), (1, "c"): (1, "invalid", ["no_object"]), (1, "b"): (2, "invalid", ["type:x"]), (1, "e"): (3, "cycle", ["missing:x"]), (1, "f"): (4, "cycle", []), (1, "g"): (5, "cycle", []), (2, "a"): (None, "orphan", [])}
+    assert got == {(x.conv_id, x.call_id): (x.place, x.status, x.errors) for x in chat.link_tool_calls(c.union(c), r.union(r), h, small=0).collect()}
     assert chat.link_tool_calls(c.limit(0), r.limit(0), h).count() == 0
 
 
+def test_long_chains_and_cycles_of_calls_end(spark):
+    """200 calls that each depend on the next one come reversed, 300 on a cycle come last."""
+    chain = [(1, i, f"c{i}", "t", "{}", [f"c{i + 1}"]) for i in range(200)]
+    ring = [(2, i, f"c{i}", "t", "{}", [f"c{(i + 1) % 300}"]) for i in range(300)] + [(2, 900, "d", "t", "{}", None), (2, 901, "e", "t", "{}", ["c5", "d"])]
+    c = spark.createDataFrame(chain + ring, "conv_id long, turn long, call_id string, name string, arguments string, depends array<string>")
+    r = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    h = spark.createDataFrame([("t", None, None, None)], "name string, param string, type string, required boolean")
+    for small, conv in ((500, (1, 2)), (10, (2,))):
+        got = {(x.conv_id, x.call_id): (x.place, x.status) for x in chat.link_tool_calls(c.where(F.col("conv_id").isin(*conv)), r, h, small=small).collect()}
+        assert [got[2, f"c{i}"] for i in range(300)] == [(i + 1, "cycle") for i in range(300)] and got[2, "d"] == (0, "no_result") and got[2, "e"] == (301, "cycle")
+        assert 1 not in conv or [got[1, f"c{i}"][0] for i in range(200)] == list(range(199, -1, -1))
+
+
 def test_tool_calls_equal_sql(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
     got = sorted(map(tuple, queries.QUERIES["op3_tool_calls"](spark, sf_dir).collect()), key=str)
     assert got == sorted(con.sql(queries.ORACLE_SQL["op3_tool_calls"]).fetchall(), key=str)
+    assert {r[3] for r in got} == {"ok", "invalid", "cycle", "no_result", "orphan"}
 
 
 def test_neighbours_recall(spark):
