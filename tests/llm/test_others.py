@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from observatory.llm import ann, chat, pages, queries, sharding, toxicity
@@ -164,8 +165,42 @@ def test_sharding_is_level_and_cheapest(spark):
     assert sharding.reshard(spark.createDataFrame([], "doc_id long, text string, old int"), F.col("old"), 3).count() == 0
 
 
-def test_rewrite_writes_touched_shards_only(spark, tmp_path):
-    df = spark.createDataFrame([(i, "t" * 10, i % 2) for i in range(40)], "doc_id long, text string, old int")
-    plan = sharding.reshard(df, F.col("old"), 2, shards=3)
-    touched = sharding.rewrite(df, F.col("old"), plan, str(tmp_path / "out"))
-    assert touched == [0, 1, 2] and spark.read.parquet(str(tmp_path / "out")).count() == 40
+def test_flow_is_the_cheapest_of_all():
+    """Against all ways to send small amounts."""
+    from itertools import product
+
+    def ways(n, m):
+        return [w for w in product(range(n + 1), repeat=m) if sum(w) == n]
+
+    rnd = random.Random(2)
+    for _ in range(40):
+        supply, cost = [rnd.randrange(4) for _ in range(3)], [[rnd.randrange(4) for _ in range(3)] for _ in range(3)]
+        capacity = [rnd.randrange(1, 5) for _ in range(3)]
+        if sum(capacity) < sum(supply):
+            continue
+        got = sharding.min_cost_flow(supply, capacity, cost)
+        best = min(sum(w[i][j] * cost[i][j] for i in range(3) for j in range(3)) for w in product(*(ways(s, 3) for s in supply)) if all(sum(w[i][j] for i in range(3)) <= capacity[j] for j in range(3)))
+        assert [sum(r) for r in got] == supply and sum(got[i][j] * cost[i][j] for i in range(3) for j in range(3)) == best
+
+
+def test_rewrite_writes_touched_shards_with_every_row_once(spark, tmp_path):
+    """Repeated ids, equal rows, null ids, clashing names; what moves is the least, but for a row at each end of a transfer."""
+    docs = [(i % 90, "t" * (20 + i % 7), i % 2, i) for i in range(300)] + [(None, None, 0, 1)] * 3 + [(7, "x" * 900, 1, 2)] * 2
+    df = spark.createDataFrame(docs, "doc_id long, text string, old int, slot int").withColumn("row", F.lit(1))
+    plan, touched = sharding.rewrite(df, F.col("old"), 2, str(tmp_path / "out"), shards=3)
+    plan = plan.collect()
+    assert touched == [0, 1, 2] and sorted(map(tuple, plan), key=str) == sorted(map(tuple, sharding.reshard(df, F.col("old"), 2, shards=3).collect()), key=str)
+    files = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, files.select("row.doc_id", "row.text", "row.old", "row.slot").collect()), key=str) == sorted(docs, key=str)
+    by = defaultdict(list)
+    for r in plan:
+        by[r.shard].append(r)
+    sizes = {j: sum(r.size for r in v) for j, v in by.items()}
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values()) and max(sizes.values()) - min(sizes.values()) < 200
+    total, moved = sum(sizes.values()), sum(r.size for r in plan if r.shard != r.old_shard)
+    assert moved - total / 3 < 200  # all that the new shard holds has to come from the others, and no more
+    three = spark.createDataFrame([(i, "t", i % 3) for i in range(30)], "doc_id long, text string, old int")
+    plan, touched = sharding.rewrite(three, F.col("old"), 3, str(tmp_path / "same"), shards=3)
+    assert touched == [] and plan.where("shard <> old_shard").count() == 0 and plan.count() == 30
+    with pytest.raises(Exception, match="old shard"):
+        sharding.reshard(three, F.col("old"), 2).collect()
