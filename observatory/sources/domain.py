@@ -56,6 +56,19 @@ VIEWS = {
     "developer_snapshots": """
         SELECT developer_id, captured_at, sum(n) OVER (PARTITION BY developer_id ORDER BY captured_at ROWS UNBOUNDED PRECEDING) AS followers
         FROM (SELECT developer_id, max(captured_at) AS captured_at, count(DISTINCT l_orderkey) AS n FROM {lines} GROUP BY developer_id, extract(year FROM captured_at), extract(month FROM captured_at)) x""",
+    "collection_runs": """
+        SELECT o_orderkey AS run_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'discover' ELSE 'refresh' END AS kind, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
+          CAST(o_orderdate AS TIMESTAMP) AS started_at, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR END AS finished_at,
+          concat(chr(123), '"partial":', CASE WHEN o_custkey % 10 = 0 THEN 'true' ELSE 'false' END, ',"candidates_examined":', CAST(o_custkey % 50 AS VARCHAR(20)), ',"new_repositories_saved":', CAST(o_custkey % 7 AS VARCHAR(20)),
+            ',"existing_repositories_reused":', CAST(o_custkey % 11 AS VARCHAR(20)), ',"budget_exhausted":', CASE WHEN o_custkey % 13 = 0 THEN 'true' ELSE 'false' END, chr(125)) AS report_json,
+          concat(chr(123), '"search":', CAST(o_custkey % 5 AS VARCHAR(20)), ',"contributors":', CAST(o_custkey % 9 AS VARCHAR(20)), chr(125)) AS requests_json
+        FROM {orders}""",
+    "artifacts": """
+        SELECT o_orderkey AS id, CASE o_custkey % 3 WHEN 0 THEN 'repository' WHEN 1 THEN 'developer' ELSE 'topic' END AS entity_type, CAST(o_custkey AS VARCHAR(20)) AS entity_key, o_orderpriority AS artifact_type,
+          CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 30 END AS window_days, CAST(o_orderdate AS TIMESTAMP) AS generated_at
+        FROM {orders}""",
+    "workspace": """
+        SELECT s_suppkey AS developer_id, s_suppkey % 2 = 0 AS saved, CASE s_suppkey % 3 WHEN 0 THEN 'interested' WHEN 1 THEN 'contacted' ELSE 'declined' END AS status FROM {supplier} WHERE s_acctbal > 0""",
 }
 
 
