@@ -32,38 +32,40 @@ def changed_only(df: DataFrame, key: str, at: str, fields: list[str]) -> DataFra
     return rows.where("__n = 1 or not __same").drop("__n", "__same")
 
 
-def _as_of(snapshots: DataFrame, targets: DataFrame, key: str, at: str, target: str, pick: Column) -> DataFrame:
-    """One row per row of ``targets``, by (key, target), with ``found``."""
-    joined = targets.select(key, target).distinct().join(snapshots, key, "left")
-    found = joined.groupBy(key, target).agg(pick.alias("found"))
-    return targets.join(found, [key, target], "left")
-
+def _as_of(snapshots: DataFrame, targets: DataFrame, key: str, at: str, target: str, forward: bool = False, inclusive: bool = True) -> DataFrame:
+    """One row per row of ``targets``, by (key, target), with ``found``: a struct of the observation, null if none.
 
-def _row(snapshots: DataFrame, key: str) -> Column:
-    return F.struct(*(c for c in snapshots.columns if c != key))
+    Observations and targets stand in one order of time, in which a target takes the
+    last observation before it; nothing is joined but each target's answer.
+    """
+    row = F.struct(*(c for c in snapshots.columns if c != key))
+    seen = snapshots.select(key, F.col(at).alias("__t"), F.lit(0).alias("__k"), row.alias("found"))
+    asked = targets.select(key, target).distinct().select(key, F.col(target).alias("__t"), F.lit(1 if inclusive else -1).alias("__k"), F.lit(None).cast(seen.schema["found"].dataType).alias("found"))
+    order = Window.partitionBy(key).orderBy(F.desc("__t") if forward else F.asc("__t"), "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = seen.union(asked).withColumn("found", F.last("found", ignorenulls=True).over(order)).where("__k <> 0").select(key, F.col("__t").alias(target), "found")
+    return targets.join(found, [key, target], "left")
 
 
 def at_or_before(snapshots: DataFrame, targets: DataFrame, key: str, at: str, target: str) -> DataFrame:
-    """Backward as-of, inclusive; ``found`` is a struct of the observation, null if none."""
-    kept = F.when(F.col(at) <= F.col(target), F.col(at))
-    return _as_of(snapshots, targets, key, at, target, F.max_by(F.when(kept.isNotNull(), _row(snapshots, key)), kept))
+    """Backward as-of, inclusive."""
+    return _as_of(snapshots, targets, key, at, target)
 
 
 def at_or_after(snapshots: DataFrame, targets: DataFrame, key: str, at: str, target: str) -> DataFrame:
-    kept = F.when(F.col(at) >= F.col(target), F.col(at))
-    return _as_of(snapshots, targets, key, at, target, F.min_by(F.when(kept.isNotNull(), _row(snapshots, key)), kept))
+    return _as_of(snapshots, targets, key, at, target, forward=True)
 
 
 def previous_of(snapshots: DataFrame, targets: DataFrame, key: str, at: str, target: str) -> DataFrame:
     """Backward as-of, exclusive."""
-    kept = F.when(F.col(at) < F.col(target), F.col(at))
-    return _as_of(snapshots, targets, key, at, target, F.max_by(F.when(kept.isNotNull(), _row(snapshots, key)), kept))
+    return _as_of(snapshots, targets, key, at, target, inclusive=False)
 
 
 def nearest_to(snapshots: DataFrame, targets: DataFrame, key: str, at: str, target: str) -> DataFrame:
     """On either side; of two as near, the older."""
-    gap = F.abs(F.unix_micros(at) - F.unix_micros(target))
-    return _as_of(snapshots, targets, key, at, target, F.min_by(F.when(F.col(at).isNotNull(), _row(snapshots, key)), F.when(F.col(at).isNotNull(), F.struct(gap, F.col(at)))))
+    both = _as_of(snapshots, at_or_before(snapshots, targets, key, at, target).withColumnRenamed("found", "__before"), key, at, target, forward=True)
+    gap = lambda x: F.abs(F.unix_micros(F.col(f"{x}.{at}")) - F.unix_micros(target))
+    older = F.col("found").isNull() | (gap("__before") <= gap("found"))
+    return both.withColumn("found", F.when(F.col("__before").isNotNull() & older, F.col("__before")).otherwise(F.col("found"))).drop("__before")
 
 
 def series_windows(snapshots: DataFrame, key: str, at: str, fields: list[str], windows: tuple[int, ...] = WINDOWS) -> DataFrame:

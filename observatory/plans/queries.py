@@ -39,8 +39,8 @@ def dense_scored(s: SparkSession, d: str) -> DataFrame:
 
 
 def end_of(df: DataFrame, at: str) -> Column:
-    """The newest instant as a literal: one row comes to the driver."""
-    return F.lit(df.agg(F.max(at)).first()[0])
+    """The newest instant as a scalar subquery: it runs with the query, and once wherever it stands."""
+    return df.agg(F.max(at)).scalar()
 
 
 # ---- time

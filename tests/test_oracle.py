@@ -6,10 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from observatory.plans.oracle import ORACLE_SQL
+from observatory.plans import lists_oracle, oracle
 from observatory.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+ORACLE_SQL = oracle.ORACLE_SQL | lists_oracle.ORACLE_SQL
+
+
 def plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 5) + 0.0
