@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from observatory.llm.arrow import filled, held
+from observatory.llm.arrow import filled, held, let_go
 from observatory.llm.shingles import mix
 
 #: Table of features.
@@ -73,17 +73,21 @@ class Model:
         return np.bincount(who, self.weights[feature], minlength=len(words))
 
 
-def fit(rows: list[tuple[list[str], int]], rounds: int = 100, smoothing: float = 1.0, penalty: float = 1e-3, weight: float = 0.5) -> Model:
+def fit(rows: Iterable[tuple[list[str], int]], rounds: int = 100, smoothing: float = 1.0, penalty: float = 1e-3, weight: float = 0.5) -> Model:
     """Rows of (distinct words, label 0 or 1). Without rows of both classes every score is the share of label 1 (0.5 without rows)."""
-    labels = np.array([y for _, y in rows], dtype=float)
+    index: dict[str, int] = {}
+    own, known = [], []
+    for words, y in rows:  # a row's words are kept as numbers only
+        own.append(np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int32))
+        known.append(y)
+    labels = np.array(known, dtype=float)
     weights = np.zeros(FEATURES, dtype=np.float32)
-    if not len(rows) or labels.min() == labels.max():
+    if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(weights, float(np.log(share / (1 - share))))
-    index: dict[str, int] = {}
-    word = np.concatenate([np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int32) for words, _ in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(words) for words, _ in rows])
+    word, row = np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(w) for w in own])
     names = list(index)
+    del own, index
     positive, negative = (np.bincount(word, labels[row] == y, minlength=len(names)) for y in (1, 0))
     p, q = np.zeros(FEATURES), np.zeros(FEATURES)
     chunks = [(low, names[low : low + CHUNK]) for low in range(0, len(names), CHUNK)]
@@ -106,7 +110,7 @@ def fit(rows: list[tuple[list[str], int]], rounds: int = 100, smoothing: float =
     by_class = np.where(labels == 1, weight / labels.sum(), (1 - weight) / (len(labels) - labels.sum()))
 
     def logits(w: np.ndarray, b: float) -> np.ndarray:
-        return np.bincount(row, np.bincount(who, (w * scale)[feature], minlength=len(names))[word], minlength=len(rows)) + b
+        return np.bincount(row, np.bincount(who, (w * scale)[feature], minlength=len(names))[word], minlength=len(labels)) + b
 
     # AdaGrad over all rows, both classes with the same weight; a weight below 0 would turn its ratio's sign
     # without any sign a text is no likelier of label 1 than the labels have it, and not predicted
@@ -145,17 +149,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen = part if chosen is None else chosen.union(part)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             out = ["\n".join(sorted(distinct_words(t or ""))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["y", "words"])
 
     # 2 * max_rows ids at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
-    got = rows.mapInArrow(run, "y int, words string").toArrow()
-    order = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist()))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    got = texts.mapInArrow(run, "y int, words string").toArrow()
+    order = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist()), reverse=True)
     del got
-    known: dict[str, str] = {}  # one object for each word
-    return fit([([known.setdefault(w, w) for w in words.split("\n")] if words else [], y) for words, y in order])
+
+    def rows() -> Iterator[tuple[list[str], int]]:
+        while order:  # a text goes once it is read
+            words, y = order.pop()
+            yield words.split("\n") if words else [], y
+
+    return fit(rows())
 
 
 class _Words(dict):
@@ -192,15 +202,15 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         words = held(("toxicity", name), lambda: _Words(Model(np.frombuffer(shared.value[0], np.float32), shared.value[1])))
         bias = shared.value[1]
         for b in batches:
-            out = []
-            texts = filled(b.column(0))
-            for low in range(0, len(texts), 200):
-                split = [distinct_words(t) for t in texts.slice(low, 200).to_pylist()]
+            for low in range(0, b.num_rows, 200):  # a part at a time: a batch may be large
+                part = b.slice(low, 200)
+                split = [distinct_words(t) for t in filled(part.column(at)).to_pylist()]
                 words.take(set().union(*split))
-                out += [sum(map(words.__getitem__, s)) + bias for s in split]
-            logits = np.clip(np.array(out, dtype=float), -500, 500)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(1 / (1 + np.exp(-logits)))], names=[*b.schema.names[1:], "score"])
+                logits = np.clip(np.array([sum(map(words.__getitem__, s)) + bias for s in split], dtype=float), -500, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(1 / (1 + np.exp(-logits)))], names=[*columns, "score"])
 
     columns = [id_col, *keep]
+    sent = columns if text_col in columns else [*columns, text_col]
+    at = sent.index(text_col)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(F.col(text_col).alias("__text"), *columns).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(run, f"{schema}, score double")
