@@ -237,3 +237,32 @@ def subgraph(all_edges: DataFrame, developers: DataFrame | None = None, reposito
                 keep = wanted.select(F.col("node").alias(end), F.lit(True).alias("__in")).distinct()
                 out = out.join(keep, end, "left").where(~F.startswith(end, F.lit(prefix)) | F.col("__in")).drop("__in").select(*all_edges.columns)
     return out
+
+
+def kept_repositories(repositories: DataFrame, topics: DataFrame, any_topics: list[str] | None = None, names: list[str] | None = None, min_momentum: float | None = None) -> DataFrame:
+    """(node) of the repositories in any of the topics, of the full names, and of so much momentum; a missing momentum is too little."""
+    rows = repositories
+    if any_topics is not None:
+        rows = rows.join(topics.where(F.col("topic").isin(any_topics)).select(F.col("repository_id").alias("id")), "id", "left_semi")
+    if names is not None:
+        rows = rows.where(F.col("full_name").isin(names))
+    if min_momentum is not None:
+        rows = rows.where(F.col("momentum") >= min_momentum)
+    return rows.select(F.concat(F.lit("R:"), F.col("id").cast("string")).alias("node"))
+
+
+def owner_edges(writes: DataFrame, seq: str) -> DataFrame:
+    """(source, target) of OWNS after all ``writes`` (repository_id, owner_id): a repository written again has its last owner, or none."""
+    last = writes.groupBy("repository_id").agg(F.max_by(F.struct("owner_id"), seq).alias("w")).select("repository_id", "w.owner_id").where("owner_id is not null")
+    return last.select(F.concat(F.lit("D:"), F.col("owner_id").cast("string")).alias("source"), F.concat(F.lit("R:"), F.col("repository_id").cast("string")).alias("target"))
+
+
+def memberships(assoc: DataFrame, topics: DataFrame) -> DataFrame:
+    """(developer_id, topics): the sorted topics of a developer's repositories."""
+    return assoc.join(topics, "repository_id").groupBy("developer_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
+
+
+def projection(ranked: DataFrame, most: int = 18) -> DataFrame:
+    """``ranked`` (node_type, node, label, weight, degree) with place: the ``most`` weightiest of each type, then by degree and label."""
+    order = Window.partitionBy("node_type").orderBy(F.desc("weight"), F.desc("degree"), "label")
+    return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

@@ -241,6 +241,48 @@ def topic_report(s: SparkSession, d: str) -> DataFrame:
     return reach.select("topic", "repositories", "contributing", "owning", "associated").crossJoin(top)
 
 
+@query
+def repository_report(s: SparkSession, d: str) -> DataFrame:
+    """One repository's reach and the repositories most like it."""
+    links, repos, assoc, topics = base._graph(s, d)
+    own = lambda x: x.where("repository_id = 5")
+    near = assoc.join(own(assoc).select("developer_id"), "developer_id", "left_semi")
+    reach = graph.repository_reach(repos.where("id = 5"), own(links), near, own(topics))
+    # only pairs with this repository
+    shared = near.where("repository_id <> 5").groupBy("repository_id").agg(F.count_distinct("developer_id").alias("shared_developers"))
+    top = shared.orderBy(F.desc("shared_developers"), "repository_id").limit(10).select(F.col("repository_id").alias("other"), "shared_developers")
+    return reach.select("repository_id", "owner", "contributors", "topics", "siblings").crossJoin(top)
+
+
+@query
+def subgraph_of_momentum(s: SparkSession, d: str) -> DataFrame:
+    """Edges whose repositories are in one of two topics and have a momentum of 0.5 or more."""
+    _, repos, _, topics = base._graph(s, d)
+    return graph.subgraph(base.graph_edges(s, d), repositories=graph.kept_repositories(repos, topics, ["size-1", "size-2"], min_momentum=0.5))
+
+
+@query
+def owner_changes(s: SparkSession, d: str) -> DataFrame:
+    """Each event writes its repository anew, an error without an owner."""
+    writes = view(s, d, "events").select(F.col("user_id").alias("repository_id"), F.when(F.col("event_type") != "error", F.col("event_id") % 7).alias("owner_id"), "event_id")
+    return graph.owner_edges(writes, "event_id")
+
+
+@query
+def developer_memberships(s: SparkSession, d: str) -> DataFrame:
+    _, _, assoc, topics = base._graph(s, d)
+    return graph.memberships(assoc, topics).select("developer_id", F.array_join("topics", ",").alias("topics"))
+
+
+@query
+def graph_projection(s: SparkSession, d: str) -> DataFrame:
+    """The 18 most central nodes of each type."""
+    nodes = base.graph_nodes(s, d)
+    named = lambda rows, prefix, c: rows.select(F.concat(F.lit(prefix), F.col(c).cast("string")).alias("node"), "weight", "degree")
+    ranked = named(base.centrality_developer(s, d), "D:", "developer_id").union(named(base.centrality_repository(s, d), "R:", "repository_id")).union(named(base.centrality_topic(s, d), "T:", "topic"))
+    return graph.projection(nodes.join(ranked, "node")).select("node_type", "node", "place", "weight")
+
+
 # ---- artifacts and runs
 
 

@@ -74,6 +74,11 @@ QUERIES = {
     "ecosystem_report": "",
     "developer_report": f"SELECT r.developer_id, d.login, r.contributed, r.owned, r.reached_repositories, r.reached_developers, r.reached_topics, c.degree, c.weight, b.memberships, b.bridge FROM ({BASE['reach_developer']}) r JOIN ({BASE['centrality_developer']}) c ON c.developer_id = r.developer_id JOIN {{developers}} d ON d.id = r.developer_id LEFT JOIN ({BASE['developer_bridges']}) b ON b.developer_id = r.developer_id WHERE r.developer_id = 3",
     "topic_report": f"SELECT * FROM ({BASE['reach_topic']}) r, (SELECT CASE WHEN a = 'size-1' THEN b ELSE a END AS other, developers AS shared_developers, repositories AS shared_repositories FROM (SELECT a.topic AS a, b.topic AS b, count(DISTINCT a.repository_id) FILTER (a.repository_id = b.repository_id) AS repositories, count(DISTINCT a.developer_id) AS developers FROM (SELECT t.topic, t.repository_id, p.developer_id FROM {{repository_topics}} t LEFT JOIN {{assoc}} p ON p.repository_id = t.repository_id) a JOIN (SELECT t.topic, t.repository_id, p.developer_id FROM {{repository_topics}} t LEFT JOIN {{assoc}} p ON p.repository_id = t.repository_id) b ON a.topic = 'size-1' AND b.topic <> a.topic AND a.developer_id = b.developer_id GROUP BY 1, 2) x ORDER BY 2 DESC, 3 DESC, 1 LIMIT 10) y WHERE r.topic = 'size-1'",
+    "repository_report": f"SELECT r.*, x.other, x.shared_developers FROM ({BASE['reach_repository']}) r, (SELECT b.repository_id AS other, count(DISTINCT b.developer_id) AS shared_developers FROM {{assoc}} a JOIN {{assoc}} b ON a.repository_id = 5 AND b.developer_id = a.developer_id AND b.repository_id <> 5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) x WHERE r.repository_id = 5",
+    "subgraph_of_momentum": "SELECT e.* FROM {graph_edges} e, (SELECT list('R:' || id) AS keep FROM {repos_scored} WHERE momentum >= 0.5 AND id IN (SELECT repository_id FROM {repository_topics} WHERE topic IN ('size-1', 'size-2'))) k WHERE (NOT starts_with(source, 'R:') OR list_contains(keep, source)) AND (NOT starts_with(target, 'R:') OR list_contains(keep, target))",
+    "owner_changes": "SELECT 'D:' || (event_id % 7) AS source, 'R:' || user_id AS target FROM (SELECT * FROM {events} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) x WHERE event_type <> 'error'",
+    "developer_memberships": "SELECT a.developer_id, array_to_string(list_sort(list(DISTINCT t.topic)), ',') AS topics FROM {assoc} a JOIN {repository_topics} t ON t.repository_id = a.repository_id GROUP BY 1",
+    "graph_projection": f"SELECT node_type, node, place, weight FROM (SELECT n.node_type, n.node, c.weight, row_number() OVER (PARTITION BY n.node_type ORDER BY c.weight DESC, c.degree DESC, n.label) AS place FROM ({BASE['graph_nodes']}) n JOIN (SELECT 'D:' || developer_id AS node, degree, weight FROM ({BASE['centrality_developer']}) d UNION ALL SELECT 'R:' || repository_id, degree, weight FROM ({BASE['centrality_repository']}) r UNION ALL SELECT 'T:' || topic, degree, weight FROM ({BASE['centrality_topic']}) t) c ON c.node = n.node) x WHERE place <= 18",
     "artifact_counts": "SELECT o_orderpriority AS artifact_type, count(*) AS artifacts FROM {orders} GROUP BY 1",
     "artifacts_newest": "SELECT id, entity_key, window_days, epoch_us(generated_at) AS generated_at FROM {artifacts} WHERE entity_type = 'developer' AND artifact_type = '2-HIGH' AND window_days = 7 ORDER BY {artifacts}.generated_at DESC, id DESC LIMIT 50",
     "artifact_by_key": "WITH fits AS (SELECT * FROM {artifacts} WHERE entity_type = 'repository' AND entity_key = '3') SELECT id, artifact_type, window_days FROM fits WHERE window_days = 30 OR NOT EXISTS (SELECT 1 FROM fits WHERE window_days = 30) ORDER BY generated_at DESC, id DESC LIMIT 5",
