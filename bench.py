@@ -17,6 +17,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from observatory.plans.queries import QUERIES
+    from observatory.shared import clear
 
     directory, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -31,6 +32,7 @@ def main() -> None:
             began = time.perf_counter()
             QUERIES[name](spark, directory).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
+            clear(spark)
         took[name] = round(statistics.median(runs), 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": Path(directory).name.removeprefix("sf")}))
 

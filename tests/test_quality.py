@@ -29,3 +29,14 @@ def test_quality_queries_have_all_windows(spark, sf_dir):
     rows = QUERIES["developer_quality_windows"](spark, sf_dir).collect()
     assert {r.window_days for r in rows} == {1, 7, 30}
     assert QUERIES["quality_flags"](spark, sf_dir).first().repositories > 0
+
+
+def test_cut_folders_can_be_cleared(spark):
+    from pathlib import Path
+
+    from observatory import shared
+
+    rows = shared.cut(spark.range(5).toDF("x"), "clear")
+    folder = Path(rows.inputFiles()[0].removeprefix("file://")).parent
+    assert rows.count() == 5 and folder.exists()
+    assert shared.clear(spark) >= 1 and not folder.exists() and shared.clear(spark) == 0
