@@ -7,6 +7,8 @@ stored; of several incoming rows of one key the order named here decides.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,21 @@ def due(rows: DataFrame, fetched: str, now: Column, days: int, fetched_limit: st
     return rows.where(old | (F.coalesce(F.col(fetched_limit), F.lit(0)) < limit) if fetched_limit else old)
 
 
+def cached_answers(events: DataFrame, key: str, at: str, seq: str, document: str, value: str, ttl: timedelta, keep: timedelta) -> DataFrame:
+    """(key, seq, answer, value) of each request: hit where its key's last document is younger than ``ttl``, stale below ``keep``, else miss.
+
+    ``document`` is true for documents; those of a request's own instant count.
+    """
+    span = lambda t: int(t.total_seconds() * 1e6)
+    found = F.struct(F.unix_micros(at).alias("at"), F.col(value).cast("string").alias("value"))
+    order = Window.partitionBy(key).orderBy(at, ~F.col(document), seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col(document), found), ignorenulls=True).over(order)
+    rows = events.where(F.col(key).isNotNull()).withColumn("__last", last).where(~F.coalesce(document, F.lit(False)))
+    age = F.unix_micros(at) - F.col("__last.at")
+    answer = F.when(age < span(ttl), "hit").when(age < span(keep), "stale").otherwise("miss")
+    return rows.select(F.col(key).alias("key"), F.col(seq).cast("bigint").alias("seq"), answer.alias("answer"), F.when(answer != "miss", F.col("__last.value")).alias("value"))
+
+
 def first_of(incoming: DataFrame, key: str, seq: str) -> DataFrame:
     """Candidates of a run: the first of each key, with ``duplicates`` counting the rest."""
     rest = [c for c in incoming.columns if c != key]

@@ -30,12 +30,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     one read instead of the whole history; nothing is kept on executors' disks.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, which ``clear`` deletes with what lies in it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes what ``cut`` has written in this process so far, and returns how many folders that were.
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from observatory.functions import expr, text
 from observatory.operators import ingest, quality
 from observatory.sources import landing
+from observatory.sources.store import ObservationLog
 from observatory.streaming import observations
 
 T0 = datetime(2024, 1, 1)
@@ -46,19 +47,13 @@ def test_first_candidate_and_versions(spark):
 def test_stream_equals_batch(spark, tmp_path):
     schema = "k long, at timestamp, v int, seq long"
     rows = [(1, T0, 1, 1), (1, T0 + timedelta(days=2), 2, 2), (1, T0, 9, 3), (2, T0, 4, 4)]
-    for i, r in enumerate(rows):
+    for r in rows:
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    state = {"n": 0}
-    path = lambda n: str(tmp_path / f"log{n}")
-
-    def write(df, number):
-        df.write.mode("overwrite").parquet(path(number + 1))
-        state["n"] = number + 1
-
-    q = observations.record_stream(observations.replay(spark, str(tmp_path / "in"), schema), lambda: spark.read.parquet(path(state["n"])) if state["n"] else None, write, ["k"], "at", "seq", str(tmp_path / "cp"))
+    log = ObservationLog(spark, f"file://{tmp_path}/log", spark.createDataFrame([], schema).schema, ["k"], "at")
+    q = observations.record_stream(observations.replay(spark, str(tmp_path / "in"), schema), log, "seq", str(tmp_path / "cp"))
     q.awaitTermination()
     assert q.exception() is None
-    got = sorted((r.k, r["at"], r.v) for r in spark.read.parquet(path(state["n"])).collect())
+    got = sorted((r.k, r["at"], r.v) for r in log.read().collect())
     assert [(k, v) for k, _, v in got] == [(1, 9), (1, 2), (2, 4)]
 
 
