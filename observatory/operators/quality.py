@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from observatory.functions import json
+
 
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Null over zero."""
@@ -61,17 +63,50 @@ def repository_flags(repositories: DataFrame, newest: DataFrame, at: Column, sta
     )
 
 
+def _meta(items: DataFrame) -> Column:
+    """An item's further pairs, by key and value; without a ``meta`` column there are none."""
+    if "meta" not in items.columns:
+        return F.array().cast("array<struct<key:string,value:string>>")
+    return F.array_sort(F.coalesce(F.map_entries("meta"), F.array().cast("array<struct<key:string,value:string>>")))
+
+
 def bundle(items: DataFrame, entity: str, order: list[str]) -> DataFrame:
-    """``items`` with evidence_id E1, E2, ... by the columns of ``order`` within each entity."""
-    return items.withColumn("evidence_id", F.concat(F.lit("E"), F.row_number().over(Window.partitionBy(entity).orderBy(*order)).cast("string")))
+    """``items`` with evidence_id E1, E2, ... by the columns of ``order``, then by their ``meta``, within each entity."""
+    w = Window.partitionBy(entity).orderBy(*order, _meta(items))
+    return items.withColumn("evidence_id", F.concat(F.lit("E"), F.row_number().over(w).cast("string")))
 
 
 def bundle_fingerprints(items: DataFrame, entity: str, order: list[str]) -> DataFrame:
-    """sha256 of each entity's items as JSON, in the order of their ids as texts (E10 before E2)."""
+    """(entity, items, fingerprint): sha256 of each entity's items as JSON, in the order of their ids as texts (E10 before E2).
+
+    ``items`` has kind, source, payload and, if it likes, a map ``meta``; its JSON is
+    that of ``json.dumps``: a list of objects id, kind, source, payload, meta, the last a
+    list of pairs.
+    """
     rows = bundle(items, entity, order)
-    entry = F.struct("evidence_id", F.to_json(F.struct(*sorted(["evidence_id", *order])), {"ignoreNullFields": "false"}).alias("j"))
+    pair = lambda e: F.concat(F.lit("["), json.string(e["key"]), F.lit(", "), json.string(e["value"]), F.lit("]"))
+    fields = {"id": json.string(F.col("evidence_id"))} | {n: json.string(F.col(n)) for n in ("kind", "source", "payload")} | {"meta": json.array(_meta(items), pair)}
+    entry = F.struct("evidence_id", json.obj(fields).alias("j"))
     out = rows.groupBy(entity).agg(F.count("*").alias("items"), F.array_sort(F.collect_list(entry)).alias("x"))
-    return out.select(entity, "items", F.sha2(F.concat(F.lit("["), F.array_join(F.transform("x", lambda e: e["j"]), ", "), F.lit("]")), 256).alias("fingerprint"))
+    return out.select(entity, "items", F.sha2(json.array(F.col("x"), lambda e: e["j"]), 256).alias("fingerprint"))
+
+
+def serialized_evidence(items: DataFrame, entity: str, entity_type: str, window_days: int, generated_at: Column, order: list[str]) -> DataFrame:
+    """(entity, fingerprint, bundle_json): each entity's bundle as it is stored, keys by name and characters as they are.
+
+    ``items`` has kind, source, payload and the instant ``observed_at``; instants are
+    written in UTC to the second.
+    """
+    # an instant is a text of fixed form
+    iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    plain = lambda c: json.string(c, False)
+    # instants may be scalar subqueries, which lambdas can't hold
+    rows = bundle(items, entity, order).withColumn("n", F.substring("evidence_id", 2, 19).cast("int"))
+    item = {"id": plain(F.col("evidence_id")), "observed_at": plain(iso(F.col("observed_at")))} | {n: plain(F.col(n)) for n in ("kind", "source", "payload")}
+    out = rows.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("n", json.obj(item, True).alias("j")))).alias("x"))
+    out = out.join(bundle_fingerprints(items, entity, order).select(entity, "fingerprint"), entity).withColumn("made", iso(generated_at))
+    whole = {"entity_type": plain(F.lit(entity_type)), "entity_key": plain(F.col(entity).cast("string")), "window_days": F.lit(str(window_days)), "fingerprint": plain(F.col("fingerprint")), "generated_at": plain(F.col("made")), "items": json.array(F.col("x"), lambda e: e["j"])}
+    return out.select(entity, "fingerprint", json.obj(whole, True).alias("bundle_json"))
 
 
 REPORT = "run_id string, kind string, status string, partial boolean, candidates_examined int, new_repositories_saved int, existing_repositories_reused int, budget_exhausted boolean, duration_seconds double"

@@ -42,6 +42,41 @@ def _cut(x: str, most: int) -> str:
     return f"CASE WHEN length({x}) > {most} THEN regexp_replace(substring({x}, 1, {most}), '{_SPACE}+$', '') || ' …[truncated]' WHEN {x} = '' THEN '—' ELSE {x} END"
 
 
+# JSON as Python's json.dumps writes it; braces stand for tables in these texts, so those of JSON are chr(123) and chr(125)
+_UNIT = "'\\u' || lpad(lower(to_hex({})), 4, '0')"
+_SHORT = "WHEN '\"' THEN '\\\"' WHEN '\\' THEN '\\\\' WHEN chr(10) THEN '\\n' WHEN chr(13) THEN '\\r' WHEN chr(9) THEN '\\t' WHEN chr(12) THEN '\\f' WHEN chr(8) THEN '\\b'"
+
+
+def _escaped(value: str, ascii_only: bool) -> str:
+    high, low = _UNIT.format("((unicode(c) - 65536) // 1024 + 55296)"), _UNIT.format("((unicode(c) - 65536) % 1024 + 56320)")
+    beyond = f"WHEN unicode(c) >= 65536 THEN {high} || {low} WHEN unicode(c) > 126 THEN {_UNIT.format('unicode(c)')} " if ascii_only else ""
+    one = f"CASE c {_SHORT} ELSE CASE {beyond}WHEN unicode(c) < 32 THEN {_UNIT.format('unicode(c)')} ELSE c END END"
+    return f"""'"' || array_to_string(list_transform(regexp_extract_all({value}, '(?s).'), lambda c: {one}), '') || '"'"""
+
+
+def _string(value: str) -> str:
+    return _escaped(value, True)
+
+
+def _plain(value: str) -> str:
+    return _escaped(value, False)
+
+
+def _quoted(value: str) -> str:
+    return f"""'"' || {value} || '"'"""
+
+
+def _object(fields: list[tuple[str, str]]) -> str:
+    return "chr(123) || " + " || ', ' || ".join(f"""'"{k}": ' || {v}""" for k, v in fields) + " || chr(125)"
+
+
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S+00:00')"
+_ODD = "CASE event_id % 5 WHEN 0 THEN '\"' WHEN 1 THEN chr(233) || '\\' WHEN 2 THEN chr(119070) WHEN 3 THEN chr(10) || chr(9) ELSE chr(8232) || chr(1) END"
+_PAIRS = f"'[[\"a\", ' || {_string('odd')} || '], [\"n\", ' || {_string('source')} || ']]'"
+_EVIDENCE = f"""(SELECT *, 'E' || place AS evidence_id, CASE WHEN event_id % 3 = 0 THEN {_PAIRS} ELSE '[]' END AS meta FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY kind, source, payload) AS place FROM
+    (SELECT event_id, user_id AS entity, event_type AS kind, CAST(event_id AS VARCHAR) AS source, {_ODD} AS odd, props || {_ODD} AS payload, ts AS observed_at FROM {{events}}) x) y)"""
+
+
 QUERIES = {
     "lookup_references": "SELECT ref, CASE WHEN regexp_full_match(n, '[0-9]+') THEN (SELECT id FROM {dense_repositories} WHERE CAST(id AS VARCHAR) = n) ELSE (SELECT id FROM {dense_repositories} WHERE full_name = n) END AS id FROM (SELECT ref, trim(trim(ref), '/') AS n FROM (VALUES ('7'), (' /org1/repo1/ '), ('ORG1/repo1'), ('12345678901'), ('nobody/x'), ('org2/repo2')) v(ref)) x",
     "repository_history": "SELECT id, epoch_us(captured_at) AS captured_at, stars, forks, watchers FROM {dense_snapshots} WHERE repository_id = 5",
@@ -102,7 +137,8 @@ QUERIES = {
     "prompts": f"SELECT entity, count(*) AS items, CAST(sum(length(p)) AS BIGINT) AS chars, sum(length(p)) >= 120 AS omitted, sha256(string_agg('[' || evidence_id || '] kind=' || kind || chr(10) || p, chr(10) || chr(10) ORDER BY evidence_id) || CASE WHEN sum(length(p)) >= 120 THEN chr(10) || chr(10) || '(remaining evidence omitted — hit the size cap)' ELSE '' END) AS text_sha256 FROM (SELECT *, substring(payload, 1, CAST(120 - before AS INT)) AS p FROM (SELECT *, coalesce(sum(length(payload)) OVER (PARTITION BY entity ORDER BY evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {_ITEMS} i) x WHERE before < 120) y GROUP BY 1",
     "safe_texts": "SELECT event_id, event_type AS topic, '<untrusted-data> kind=props' || chr(10) || 'key=[REDACTED] ' || props || chr(10) || '</untrusted-data>' AS wrapped, CASE WHEN event_type LIKE '%purchase%' THEN 'purchase' ELSE '' END AS secrets FROM {events}",
     "text_normalize": f"SELECT doc_id, {_cut('p', 120)} AS payload, md5({_cut('e', 10000)}) AS excerpt FROM (SELECT doc_id, {_stripped('clean')} AS p, {_stripped(f'regexp_replace(lines, {chr(39)}[\t\x0b\x0c\r \\x85\\p{{Z}}]+\\n{chr(39)}, chr(10), {chr(39)}g{chr(39)})')} AS e FROM (SELECT doc_id, clean, regexp_replace(clean, '\\r\\n?', chr(10), 'g') AS lines FROM (SELECT doc_id, regexp_replace({_RAW_TEXT}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS clean FROM {{documents}}) x) y) z",
-    "bundle_fingerprints": f"SELECT entity, count(*) AS items, sha256('[' || string_agg(o || '\"evidence_id\":\"' || evidence_id || '\",\"kind\":' || to_json(kind) || ',\"payload\":' || to_json(payload) || ',\"source\":' || to_json(source) || c, ', ' ORDER BY evidence_id) || ']') AS fingerprint FROM (SELECT *, chr(123) AS o, chr(125) AS c FROM {_ITEMS} i) x GROUP BY 1",
+    "bundle_fingerprints": f"SELECT entity, count(*) AS items, sha256('[' || string_agg({_object([('id', _string('evidence_id')), ('kind', _string('kind')), ('source', _string('source')), ('payload', _string('payload')), ('meta', 'meta')])}, ', ' ORDER BY evidence_id) || ']') AS fingerprint FROM {_EVIDENCE} e GROUP BY 1",
+    "stored_bundles": f"SELECT entity, length(j) AS n, sha256(j) AS bundle_sha256 FROM (SELECT entity, {_object([('entity_key', _quoted('CAST(entity AS VARCHAR)')), ('entity_type', _quoted(chr(39) + 'developer' + chr(39))), ('fingerprint', _quoted('fingerprint')), ('generated_at', _quoted(_ISO.format('newest'))), ('items', 'items'), ('window_days', chr(39) + '7' + chr(39))])} AS j FROM (SELECT entity, '[' || string_agg({_object([('id', _plain('evidence_id')), ('kind', _plain('kind')), ('observed_at', _quoted(_ISO.format('observed_at'))), ('payload', _plain('payload')), ('source', _plain('source'))])}, ', ' ORDER BY place) || ']' AS items, sha256('[' || string_agg({_object([('id', _string('evidence_id')), ('kind', _string('kind')), ('source', _string('source')), ('payload', _string('payload')), ('meta', 'meta')])}, ', ' ORDER BY evidence_id) || ']') AS fingerprint, (SELECT max(ts) FROM {{events}}) AS newest FROM {_EVIDENCE} e GROUP BY 1) x) y",
     "developer_quality_windows": "SELECT d.days AS window_days, count(*) AS links, count(a.delta) AS usable, count(*) FILTER (coalesce(a.delta IS NOT NULL AND a.gap <= d.days * 0.5, false)) AS complete, count(DISTINCT l.developer_id) AS developers, count(DISTINCT l.developer_id) FILTER (a.delta IS NOT NULL) AS developers_usable, count(DISTINCT l.developer_id) FILTER (coalesce(a.delta IS NOT NULL AND a.gap <= d.days * 0.5, false)) AS developers_complete FROM {links} l CROSS JOIN (VALUES (1), (7), (30)) d(days) LEFT JOIN {anchored} a ON a.repository_id = l.repository_id AND a.developer_id = l.developer_id AND a.window_days = d.days GROUP BY 1",
     "quality_flags": "SELECT count(*) AS repositories, count(*) FILTER (r.is_archived) AS archived, count(*) FILTER (r.is_fork) AS forked, count(*) FILTER (epoch_us((SELECT max(captured_at) FROM {dense_snapshots})) - epoch_us(l.newest_at) >= 24 * 3600000000) AS stale, count(*) FILTER (l.newest_at IS NULL) AS never_observed FROM {dense_repositories} r LEFT JOIN {last} l ON l.repository_id = r.id",
 }

@@ -529,8 +529,22 @@ def text_normalize(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "documents").select("doc_id", text.normalize_payload(raw, 120).alias("payload"), F.md5(text.normalize_excerpt(raw, 10000)).alias("excerpt"))
 
 
+def _evidence_items(s: SparkSession, d: str) -> DataFrame:
+    """Events as evidence: payloads with quotes, accents, a clef beyond 16 bits and line ends, some with further pairs."""
+    odd = F.element_at(F.array(*map(F.lit, ['"', "\u00e9\\", "\U0001d11e", "\n\t", "\u2028\x01"])), F.col("event_id").cast("int") % 5 + 1)
+    meta = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("n"), F.col("event_id").cast("string"), F.lit("a"), odd))
+    return view(s, d, "events").select(F.col("user_id").alias("entity"), F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("source"), F.concat("props", odd).alias("payload"), meta.alias("meta"), F.col("ts").cast("timestamp").alias("observed_at"))
+
+
 @query
 def bundle_fingerprints(s: SparkSession, d: str) -> DataFrame:
     """One evidence bundle per user, of their events."""
-    rows = view(s, d, "events").select(F.col("user_id").alias("entity"), F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("source"), F.col("props").alias("payload"))
-    return quality.bundle_fingerprints(rows, "entity", ["kind", "source", "payload"])
+    return quality.bundle_fingerprints(_evidence_items(s, d), "entity", ["kind", "source", "payload"])
+
+
+@query
+def stored_bundles(s: SparkSession, d: str) -> DataFrame:
+    """The bundles as they are stored: length and hash of their JSON."""
+    items = _evidence_items(s, d)
+    rows = quality.serialized_evidence(items, "entity", "developer", 7, end_of(items, "observed_at"), ["kind", "source", "payload"])
+    return rows.select("entity", F.length("bundle_json").cast("long").alias("n"), F.sha2("bundle_json", 256).alias("bundle_sha256"))

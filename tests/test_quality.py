@@ -40,3 +40,31 @@ def test_cut_folders_can_be_cleared(spark):
     folder = Path(rows.inputFiles()[0].removeprefix("file://")).parent
     assert rows.count() == 5 and folder.exists()
     assert shared.clear(spark) >= 1 and not folder.exists() and shared.clear(spark) == 0
+
+
+def test_json_has_the_bytes_of_json_dumps(spark):
+    import json as plain
+    import random
+
+    from observatory.functions import json
+
+    rnd = random.Random(2)
+    kinds = ['"\\\n\r\t\f\b/', "\x00\x01\x1f\x7f", "aé~ß", " ퟿￿", "\U00010000\U0001d11e\U0010ffff", "plain text"]
+    texts = [None, "", *kinds, *("".join(rnd.choice(rnd.choice(kinds)) for _ in range(rnd.randrange(40))) for _ in range(300)), 'x"' * 50_000]
+    df = spark.createDataFrame([(i, t, [t, "b"]) for i, t in enumerate(texts)], "i long, t string, a array<string>")
+    got = df.select("i", json.string(F.col("t")).alias("x"), json.string(F.col("t"), False).alias("y"), json.obj({"b": json.array(F.col("a"), json.string), "a": json.number(F.col("i"))}, True).alias("o")).collect()
+    for r in got:
+        t = texts[r.i]
+        assert r.x == plain.dumps(t) and r.y == plain.dumps(t, ensure_ascii=False) and r.o == plain.dumps({"a": r.i, "b": [t, "b"]})
+
+
+def test_fingerprint_is_that_of_canonical_json(spark):
+    import hashlib
+    import json
+
+    rows = [(1, "k", "s", f"p{i % 7}é", {"b": "2", "a": str(i)} if i % 2 else None) for i in range(12)]
+    items = spark.createDataFrame(rows, "entity long, kind string, source string, payload string, meta map<string,string>")
+    ordered = sorted(((k, s, p, sorted((m or {}).items())) for _, k, s, p, m in rows))
+    whole = sorted(({"id": f"E{i}", "kind": k, "source": s, "payload": p, "meta": m} for i, (k, s, p, m) in enumerate(ordered, 1)), key=lambda x: x["id"])
+    got = quality.bundle_fingerprints(items, "entity", ["kind", "source", "payload"]).first()
+    assert (got["items"], got.fingerprint) == (12, hashlib.sha256(json.dumps(whole).encode()).hexdigest())
