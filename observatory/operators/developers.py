@@ -8,7 +8,7 @@ developer), ``repositories`` (id, owner_id, momentum, trend), ``topics``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from observatory.functions.expr import bounded, damped, days, level, mean_or_zero
@@ -24,8 +24,10 @@ MOMENTUM_FULL = 9.0
 
 def shares(links: DataFrame) -> DataFrame:
     """Adds share, of the repository's contributions; 0.0 where that total is not positive."""
-    total = F.sum("contributions").over(Window.partitionBy("repository_id"))
-    return links.withColumn("share", F.when(total > 0, F.col("contributions") / total).otherwise(0.0))
+    # an aggregate and a join: partial sums leave a repository of very many links to no single task
+    totals = links.groupBy("repository_id").agg(F.sum("contributions").alias("__total"))
+    share = F.when(F.col("__total") > 0, F.col("contributions") / F.col("__total")).otherwise(0.0)
+    return links.join(totals, "repository_id").withColumn("share", share).select(*links.columns, "share")
 
 
 def link_activity(links: DataFrame, deltas: DataFrame) -> DataFrame:

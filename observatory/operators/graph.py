@@ -56,11 +56,38 @@ def components(all_nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
     return out.join(sizes, "component").select("node", "component", "size")
 
 
+#: A node whose groups have more members than this together has its neighbours counted by bitmaps, not by pairs ...
+DENSE = 4096
+#: ... in which a group of more than this many is one bitmap for all its members.
+GROUP = 256
+
+
+def neighbours(rows: DataFrame, by: str, node: str, dense: int = DENSE, group: int = GROUP) -> DataFrame:
+    """(node, neighbours): how many other nodes (whole numbers) each node shares a ``by`` with; 0 where there are none.
+
+    Pairs are made for nodes with few members in all their groups, at most ``dense``
+    each. For the others a large group is bitmaps of its members, made once, and a
+    node's neighbours are the union of its groups' bitmaps: bytes, not rows, grow with
+    the square of a group.
+    """
+    rows = rows.select(by, F.col(node).cast("bigint").alias(node)).distinct()
+    sized = rows.join(rows.groupBy(by).agg(F.count("*").alias("__n")), by)
+    total = sized.groupBy(node).agg((F.sum("__n") > dense).alias("__dense"))
+    sized = sized.join(total, node)
+    other = rows.select(by, F.col(node).alias("__other"))
+    few = sized.where("not __dense").join(other, by).groupBy(node).agg((F.count_distinct("__other") - 1).alias("neighbours"))
+    many, bucket, bit = sized.where("__dense"), F.bitmap_bucket_number("__other"), F.bitmap_bit_position("__other")
+    made = other.groupBy(by, bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    small = many.where(F.col("__n") <= group).join(other, by).groupBy(node, bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    large = many.where(F.col("__n") > group).join(made, by).select(node, "__bucket", "__bits")
+    union = small.union(large).groupBy(node, "__bucket").agg(F.bitmap_count(F.bitmap_or_agg("__bits")).alias("__count"))
+    return few.union(union.groupBy(node).agg((F.sum("__count") - 1).alias("neighbours")))
+
+
 def developer_reach(developers: DataFrame, assoc: DataFrame, topics: DataFrame) -> DataFrame:
     """Per developer: repositories contributed to and owned, and distinct others, repositories and topics reached; 0 where there are none."""
     own = assoc.groupBy("developer_id").agg(F.count_if("contributed").alias("contributed"), F.count_if("owned").alias("owned"), F.count("*").alias("reached_repositories"))
-    other = assoc.select("repository_id", F.col("developer_id").alias("other"))
-    near = assoc.join(other, "repository_id").where("developer_id <> other").groupBy("developer_id").agg(F.count_distinct("other").alias("reached_developers"))
+    near = neighbours(assoc, "repository_id", "developer_id").withColumnRenamed("neighbours", "reached_developers")
     tags = assoc.join(topics, "repository_id").groupBy("developer_id").agg(F.count_distinct("topic").alias("reached_topics"))
     out = developers.select(F.col("id").alias("developer_id")).join(own, "developer_id", "left").join(near, "developer_id", "left").join(tags, "developer_id", "left")
     return out.na.fill(0)
@@ -69,8 +96,7 @@ def developer_reach(developers: DataFrame, assoc: DataFrame, topics: DataFrame)
 def repository_reach(repositories: DataFrame, links: DataFrame, assoc: DataFrame, topics: DataFrame) -> DataFrame:
     people = links.groupBy("repository_id").agg(F.count_distinct("developer_id").alias("contributors"))
     tags = topics.groupBy("repository_id").agg(F.count_distinct("topic").alias("topics"))
-    other = assoc.select("developer_id", F.col("repository_id").alias("other"))
-    near = assoc.join(other, "developer_id").where("repository_id <> other").groupBy("repository_id").agg(F.count_distinct("other").alias("siblings"))
+    near = neighbours(assoc, "developer_id", "repository_id").withColumnRenamed("neighbours", "siblings")
     out = repositories.select(F.col("id").alias("repository_id"), F.col("owner_id").isNotNull().cast("int").alias("owner"))
     return out.join(people, "repository_id", "left").join(tags, "repository_id", "left").join(near, "repository_id", "left").na.fill(0)
 
@@ -96,16 +122,25 @@ def _pairs(rows: DataFrame, by: str, node: str) -> DataFrame:
     return half.union(half.select(F.col("other").alias(node), F.col(node).alias("other"), "w"))
 
 
+def _central(rows: DataFrame, by: str, node: str) -> DataFrame:
+    """(node, degree, weight) without pairs: neighbours, and the other members of all groups, each group counting."""
+    sizes = rows.groupBy(by).agg((F.count("*") - 1).alias("others"))
+    weight = rows.join(sizes, by).groupBy(node).agg(F.sum("others").alias("weight"))
+    return neighbours(rows, by, node).withColumnRenamed("neighbours", "degree").join(weight, node)
+
+
 def developer_centrality(developers: DataFrame, assoc: DataFrame) -> DataFrame:
-    return _centrality(_pairs(assoc, "repository_id", "developer_id"), developers.select(F.col("id").alias("developer_id")), "developer_id")
+    rows = assoc.select("repository_id", "developer_id").distinct()
+    return developers.select(F.col("id").alias("developer_id")).join(_central(rows, "repository_id", "developer_id"), "developer_id", "left").na.fill(0)
 
 
 def repository_centrality(repositories: DataFrame, assoc: DataFrame) -> DataFrame:
     """An owner that two repositories have in common counts once more, besides being an associate."""
-    owner = repositories.select(F.col("id").alias("repository_id"), "owner_id")
-    pairs = _pairs(assoc, "developer_id", "repository_id").join(owner, "repository_id").join(owner.toDF("other", "other_owner"), "other")
-    pairs = pairs.withColumn("w", F.col("w") + F.coalesce((F.col("owner_id") == F.col("other_owner")).cast("int"), F.lit(0)))
-    return _centrality(pairs.select("repository_id", "other", "w"), repositories.select(F.col("id").alias("repository_id")), "repository_id")
+    rows = assoc.select("repository_id", "developer_id").distinct()
+    out = repositories.select(F.col("id").alias("repository_id"), "owner_id").join(_central(rows, "developer_id", "repository_id"), "repository_id", "left")
+    owned = repositories.where("owner_id is not null").groupBy("owner_id").agg((F.count("*") - 1).alias("owned"))
+    weight = F.coalesce("weight", F.lit(0)) + F.coalesce("owned", F.lit(0))
+    return out.join(owned, "owner_id", "left").select("repository_id", F.coalesce("degree", F.lit(0)).alias("degree"), weight.alias("weight"))
 
 
 def topic_centrality(topics: DataFrame) -> DataFrame:
@@ -218,7 +253,7 @@ def repository_bridges(assoc: DataFrame, links: DataFrame, topics: DataFrame, re
     p = people.groupBy("repository_id").agg(
         F.count("*").alias("contributors"), F.count_if("wide").alias("cross_repository"), F.count_if(F.coalesce("many", F.lit(False))).alias("cross_topic"), F.count_if(F.col("observations") > 0).alias("observed"), F.count("delta").alias("recent"),
     )
-    others = _pairs(assoc, "developer_id", "repository_id").groupBy("repository_id").agg(F.count("*").alias("connected"))
+    others = neighbours(assoc, "developer_id", "repository_id").withColumnRenamed("neighbours", "connected")
     n = topics.groupBy("repository_id").agg(F.count_distinct("topic").alias("topics"))
     out = repositories.select(F.col("id").alias("repository_id"), "momentum").join(p, "repository_id", "left").join(n, "repository_id", "left").join(others, "repository_id", "left").na.fill(0, ["contributors", "cross_repository", "cross_topic", "observed", "recent", "topics", "connected"])
     share = lambda c: F.coalesce(F.try_divide(c, "contributors"), F.lit(0.0))
@@ -266,3 +301,34 @@ def projection(ranked: DataFrame, most: int = 18) -> DataFrame:
     """``ranked`` (node_type, node, label, weight, degree) with place: the ``most`` weightiest of each type, then by degree and label."""
     order = Window.partitionBy("node_type").orderBy(F.desc("weight"), F.desc("degree"), "label")
     return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def focused(ranked: DataFrame, edges: DataFrame, focus: str, most: int = 18, near: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that a view of one node shows: itself, its first ``near`` neighbours, then the weightiest of each type up to ``most``.
+
+    ``ranked`` is (node_type, node, label, weight, degree), ``edges`` (edge_type,
+    source, target); a neighbour's place is its edge's, by type, source and target. At
+    most 3 * ``most`` nodes show in all, developers first, then repositories, topics;
+    neighbours count towards their type's number. Of the edges those with both ends
+    shown are kept. A node that isn't there leaves the weightiest alone. The
+    neighbours are found among the node's own edges, and no set here is larger than
+    what is shown.
+    """
+    own = edges.where(((F.col("source") == focus) | (F.col("target") == focus)) & (F.col("source") != F.col("target")))
+    other = own.select(F.when(F.col("source") == focus, F.col("target")).otherwise(F.col("source")).alias("node"), "edge_type", "source", "target")
+    there = other.join(ranked.select("node"), "node", "left_semi").join(ranked.where(F.col("node") == focus).select(F.lit(True).alias("__here")), how="left_semi")
+    first = there.groupBy("node").agg(F.min(F.struct("edge_type", "source", "target")).alias("at")).orderBy("at").limit(near).select("node")
+    wanted = first.union(ranked.where(F.col("node") == focus).select("node"))
+    rank = [F.desc("weight"), F.desc("degree"), F.asc("label"), F.asc("node")]
+    kinds = F.array_position(F.array(F.lit("DEVELOPER"), F.lit("REPOSITORY"), F.lit("TOPIC")), F.col("node_type"))
+    chosen = ranked.join(F.broadcast(wanted), "node", "left_semi").withColumn("near", F.lit(True)).orderBy(kinds, *rank).limit(3 * most)
+    # the weightiest of each type, of which each task keeps no more than that
+    top = ranked.withColumn("place", F.row_number().over(Window.partitionBy("node_type").orderBy(*rank))).where(F.col("place") <= most)
+    left = F.broadcast(chosen.agg((F.lit(3 * most) - F.count("*")).alias("left")))
+    fill = top.join(F.broadcast(chosen.select("node")), "node", "left_anti").crossJoin(left)
+    fill = fill.withColumn("n", F.row_number().over(Window.partitionBy("left").orderBy(kinds, "place"))).where(F.col("n") <= F.col("left")).withColumn("near", F.lit(False))
+    columns = ["node_type", "node", "label", "near"]
+    nodes_shown = chosen.select(*columns).union(fill.select(*columns))
+    ends = F.broadcast(nodes_shown.select("node"))
+    shown = edges.join(ends.withColumnRenamed("node", "source"), "source", "left_semi").join(ends.withColumnRenamed("node", "target"), "target", "left_semi")
+    return nodes_shown, shown.select("edge_type", "source", "target")

@@ -70,6 +70,65 @@ def _meta(items: DataFrame) -> Column:
     return F.array_sort(F.coalesce(F.map_entries("meta"), F.array().cast("array<struct<key:string,value:string>>")))
 
 
+def cohorts(provenance: DataFrame) -> DataFrame:
+    """(category, recipe, repositories): distinct repositories of each cohort, and of each category where recipe is null."""
+    rows = provenance.select("category", "recipe", "repository_id").distinct()
+    return rows.groupingSets([["category", "recipe"], ["category"]], "category", "recipe").agg(F.count_distinct("repository_id").alias("repositories"))
+
+
+def provenance_coverage(repositories: DataFrame, provenance: DataFrame) -> DataFrame:
+    """One row: repositories with and without provenance, in several categories, memberships, and the largest category's share."""
+    per = provenance.select("repository_id", "category").distinct().groupBy("repository_id").agg(F.count("*").alias("n"))
+    rows = repositories.select(F.col("id").alias("repository_id")).join(per, "repository_id", "left")
+    largest = provenance.select("repository_id", "category").distinct().groupBy("category").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    out = rows.agg(F.count("*").alias("repositories"), F.count("n").alias("with_provenance"), F.count_if(F.col("n").isNull()).alias("without_provenance"), F.count_if(F.col("n") > 1).alias("multiple_categories"), F.coalesce(F.sum("n"), F.lit(0)).alias("memberships"))
+    return out.crossJoin(F.broadcast(largest)).select("*", ratio(F.col("largest"), F.col("repositories")).alias("largest_share")).drop("largest")
+
+
+def ranking_composition(ranked: DataFrame, id_col: str, score: str, dimensions: list[str], most: int = 10) -> DataFrame:
+    """(dimension, value, top, ranked): how the first ``most`` rows by score, then id, are made up against all that have a score.
+
+    A null value is "unknown". The first rows are found by a bounded merge; one pass of
+    grouping sets counts both.
+    """
+    scored = ranked.where(F.col(score).isNotNull())
+    top = scored.orderBy(F.desc(score), id_col).limit(most).select(F.col(id_col).alias("__id"), F.lit(True).alias("__top"))
+    rows = scored.join(F.broadcast(top), F.col(id_col) == F.col("__id"), "left").select("__top", *(F.coalesce(F.col(n).cast("string"), F.lit("unknown")).alias(n) for n in dimensions))
+    sets = rows.groupingSets([[n] for n in dimensions], *dimensions).agg(F.count("__top").alias("top"), F.count("*").alias("ranked"), F.grouping_id().alias("g"))
+    dimension, value, every = F.lit(None).cast("string"), F.lit(None).cast("string"), (1 << len(dimensions)) - 1
+    for i, n in enumerate(dimensions):
+        here = F.col("g") == every - (1 << (len(dimensions) - 1 - i))
+        dimension, value = F.when(here, n).otherwise(dimension), F.when(here, F.col(n)).otherwise(value)
+    return sets.select(dimension.alias("dimension"), value.alias("value"), "top", "ranked")
+
+
+def ranking_cautions(scored: DataFrame, small_base: int = 10) -> DataFrame:
+    """One row: ranked repositories, those with a 7-day window that isn't complete, HIGH confidence on fewer than three observations, a small base.
+
+    ``scored`` is ``series_windows`` with momentum and confidence; the base is what the
+    stars were a week before, and unknown without a window.
+    """
+    ranked = F.col("momentum").isNotNull()
+    base = F.col("latest.stars") - F.col("stars7.delta")
+    return scored.agg(
+        F.count_if(ranked).alias("ranked"), F.count_if(ranked & ~F.coalesce("stars7.complete", F.lit(False))).alias("ranked_partial_7d"),
+        F.count_if((F.col("confidence.level") == "HIGH") & (F.col("n") < 3)).alias("high_under_3"), F.count_if(ranked & (base < small_base)).alias("ranked_small_base"),
+    )
+
+
+def developer_cautions(developers: DataFrame, famous: int = 10_000, most: int = 10) -> DataFrame:
+    """One row over (developer_id, followers, repositories, label, score, bridge): fame and single-repository evidence, of all and of the first ``most``.
+
+    INSUFFICIENT_HISTORY isn't ranked.
+    """
+    top = developers.where("label <> 'INSUFFICIENT_HISTORY'").orderBy(F.desc("score"), "developer_id").limit(most)
+    fame, single = F.col("followers") >= famous, F.col("repositories") == 1
+    every = developers.agg(
+        F.count("*").alias("developers"), F.count_if(fame).alias("all_famous"), F.count_if(single & (F.col("label") == "EMERGING")).alias("single_emerging"), F.max(F.when(single, F.col("bridge"))).alias("single_bridge_max")
+    )
+    return every.crossJoin(F.broadcast(top.agg(F.count("*").alias("top"), F.count_if(fame).alias("top_famous"), F.count_if(single).alias("top_single"))))
+
+
 def bundle(items: DataFrame, entity: str, order: list[str]) -> DataFrame:
     """``items`` with evidence_id E1, E2, ... by the columns of ``order``, then by their ``meta``, within each entity."""
     w = Window.partitionBy(entity).orderBy(*order, _meta(items))

@@ -79,3 +79,52 @@ def discovery_demand(plan: DataFrame, contributors: int, caps: dict[str, int]) -
     needs["total"] = needs["search"] + needs["repository_details"] + needs["contributors"] + needs["profiles"]
     rows = sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("scope"), v.cast("long").alias("required"), F.lit(caps[k]).cast("long").alias("cap")) for k, v in needs.items()))).alias("x")).select("x.*")
     return rows.withColumn("exceeded", F.col("required") > F.col("cap"))
+
+
+COUNTERS = "examined long, unique long, saved long, reused long, duplicates long, last_seq long, stopped string"
+
+
+def discover(candidates: DataFrame, known: DataFrame, most_candidates: int, most_new: int, run_id: str, prior: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A bounded discovery run as a fold: (staged, provenance, receipt) of candidates in the order of seq.
+
+    ``candidates`` is (seq, id, category, recipe, query), ``known`` has the ids stored
+    before the run. A run examines ``most_candidates`` at most and stops at the first
+    new id after ``most_new`` are saved, which counts as examined and unique; all
+    behind it is left. staged is (seq, id, outcome): saved, reused, or duplicate of an
+    id the run has had; provenance is ``ingest.note_provenance``'s input, of every
+    candidate that isn't left; the receipt is one row of COUNTERS.
+
+    ``prior`` are the three of an earlier part of the same run: its candidates are
+    behind it, its budget is spent, its ids are duplicates. Two parts give the rows of
+    one.
+    """
+    spark = candidates.sparkSession
+    if prior is None:
+        prior = (
+            spark.createDataFrame([], "seq long, id long, outcome string"), spark.createDataFrame([], "repository_id long, category string, recipe string, query string, seen_seq long, run_id string"),
+            spark.createDataFrame([(0, 0, 0, 0, 0, -1, None)], COUNTERS),
+        )
+    staged, noted, receipt = prior
+    was = receipt.first()
+    # a run that has stopped stays so; the rest of its candidates is small only by its caps
+    left = 0 if was.stopped else max(0, most_candidates - was.examined)
+    rows = candidates.where(F.col("seq") > was.last_seq).select("seq", "id", "category", "recipe", "query").orderBy("seq").limit(left)
+    more = candidates.where(F.col("seq") > was.last_seq)
+    seen = staged.where("outcome <> 'duplicate'").select("id", F.lit(True).alias("__seen"))
+    first = rows.groupBy("id").agg(F.min("seq").alias("__first"))
+    marked = rows.join(first, "id").join(seen, "id", "left").join(known.select("id", F.lit(True).alias("__known")).distinct(), "id", "left")
+    duplicate = F.col("__seen").isNotNull() | (F.col("seq") > F.col("__first"))
+    outcome = F.when(duplicate, "duplicate").when(F.col("__known"), "reused").otherwise("saved")
+    marked = marked.select("seq", "id", "category", "recipe", "query", outcome.alias("outcome"))
+    room = most_new - was.saved
+    beyond = marked.where("outcome = 'saved'").orderBy("seq").limit(room + 1).agg(F.when(F.count("*") > room, F.max("seq")).alias("stop")).first().stop
+    kept = marked if beyond is None else marked.where(F.col("seq") < beyond)
+    counts = kept.agg(F.count("*").alias("n"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("saved", "reused", "duplicate")), F.max("seq").alias("last")).first()
+    over = int(beyond is not None)
+    examined = was.examined + counts.n + over
+    truncated = examined >= most_candidates and not over and more.count() > counts.n
+    stopped = was.stopped or ("max_new_repositories" if over else "max_candidates" if truncated else None)
+    last = beyond if over else counts.last if counts.last is not None else was.last_seq
+    new = (examined, was.unique + counts.saved + counts.reused + over, was.saved + counts.saved, was.reused + counts.reused, was.duplicates + counts.duplicate, last, stopped)
+    provenance = kept.select(F.col("id").alias("repository_id"), "category", "recipe", "query", F.col("seq").alias("seen_seq"), F.lit(run_id).alias("run_id"))
+    return staged.unionByName(kept.select("seq", "id", "outcome")), noted.unionByName(provenance), spark.createDataFrame([new], COUNTERS)
