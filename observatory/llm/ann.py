@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,14 @@ TARGET = 0.97
 TRIALS = 200
 #: Vectors that a query's lists hold together, at least.
 PROBE_ROWS = 4000
-#: Candidates for each neighbour asked for that are ranked again by their vectors.
+#: Candidates for each neighbour asked for that are ranked again by their vectors; ``exact`` compares all.
 RERANK = 8
-#: Vectors of a list that are stored together.
-BLOCK_ROWS = 4096
-#: Vectors whose scores one task compares ...
-GROUP_ROWS = 1 << 18
-#: ... for about so many queries, of which each leaves it with k * RERANK candidates at most.
-QUERY_ROWS = 256
+#: Queries that are sent to all tasks at a time ...
+QUERIES = 4096
+#: ... of which a task looks at so many at once, with so many vectors.
+RUN, STEP = 256, 4096
+#: Vectors that one task compares, about.
+TASK_ROWS = 1 << 18
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -120,7 +121,10 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dims)
 
 
-def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, target: float = TARGET, probe_rows: int = PROBE_ROWS) -> DataFrame:
+def nearest(
+    df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, target: float = TARGET, probe_rows: int = PROBE_ROWS,
+    rerank: int = RERANK, most_lists: int = MOST_LISTS, exact: bool = False, queries: int = QUERIES,
+) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k vectors of largest inner product with each query vector.
 
     ``query`` is true for the rows that are queries; a query's own id is no
@@ -128,102 +132,66 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
     that are null, zero or hold null or non-finite components, and rows with null
     ids, take no part, nor do vectors of another length than most; rows that repeat
     an id count once, by their smallest vector. The centroids are fitted on at most
-    ``sample`` vectors; all are indexed. A query reads as many lists as hold
-    ``target`` of the true neighbours in the sample, and so many that they hold
-    ``probe_rows`` vectors; with fewer vectors than that the result is exact up to
-    the quantised pre-selection of k * RERANK.
-    An empty table gives no rows; other columns are ignored.
+    ``sample`` vectors; all are indexed, in at most ``most_lists`` lists. A query reads
+    as many lists as hold ``target`` of the true neighbours in the sample, and so many
+    that they hold ``probe_rows`` vectors and k others; of what it reads the best
+    k * ``rerank`` by quantised score are ranked by their vectors. ``exact`` compares
+    every query with every vector instead. Vectors may be of any scale whose products
+    are finite. An empty table gives no rows; other columns are ignored.
+
+    Queries go to all tasks in batches of about ``queries``; a task keeps the best of
+    each query over all it reads, so the index is written once and never shuffled again.
     """
     spark = df.sparkSession
     rows = df.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("q"))
     schema = "query_id long, rank int, vec_id long, score double"
-    widths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    widths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not widths:
         return spark.createDataFrame([], schema)
-    dims, total = widths[0]
+    dims, total, most = widths[0]
+    # all but the last ranking works on vectors divided by a power of two near the largest component
+    scale = float(2.0 ** -np.ceil(np.log2(most)))
     rows = rows.where(F.size("v") == dims).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     taken = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
-    x = _matrix(taken.column(0).combine_chunks(), dims)
-    n_lists = int(max(1, min(MOST_LISTS, total // LIST_ROWS, len(x) // 4)))
+    x = _matrix(taken.column(0).combine_chunks(), dims) * scale
+    n_lists = int(max(1, min(most_lists, total // LIST_ROWS, len(x) // 4)))
     q = fit(x, n_lists, dims // 2 if dims % 2 == 0 else dims)
     index = spark.sparkContext.broadcast(q)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = index.value
         for b in batches:
-            x = _matrix(b.column(1), dims)
+            x = _matrix(b.column(1), dims) * scale
             lists = q.lists(x) if len(x) else np.zeros(0, np.int64)
             codes = pa.array([c.tobytes() for c in q.codes(x, lists)] if len(x) else [], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(lists.astype(np.int32)), codes], names=["id", "v", "q", "list", "codes"])
 
-    entries = cut(rows.mapInArrow(assign, "id long, v array<double>, q boolean, list int, codes binary"), "index")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
+    placed = rows.mapInArrow(assign, "id long, v array<double>, q boolean, list int, codes binary")
+    # a task has its share of every list, however large that is
+    entries = cut(placed.sortWithinPartitions("list", "id"), "index")
     # one number for each list
     held = np.zeros(n_lists, dtype=np.int64)
     for r in entries.groupBy("list").count().collect():
         held[r[0]] = r[1]
-    blocks = np.maximum(1, -(-held // BLOCK_ROWS))
-    # blocks, list after list, are put together to groups of about GROUP_ROWS vectors
-    ahead = np.concatenate([[0], np.cumsum(held)])[:-1]
-    first, last = ahead // GROUP_ROWS, (ahead + (blocks - 1) * BLOCK_ROWS) // GROUP_ROWS
     least = lists_to_read(q, x, k, target)
-
-    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = index.value
-        for b in batches:
-            x = _matrix(b.column(1), dims)
-            order = np.argsort(-(x @ q.coarse.T), axis=1, kind="stable")
-            at, groups, lists = [], [], []
-            for i, o in enumerate(order):
-                enough = int(np.searchsorted(np.cumsum(held[o]), probe_rows)) + 1
-                read = np.sort(o[: max(least, enough)]).astype(np.int32)
-                for g in np.unique(np.concatenate([np.arange(first[j], last[j] + 1) for j in read])):
-                    at.append(i)
-                    groups.append(g)
-                    lists.append(read[(first[read] <= g) & (g <= last[read])])
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(groups, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "group", "lists"])
-
-    # a run of about QUERY_ROWS queries comes together with each group of vectors
-    runs = max(1, -(-entries.where("q").count() // QUERY_ROWS))
-    run_of = F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int")
-    asked = entries.where("q").select("id", "v").mapInArrow(probe, "id long, v array<double>, group int, lists array<int>").withColumn("run", run_of)
-    per_list = spark.createDataFrame([(i, int(n), int(o)) for i, (n, o) in enumerate(zip(blocks, ahead))], "list int, blocks int, ahead long")
-    stored = entries.join(F.broadcast(per_list), "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    group = F.floor((F.col("ahead") + F.col("block") * BLOCK_ROWS) / GROUP_ROWS).cast("int")
-    stored = stored.groupBy("list", "block", group.alias("group")).agg(F.sort_array(F.collect_list(F.struct("id", "codes"))).alias("e")).select("group", "list", F.col("e.id").alias("ids"), F.col("e.codes").alias("codes"))
-    stored = stored.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    keep = k * RERANK
-
-    def score(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        q, best = index.value, _Best(keep)
-        if asked.num_rows and stored.num_rows:
-            asked, stored = asked.combine_chunks(), stored.combine_chunks()
-            who = asked["id"].to_numpy()
-            x = _matrix(asked["v"].combine_chunks(), dims)
-            tables = q.tables(x).transpose(1, 2, 0).astype(np.float32)  # parts x 256 x queries
-            base = (x @ q.coarse.T).astype(np.float32)
-            readers = defaultdict(list)
-            for i, read in enumerate(asked["lists"].to_pylist()):
-                for one in read:
-                    readers[one].append(i)
-            for i, one in enumerate(stored["list"].to_pylist()):
-                of = np.array(readers.get(one, ()), dtype=np.int64)
-                if not len(of):
-                    continue
-                ids = stored["ids"][i].values.to_numpy()
-                codes = np.frombuffer(b"".join(stored["codes"][i].as_py()), np.uint8).reshape(len(ids), -1)
-                own = tables if len(of) == len(who) else tables[:, :, of]
-                s = np.tile(base[of, one], (len(ids), 1))
-                for part in range(codes.shape[1]):
-                    s += np.take(own[part], codes[:, part], axis=0)
-                at = np.minimum(np.searchsorted(ids, who[of]), len(ids) - 1)
-                itself = np.flatnonzero(ids[at] == who[of])
-                s[at[itself], itself] = -np.inf
-                best.add(of, ids, s)
-        found, ids, s = best.all()
-        return pa.table({"query": pa.array(asked["id"].to_numpy()[found] if len(found) else [], pa.int64()), "id": pa.array(ids, pa.int64()), "s": pa.array(s, pa.float64())})
-
-    near = asked.groupBy("group", "run").cogroup(stored.groupBy("group", "run")).applyInArrow(score, "query long, id long, s double")
+    enough = max(probe_rows, k + 1)
+    keep = 2 * k if exact else max(k * rerank, k)
+    scanned = entries.select("id", "list", "v" if exact else "codes").coalesce(tasks)
+    batches = max(1, -(-entries.where("q").count() // queries))
+    found = []
+    for number in range(batches):
+        own = entries.where("q").where(F.pmod(F.xxhash64("id"), F.lit(batches)) == number).select("id", "v").orderBy("id").toArrow()
+        if own.num_rows:
+            # a batch's ids and vectors, of a fixed number at any size of the table
+            asked = _Asked(own["id"].to_numpy(), _matrix(own["v"].combine_chunks(), dims) * scale)
+            if not exact:
+                asked.probe(q, held, least, enough)
+            shared = spark.sparkContext.broadcast(asked)
+            found.append(scanned.mapInArrow(lambda batches, shared=shared: _scan(batches, index.value, shared.value, dims, scale, keep, exact), "query long, id long, s double"))
+    if not found:
+        return spark.createDataFrame([], schema)
+    near = reduce(DataFrame.unionAll, found)
     best = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "id"))).where(F.col("place") <= keep).select("query", "id")
     vectors = entries.select("id", "v")
     both = best.join(vectors, "id").join(vectors.select(F.col("id").alias("query"), F.col("v").alias("w")), "query")
@@ -233,26 +201,86 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
             s = np.einsum("ij,ij->i", _matrix(b.column(2), dims), _matrix(b.column(3), dims))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    exact = both.select("query", "id", "v", "w").mapInArrow(rank, "query_id long, vec_id long, score double")
-    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    scored = both.select("query", "id", "v", "w").mapInArrow(rank, "query_id long, vec_id long, score double")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+@dataclass
+class _Asked:
+    """A batch of queries, each divided by its largest component, and the lists that they read."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    readers: dict[int, np.ndarray] | None = None
+
+    def __post_init__(self) -> None:
+        self.x = self.x / np.abs(self.x).max(axis=1, keepdims=True)
+
+    def probe(self, q: Quantiser, held: np.ndarray, least: int, enough: int) -> None:
+        readers = defaultdict(list)
+        for i, o in enumerate(np.argsort(-(self.x @ q.coarse.T), axis=1, kind="stable")):
+            n = int(np.searchsorted(np.cumsum(held[o]), enough)) + 1
+            for one in o[: max(least, n)]:
+                readers[int(one)].append(i)
+        self.readers = {one: np.array(of) for one, of in readers.items()}
+
+
+def _scan(batches: Iterable[pa.RecordBatch], q: Quantiser, asked: _Asked, dims: int, scale: float, keep: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """(query, id, s): the ``keep`` best of each query among a task's vectors."""
+    runs = [(low, min(low + RUN, len(asked.ids)), _Best(keep)) for low in range(0, len(asked.ids), RUN)]
+    base = asked.x @ q.coarse.T
+    for b in batches:
+        for start in range(0, b.num_rows, STEP):
+            part = b.slice(start, STEP)
+            ids, lists = part.column(0).to_numpy(), part.column(1).to_numpy()
+            if exact:
+                rows = _matrix(part.column(2), dims) * scale
+            else:
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
+            for low, high, best in runs:
+                if exact:
+                    # equal vectors may differ in the last bits of a product; rounded, they tie and the smaller id is kept
+                    _add(best, np.arange(low, high), asked, ids, np.round(rows @ asked.x[low:high].T * 2.0**40))
+                    continue
+                tables = q.tables(asked.x[low:high]).transpose(1, 2, 0)  # parts x 256 x queries
+                for one in np.unique(lists):
+                    of = asked.readers.get(int(one), np.zeros(0, np.int64))
+                    of = of[np.searchsorted(of, low) : np.searchsorted(of, high)]
+                    if not len(of):
+                        continue
+                    at = np.flatnonzero(lists == one)
+                    s = np.tile(base[of, one], (len(at), 1))
+                    own = tables if len(of) == high - low else tables[:, :, of - low]
+                    for i in range(codes.shape[1]):
+                        s += np.take(own[i], codes[at, i], axis=0)
+                    _add(best, of, asked, ids[at], s)
+    for _, _, best in runs:
+        found, ids, s = best.all()
+        yield pa.RecordBatch.from_arrays([pa.array(asked.ids[found]), pa.array(ids), pa.array(s)], names=["query", "id", "s"])
+
+
+def _add(best: _Best, of: np.ndarray, asked: _Asked, ids: np.ndarray, s: np.ndarray) -> None:
+    """Scores (ids x queries) but those of queries with themselves."""
+    s[ids[:, None] == asked.ids[of]] = -np.inf
+    best.add(of, ids, s)
+
+
 class _Best:
     """The ``keep`` largest scores of each query so far, of equal ones those of the smallest ids."""
 
     def __init__(self, keep: int) -> None:
         self.keep = keep
-        self.query, self.id, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        self.query, self.id, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)
         self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
-        self.bound = np.zeros(0, np.float32)
+        self.bound = np.zeros(0, np.float64)
 
     def add(self, queries: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
         """``s`` is ids x queries."""
         top = queries.max() + 1
         if len(self.bound) < top:
-            self.bound = np.concatenate([self.bound, np.full(top - len(self.bound), np.finfo(np.float32).min)])
+            self.bound = np.concatenate([self.bound, np.full(top - len(self.bound), np.finfo(np.float64).min)])
         row, column = np.nonzero(s >= self.bound[queries])
         self.new.append((queries[column], ids[row], s[row, column]))
         self.waiting += len(row)

@@ -106,18 +106,49 @@ def test_neighbours_recall(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e-38, 1e-30, 1e-20, 1.0, 1e20, 1e30])
+def test_neighbours_at_any_scale(spark, scale):
+    """All rows for every query, and the recall of scale 1; rows of every scale beside each other in the exact search."""
+    x = (np.random.default_rng(3).normal(size=(3000, 16)) * scale).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(dict)
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, probe_rows=500).collect():
+        got[r.query_id][r["rank"]] = r.vec_id
+    hit = 0
+    for q in range(0, 3000, 100):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        assert sorted(got[q]) == list(range(1, 21))
+        hit += len(set(got[q].values()) & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 600 >= 0.9
+
+
+def test_exact_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(900, 8)) * 10.0 ** rng.integers(-20, 20, size=(900, 1))).astype(np.float32)
+    x[100:400] = x[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(df, F.col("vec_id") % 30 == 0, k=7, exact=True, queries=10).collect()}
+    for q in range(0, 900, 30):
+        s = np.array([float(np.einsum("i,i->", x[q].astype(float), v.astype(float))) for v in x])
+        s[q] = -np.inf
+        order = np.lexsort((np.arange(900), -s))[:7]
+        assert [got[q, i + 1] for i in range(7)] == order.tolist()
+    few = ann.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
+    assert [r["rank"] for r in few] == [1, 2, 3]
+
+
 def test_neighbours_over_many_lists_and_groups(spark, monkeypatch):
     """Clustered vectors, some repeated and some equal, against brute force; a vector that a third of the rows have."""
-    monkeypatch.setattr(ann, "GROUP_ROWS", 3000)
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 500)
-    monkeypatch.setattr(ann, "QUERY_ROWS", 40)
+    monkeypatch.setattr(ann, "STEP", 500)
+    monkeypatch.setattr(ann, "RUN", 16)
     rng = np.random.default_rng(7)
     x = (rng.normal(size=(60, 12))[rng.integers(0, 60, 12000)] * 2 + rng.normal(size=(12000, 12)) * 0.4).astype(np.float32)
     x[::3] = x[0]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame([*rows, *rows[:50]], "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("rank", F.lit(2))
     got = defaultdict(list)
-    for r in ann.nearest(df, F.col("vec_id") % 100 == 1, k=10, probe_rows=100).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 1, k=10, probe_rows=100, queries=40).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     hit, full = 0, x.astype(float)
     assert len(got) == 120
