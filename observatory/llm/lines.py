@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from observatory.llm.arrow import let_go
@@ -30,6 +30,8 @@ from observatory.shared import cut
 #: One edit makes lines near-equal if it leaves 95 % of the longer one; shorter lines have to be equal, or the items of
 #: a numbered list would be one.
 LEAST = 20
+#: Occurrences up to which a line is never taken for a common one.
+HEAVY = 10_000
 #: White space as str.strip takes it.
 _SOLID = r"[^\p{IsWhite_Space}\x1c-\x1f]"
 
@@ -230,19 +232,30 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     """
     docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     found = cut(_occurrences(docs), "occurrences")
-    unique = cut(found.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "pos")).alias("first")), "unique")
+    unique = cut(found.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "pos")).alias("first"), F.count("*").alias("n")), "unique")
     own = F.struct("id", "mark", "pos")
-    out = found.join(unique, ["h1", "h2"])
+    lines = unique.select("h1", "h2", "first", F.lit(False).alias("near"), "n")
     if edits:
-        near = cut(_near_earlier(docs, unique, least), "near").withColumn("near", F.lit(True))
-        out = out.join(near, ["h1", "h2"], "left").where(F.col("near").isNotNull() | (own > F.col("first")))
-    else:
-        out = out.where(own > F.col("first"))
+        near = cut(_near_earlier(docs, unique.drop("n"), least), "near").withColumn("near", F.lit(True))
+        lines = unique.join(near, ["h1", "h2"], "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"), "n")
+    # lines that have more than a thousandth of all occurrences are a thousand at most, and go to all tasks
+    total = unique.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") > max(HEAVY, total // 1000)
+    common = F.broadcast(lines.where(heavy).drop("n"))
+    rare = found.join(common.select("h1", "h2"), ["h1", "h2"], "left_anti").join(lines.where(~heavy).drop("n"), ["h1", "h2"])
+    out = found.join(common, ["h1", "h2"]).unionByName(rare).where(F.col("near") | (own > F.col("first")))
     # a text's lines fit wherever the text does
     out = out.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.array_sort(F.collect_set("pos")).alias("__removed"))
     rows = df.drop("lines_removed")
     joined = rows.join(out, rows[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(rows[text_col]) == F.col("__mark")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
-    left = F.when(F.exists(kept, lambda x: F.rlike(x, F.lit(_SOLID))), F.array_join(kept, "\n")).otherwise("")
+    left = _without(F.col(text_col), F.col("__removed"))
     text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(left)
     return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in rows.columns), F.col("__removed").alias("lines_removed"))
+
+
+def _without(text: Column, removed: Column) -> Column:
+    """The text without the lines at ``removed``, in steps that grow with its lines; empty if only blank lines are left."""
+    bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    joined = lambda kept: F.when(F.exists(kept, lambda x: F.rlike(x, F.lit(_SOLID))), F.array_join(kept, "\n")).otherwise("")
+    places = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    return bound(F.split(text, "\n", -1), lambda lines: bound(F.transform(places(lines), lambda i: F.get(lines, i)), joined))

@@ -140,3 +140,33 @@ def test_lines_of_nothing_and_of_blanks(spark):
     df = spark.createDataFrame([(1, "line of some length"), (2, "line of some length\n\t"), (3, "line of some length\r\n \x0b\r"), (4, "line of some length\n\u3000\x1c")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == {1: "line of some length", 2: "", 3: "", 4: ""}
     assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_a_text_of_very_many_lines_takes_linear_time(spark):
+    import time
+
+    body = [f"line number {i % 1000} of a log file" if i % 2 else f"{i:x}" * 3 for i in range(200_000)]
+    df = spark.createDataFrame([(1, "\n".join(body)), (2, "\n".join(body[:1000]))], "doc_id long, text string")
+    lines.dedup_lines(df.where("doc_id = 2")).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in lines.dedup_lines(df, edits=0).collect()}
+    assert time.time() - began < 10
+    seen, kept = set(), []
+    for x in body:
+        if x not in seen:
+            seen.add(x)
+            kept.append(x)
+    assert got[1].text == "\n".join(kept) and len(got[1].lines_removed) == len(body) - len(kept) and got[2].text == ""
+    began = time.time()
+    near = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    assert time.time() - began < 25 and set(got[1].lines_removed) <= set(near[1].lines_removed)
+
+
+def test_common_lines_are_dealt_to_all_tasks(spark, monkeypatch):
+    rnd = random.Random(8)
+    docs = [(rnd.randrange(30), "\n".join(rnd.choice(["the same line everywhere", "the same line everywherE", "x", f"line of its own {rnd.random()}"]) for _ in range(12))) for _ in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    run = lambda: Counter((r.doc_id, r.text, tuple(r.lines_removed or ())) for r in lines.dedup_lines(df).collect())
+    want = run()
+    monkeypatch.setattr(lines, "HEAVY", 3)
+    assert run() == want
