@@ -212,24 +212,27 @@ class _Asked:
 
     ids: np.ndarray
     x: np.ndarray
-    readers: dict[int, np.ndarray] | None = None
+    #: lists x queries
+    reads: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         self.x = self.x / np.abs(self.x).max(axis=1, keepdims=True)
 
     def probe(self, q: Quantiser, held: np.ndarray, least: int, enough: int) -> None:
-        readers = defaultdict(list)
+        self.reads = np.zeros((len(held), len(self.ids)), dtype=bool)
         for i, o in enumerate(np.argsort(-(self.x @ q.coarse.T), axis=1, kind="stable")):
             n = int(np.searchsorted(np.cumsum(held[o]), enough)) + 1
-            for one in o[: max(least, n)]:
-                readers[int(one)].append(i)
-        self.readers = {one: np.array(of) for one, of in readers.items()}
+            self.reads[o[: max(least, n)], i] = True
+
+
+#: A run of queries that reads this share of all lists or more is scored against all rows at once, and what it doesn't read is left out after that.
+DENSE = 0.25
 
 
 def _scan(batches: Iterable[pa.RecordBatch], q: Quantiser, asked: _Asked, dims: int, scale: float, keep: int, exact: bool) -> Iterator[pa.RecordBatch]:
     """(query, id, s): the ``keep`` best of each query among a task's vectors."""
     runs = [(low, min(low + RUN, len(asked.ids)), _Best(keep)) for low in range(0, len(asked.ids), RUN)]
-    base = asked.x @ q.coarse.T
+    base = q.coarse @ asked.x.T
     for b in batches:
         for start in range(0, b.num_rows, STEP):
             part = b.slice(start, STEP)
@@ -239,22 +242,28 @@ def _scan(batches: Iterable[pa.RecordBatch], q: Quantiser, asked: _Asked, dims:
             else:
                 codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
             for low, high, best in runs:
+                every = np.arange(low, high)
                 if exact:
                     # equal vectors may differ in the last bits of a product; rounded, they tie and the smaller id is kept
-                    _add(best, np.arange(low, high), asked, ids, np.round(rows @ asked.x[low:high].T * 2.0**40))
+                    _add(best, every, asked, ids, np.round(rows @ asked.x[low:high].T * 2.0**40))
+                    continue
+                tables = q.tables(asked.x[low:high]).transpose(1, 2, 0).copy()  # parts x 256 x queries
+                if asked.reads[:, low:high].mean() >= DENSE:
+                    s = base[lists, low:high]
+                    for i in range(codes.shape[1]):
+                        s += np.take(tables[i], codes[:, i], axis=0)
+                    s[~asked.reads[lists, low:high]] = -np.inf
+                    _add(best, every, asked, ids, s)
                     continue
-                tables = q.tables(asked.x[low:high]).transpose(1, 2, 0)  # parts x 256 x queries
                 for one in np.unique(lists):
-                    of = asked.readers.get(int(one), np.zeros(0, np.int64))
-                    of = of[np.searchsorted(of, low) : np.searchsorted(of, high)]
+                    of = np.flatnonzero(asked.reads[one, low:high])
                     if not len(of):
                         continue
                     at = np.flatnonzero(lists == one)
-                    s = np.tile(base[of, one], (len(at), 1))
-                    own = tables if len(of) == high - low else tables[:, :, of - low]
+                    s = np.tile(base[one, low + of], (len(at), 1))
                     for i in range(codes.shape[1]):
-                        s += np.take(own[i], codes[at, i], axis=0)
-                    _add(best, of, asked, ids[at], s)
+                        s += np.take(tables[i][:, of], codes[at, i], axis=0)
+                    _add(best, low + of, asked, ids[at], s)
     for _, _, best in runs:
         found, ids, s = best.all()
         yield pa.RecordBatch.from_arrays([pa.array(asked.ids[found]), pa.array(ids), pa.array(s)], names=["query", "id", "s"])
@@ -281,7 +290,13 @@ class _Best:
         top = queries.max() + 1
         if len(self.bound) < top:
             self.bound = np.concatenate([self.bound, np.full(top - len(self.bound), np.finfo(np.float64).min)])
-        row, column = np.nonzero(s >= self.bound[queries])
+        hit = s >= self.bound[queries]
+        if len(s) > self.keep and np.count_nonzero(hit) > 4 * self.keep * len(queries):
+            # the ``keep``-th best of these rows is a bound for all
+            least = np.partition(np.ascontiguousarray(s.T), len(s) - self.keep, axis=1)[:, len(s) - self.keep]
+            self.bound[queries] = np.maximum(self.bound[queries], least)
+            hit = s >= self.bound[queries]
+        row, column = np.nonzero(hit)
         self.new.append((queries[column], ids[row], s[row, column]))
         self.waiting += len(row)
         if self.waiting > max(100_000, 2 * len(self.s)):
