@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from observatory.functions import expr
@@ -12,6 +12,7 @@ from observatory.operators import admission, graph, quality, runs, verify
 from observatory.plans import oracle, queries as base
 from observatory.plans.queries import query
 from observatory.shared import cut
+from observatory.sources import landing
 from observatory.sources.domain import view
 
 # ---- budgets and runs
@@ -67,6 +68,27 @@ _RUN = """(SELECT *, sum(CASE WHEN outcome = 'saved' THEN 1 ELSE 0 END) OVER (OR
     CASE WHEN row_number() OVER (PARTITION BY id ORDER BY seq) > 1 THEN 'duplicate' WHEN id % 3 = 0 THEN 'reused' ELSE 'saved' END AS outcome
     FROM (SELECT event_id AS seq, event_id * 7919 % 301 AS id, event_type AS category, 'r' || event_id % 3 AS recipe, props AS query FROM {events}) x) y)"""
 
+# ---- landed pages
+
+
+@query
+def followed_pages(s: SparkSession, d: str) -> DataFrame:
+    """Events as pages of ten of their user's, as a listing would land them, followed up to 25 items.
+
+    A fifth of the users has a page cut short after the first one, at which the listing ends.
+    """
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    rows = view(s, d, "events").select("user_id", "event_id", "event_type", place.alias("n")).withColumn("page", F.floor(F.col("n") / 10).cast("int") + 1)
+    rows = rows.where(~((F.col("user_id") % 5 == 0) & (F.col("page") == 2) & (F.col("n") % 10 > 6)))
+    item = F.struct("n", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("name"))).alias("j"))
+    pages = rows.groupBy("user_id", "page").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    last = F.max("page").over(Window.partitionBy("user_id"))
+    body = F.concat(F.lit('{"incomplete_results":false,"items":['), F.array_join(F.transform("x", lambda e: e["j"]), ","), F.lit("]}"))
+    link = F.when(F.col("page") < last, F.concat(F.lit("<https://api.example.com/users/"), F.col("user_id"), F.lit("/events?page="), F.col("page") + 1, F.lit('>; rel="next"')))
+    landed = pages.select(F.col("user_id").alias("chain"), "page", F.concat(F.lit("https://api.example.com/users/"), F.col("user_id"), F.lit("/events")).alias("url"), F.lit(200).alias("status"), link.alias("link"), body.alias("body"))
+    return landing.follow(landed, 10, 25, "items").select("chain", "page", "position", F.get_json_object("item", "$.id").cast("long").alias("id"))
+
+
 # ---- verification
 
 _KEPT = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
@@ -178,6 +200,7 @@ QUERIES_SQL = {
     "discovery_run": f"SELECT seq, id, outcome FROM {_RUN} r WHERE place <= 600",
     "discovery_provenance": f"SELECT category, recipe, count(DISTINCT id) AS repositories FROM {_RUN} r WHERE place <= 600 GROUP BY GROUPING SETS ((category, recipe), (category))",
     "discovery_receipts": f"SELECT CAST(run AS INTEGER) AS run, count(*) + coalesce(max(over), 0) AS examined, count(*) FILTER (outcome <> 'duplicate') + coalesce(max(over), 0) AS unique, count(*) FILTER (outcome = 'saved') AS saved, count(*) FILTER (outcome = 'reused') AS reused, count(*) FILTER (outcome = 'duplicate') AS duplicates, CASE WHEN max(over) = 1 THEN 'max_new_repositories' WHEN count(*) < max(total) THEN 'max_candidates' END AS stopped FROM (SELECT l.run, r.*, (SELECT count(*) FROM {{events}}) AS total, (SELECT max(CASE WHEN q.new > l.news THEN 1 ELSE 0 END) FROM {_RUN} q WHERE q.place <= l.most) AS over FROM (VALUES (0, 600, 1000), (1, 1000000, 50), (2, 1000000, 1000), (3, 40, 1000)) l(run, most, news) JOIN {_RUN} r ON r.place <= l.most AND r.new <= l.news) x GROUP BY run",
+    "followed_pages": "SELECT user_id AS chain, CAST(n // 10 + 1 AS INTEGER) AS page, CAST(n AS INTEGER) AS position, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM {events}) x WHERE n < CASE WHEN user_id % 5 = 0 THEN 17 ELSE 25 END",
     "table_fingerprint": "SELECT level, CAST(node AS INTEGER) AS node, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(keys) AS BIGINT) AS keys, CAST(sum(repeated_keys) AS BIGINT) AS repeated_keys, CAST(sum(sum) % 1000000000000000000 AS BIGINT) AS sum FROM (" + " UNION ALL ".join(f"SELECT {i} AS level, bucket // {16**i} AS node, rows, keys, repeated_keys, sum FROM {_LEAVES} l{i}" for i in range(4)) + ") x GROUP BY 1, 2",
     "changed_orders": "SELECT o_orderkey, 'removed' AS change FROM (SELECT min(o_orderkey) AS o_orderkey FROM {orders}) x UNION ALL SELECT max(o_orderkey), 'changed' FROM {orders} UNION ALL SELECT max(o_orderkey) + 1, 'added' FROM {orders}",
     "broken_references": "SELECT l_suppkey AS value, count(*) AS rows FROM {lineitem} WHERE l_suppkey NOT IN (SELECT s_suppkey FROM {supplier} WHERE s_suppkey % 3 <> 0) GROUP BY 1",
