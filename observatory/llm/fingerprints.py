@@ -96,35 +96,58 @@ def text_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
 
 
+#: Rows sampled for each bucket's bound.
+SAMPLED = 20
+#: Bytes of a text that tell rows of one id apart in the order of buckets.
+PREFIX = 8
+
+
+def _places(keys: np.ndarray, prefixes: list[bytes]) -> np.ndarray:
+    """Order of (id, first bytes of the text) as fixed-size bytes."""
+    own = np.zeros((len(keys), 8 + PREFIX), dtype=np.uint8)
+    own[:, :8] = (keys.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    own[:, 8:] = np.array(prefixes, dtype=f"S{PREFIX}").view(np.uint8).reshape(-1, PREFIX)
+    return own.view(f"S{8 + PREFIX}").ravel()
+
+
 def in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, text, bucket, ahead), dealt out and sorted by bucket, ahead, id, text.
 
-    A bucket holds a range of ids and, as its ``ahead`` rows, a copy of the rows of
-    the smallest id behind it (behind the last bucket: of the smallest of all), so
-    each row's successor stands in its own bucket. Bounds come from a sketch of all
-    ids; there is one per partition.
+    A bucket holds a range of ids and first bytes of texts, so rows of one id, or of
+    none, are in many, and as its ``ahead`` rows a copy of those at the lower bound
+    behind it (behind the last bucket: at the smallest), so each row's successor
+    stands in its own bucket. Bounds are rows of the table, from a bounded sample of
+    their hashes for each partition; they are broadcast, a few bytes each.
     """
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    marks = [i / n for i in range(n)]
-    bounds = sorted(set(df.select(F.percentile_approx(key, marks, max(10000, 20 * n)).alias("b"), F.min(key).alias("m")).select(F.array_union(F.array("m"), F.coalesce("b", F.array().cast("array<bigint>"))).alias("b")).first()["b"]) - {None})
-    if not bounds:
-        bounds = [0]
-    side = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + side] for i in range(0, len(bounds), side)]
-    tops = F.lit([g[0] for g in groups])
-    # two short steps instead of a pass over all bounds
-    group = F.size(F.filter(tops, lambda x: x <= F.col("key"))) - 1
-    within = F.element_at(F.array(*[F.lit(g) for g in groups]), F.col("group") + 1)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key")).withColumn("group", group)
-    rows = rows.withColumn("own", (F.col("group") * side + F.size(F.filter(within, lambda x: x <= F.col("key"))) - 1).cast("int"))
-    low = F.element_at(within, F.col("own") - F.col("group") * side + 1)
-    here = F.struct(F.col("own").alias("bucket"), F.lit(0).alias("ahead"))
-    before = F.struct(F.pmod(F.col("own") - 1, F.lit(len(bounds))).cast("int").alias("bucket"), F.lit(1).alias("ahead"))
-    rows = rows.withColumn("at", F.explode(F.when(F.col("key") == low, F.array(here, before)).otherwise(F.array(here))))
-    rows = rows.select("id", "text", "key", "at.bucket", "at.ahead")
-    return rows.repartitionById(len(bounds), "bucket").sortWithinPartitions("bucket", "ahead", "key", "text").drop("key")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    first = df.select(key.alias("k"), F.substring(F.encode(F.substring(text, 1, PREFIX), "UTF-8"), 1, PREFIX).alias("p"))
+    least = first.agg(F.min(F.struct("k", "p")).alias("m")).first()["m"]
+    taken = first.orderBy(F.xxhash64("k", "p"), "k", "p").limit(SAMPLED * n).collect()
+    some = np.unique(_places(np.array([r["k"] for r in taken], dtype=np.int64), [bytes(r["p"]) for r in taken])) if taken else np.zeros(0, f"S{8 + PREFIX}")
+    picked = some[np.linspace(0, len(some), n, endpoint=False).astype(int)] if len(some) else some
+    smallest = _places(np.array([least["k"]], dtype=np.int64), [bytes(least["p"])]) if least else some
+    bounds = np.unique(np.concatenate([smallest, picked]))
+    shared = spark.sparkContext.broadcast(bounds)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = shared.value
+        for b in batches:
+            at = _places(b.column(2).to_numpy(), [x or b"" for x in b.column(3).to_pylist()])
+            own = np.searchsorted(bounds, at, side="right") - 1
+            again = np.flatnonzero(bounds[own] == at)
+            rows = np.concatenate([np.arange(len(at)), again])
+            bucket = np.concatenate([own, (own[again] - 1) % len(bounds)]).astype(np.int32)
+            ahead = np.repeat(np.array([0, 1], dtype=np.int32), [len(at), len(again)])
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), pa.array(bucket), pa.array(ahead)], names=["id", "text", "key", "bucket", "ahead"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key"), F.substring(F.encode(F.substring(text, 1, PREFIX), "UTF-8"), 1, PREFIX).alias("p"))
+    rows = rows.mapInArrow(deal, f"id {kind}, text string, key long, bucket int, ahead int")
+    return rows.repartitionById(max(1, len(bounds)), "bucket").sortWithinPartitions("bucket", "ahead", "key", F.coalesce("text", F.lit(""))).drop("key")
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, bits: int = BITS) -> DataFrame:

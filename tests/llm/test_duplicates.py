@@ -170,3 +170,31 @@ def test_common_lines_are_dealt_to_all_tasks(spark, monkeypatch):
     want = run()
     monkeypatch.setattr(lines, "HEAVY", 3)
     assert run() == want
+
+
+def test_edited_texts_of_rows_that_share_an_id(spark):
+    """Null ids and equal ones lie in many buckets; each row is followed by the next by id, then text."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgé") for _ in range(5))
+    docs = [(None, " ".join(word() for _ in range(12))) for _ in range(400)] + [(7, " ".join(word() for _ in range(12))) for _ in range(200)] + [(i, rnd.choice(["", None, "copy of a text"])) for i in range(60)] + [(None, "twice"), (None, "twice")]
+    rnd.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("bucket", F.lit(1)).repartition(3)
+    order = sorted(((-(2**63) if i is None else i, t or "") for i, t in docs), key=lambda x: (x[0], x[1].encode()))
+    want = Counter()
+    for (i, a), (_, b) in zip(order, order[1:] + order[:1]):
+        half = len(a) // 2
+        want[i, len(a), hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest()] += 1
+    got = fingerprints.edited_fingerprints(df, "doc_id", "text").collect()
+    assert Counter((-(2**63) if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    dealt = fingerprints.in_order(df, "doc_id", "text").where("ahead = 0").groupBy("bucket").count().collect()
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < 400
+    assert fingerprints.edited_fingerprints(df.limit(0), "doc_id", "text").count() == 0
+    one = fingerprints.edited_fingerprints(df.where("text = 'twice'").limit(1), "doc_id", "text").first()
+    assert one.edited_sha256 == hashlib.sha256(b"twitw").hexdigest()
+
+
+def test_fingerprints_of_texts(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, " "), (None, "h i j k l m")], "doc_id long, text string").withColumn("fingerprint", F.lit(1))
+    got = {r.doc_id: r.fingerprint for r in fingerprints.text_fingerprints(df).collect()}
+    assert got[1] == got[2] != got[None] and got[3] == got[4] == "" and len(got[1]) == 2 * fingerprints.BINS
+    assert fingerprints.text_fingerprints(df.limit(0)).count() == 0
