@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from observatory.llm import ann, bpe, chat, fingerprints, lines, minhash, negatives, packing, pages, pii, sharding, toxicity, whitening
-from observatory.shared import shared_dir
+from observatory.shared import scratch
 from observatory.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,7 +74,7 @@ OLD_SHARDS = 12
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
-    plan, _ = sharding.rewrite(table(spark, sf_dir, "documents"), old, OLD_SHARDS, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    plan, _ = sharding.rewrite(table(spark, sf_dir, "documents"), old, OLD_SHARDS, scratch(spark, "shards"))
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
