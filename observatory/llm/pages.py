@@ -202,11 +202,31 @@ class Page:
             gone[i] = self.dropped[i] or i in template or gone[self.parent[i]]
         return gone
 
-    def text(self, template: frozenset[int] | set[int], host: bytes) -> str:
-        """Without the subtrees in ``template``, which go before the article is looked for."""
-        marked = {i for i in range(1, len(self.tag)) if self.hashes[i] and not self.dropped[i] and template and key(host, self.hashes[i]) in template}
+    def marked(self, template: frozenset[int] | set[int], host: bytes) -> set[int]:
+        """The elements that counts take out, whatever they are called."""
+        marked = {i for i in range(1, len(self.tag)) if self.hashes[i] and template and key(host, self.hashes[i]) in template}
         # what is most of a page is its article, and so are paragraphs within one, whatever other pages repeat
-        marked = {i for i in marked if 2 * self.size[i] < self.size[0] and not (self.tag[i] == "p" and self._in_article(i))}
+        return {i for i in marked if 2 * self.size[i] < self.size[0] and not (self.tag[i] == "p" and self._in_article(i))}
+
+    def shares(self, template: frozenset[int] | set[int], host: bytes) -> tuple[int, int, int, int]:
+        """Characters of the page's visible text that counts take out, that names take out of the rest, that lie outside the article, and that stay."""
+        marked = self.marked(template, host)
+        counted, named = [False] * len(self.tag), [False] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            counted[i] = i in marked or counted[self.parent[i]]
+            named[i] = self.dropped[i] or named[self.parent[i]]
+        hidden = [t in _RAW for t in self.tag]
+        root = self.root([a or b for a, b in zip(counted, named)])
+        low, high = (self.first[root], self.stop[root]) if root else (0, len(self.events))
+        out = [0, 0, 0, 0]
+        for at, (element, text) in enumerate(self.events):
+            if text is not None and not hidden[element]:
+                out[0 if counted[element] else 1 if named[element] else 3 if low <= at < high else 2] += len(" ".join(text.split()))
+        return tuple(out)
+
+    def text(self, template: frozenset[int] | set[int], host: bytes) -> str:
+        """Without the subtrees in ``template``, which go first; names decide on what is left, and the article is looked for in the rest."""
+        marked = self.marked(template, host)
         out = self._joined(marked)
         return out if out or not marked else self._joined(set())
 
@@ -282,6 +302,24 @@ def template_subtrees(df: DataFrame, url_col: str = "url", html_col: str = "html
     return often.join(pages, "host").where(F.col("n") >= F.log2("pages")).select("subtree").distinct()
 
 
+def removal_shares(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row (counted, named, outside, kept): characters of visible text that each rule takes out of all pages, counts before names.
+
+    ``outside`` is what lies outside the article that is found. For looking at; the
+    template hashes are collected.
+    """
+    found = frozenset(r[0] for r in template_subtrees(df, url_col, html_col).collect())
+    shared = df.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [_parsed(h).shares(shared.value, host_of(u)) for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["counted", "named", "outside", "kept"])
+
+    sums = df.select(url_col, html_col).mapInArrow(run, "counted long, named long, outside long, kept long")
+    return sums.agg(*(F.sum(c).alias(c) for c in ("counted", "named", "outside", "kept")))
+
+
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """Rows (id_col, url_col, text, n_chars): the main text of each page.
 

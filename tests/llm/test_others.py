@@ -48,6 +48,15 @@ def test_templates_decide_where_names_say_nothing(spark):
     assert {r.page_id: r.text for r in pages.extract_main_text(df).collect()} == want
 
 
+def test_counts_go_before_names(spark):
+    """A menu that recurs is taken out by its count, whatever it is called; one that doesn't by its name."""
+    rows = [(i, f"http://h.net/{i}", f"<body><nav><a>home</a><a>about us all</a></nav><article>{'text of its own ' * 9}{i}</article><footer>footer {i}</footer></body>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = pages.removal_shares(df).first()
+    assert (got.counted, got.named, got.outside) == (20 * 16, sum(len(f"footer {i}") for i in range(20)), 0) and got.kept > 2000
+    assert pages.removal_shares(df.limit(0)).first().kept is None
+
+
 def test_hostile_pages_take_linear_time():
     import time
 
