@@ -1,13 +1,13 @@
 """Harmonic packing of tokenised documents into fixed-capacity sequences.
 
-Class k holds the pieces that fit k times, and no k + 1 times, into a sequence.
-Documents are cut so that nearly all pieces fill a class exactly: whole sequences,
-then halves of the capacity down to its 64th part, and a rest below that, whose
-length alone is its class. Each class fills its sequences with k pieces each, so
-where a piece goes follows from its number within its class, and numbers come from
-counts per partition and class: no worker waits for another's bins. What a class
-has left over for its last sequence is fewer than k pieces; these leftovers of all
-classes, a bounded number, are put together first-fit, largest first.
+Whole sequences are taken off a document that is longer than one. What is left, nearly
+always a whole document, is of class k if it fits k times, and no k + 1 times, into a
+sequence. Each class fills its sequences with k documents each, so which sequence a
+document goes to follows from its number within its class, and numbers come from counts
+per partition and class: no worker waits for another's bins. Such a sequence is not
+full. A share of the documents, as large as what is left open, is therefore kept out,
+and flows into the open rests: laid end to end they are cut where a rest ends. Both
+are laid out by prefix sums, and meet in short stretches of that line.
 """
 
 from __future__ import annotations
@@ -22,16 +22,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from observatory.llm.arrow import held
 from observatory.shared import cut
 
 CAPACITY = 4096
-#: A document's rest below this is not cut any further.
-LEAST = 64
+#: Share of the documents, by hash, that may be kept to fill rests; no class leaves open more than half of its sequences.
+MOST_FILLERS = 0.6
+#: Fillers taken, as a multiple of what has to be filled; those beyond it make sequences of their own.
+MARGIN = 1.1
+#: Hash values that shares are counted in.
+STEPS = 1000
+#: Tokens of the line on which fillers and rests meet; a stretch holds few of either.
+STRETCH = 8192
 #: Entries after which a worker's cache of encoded words begins anew; words of the one before are taken over as they come up.
 CACHE_ENTRIES = 120_000
 
@@ -129,50 +135,72 @@ def encoder(raw: bytes) -> Encoder:
     return held(("packing", hashlib.sha256(raw).digest()), lambda: Encoder(raw))
 
 
-def cuts(n: int, capacity: int = CAPACITY, least: int = LEAST) -> list[int]:
-    """Lengths of the pieces of a document of n ids, in order."""
-    out = [capacity] * (n // capacity)
-    rest, part = n % capacity, capacity // 2
-    while rest >= least:
-        if rest >= part:
-            out.append(part)
-            rest -= part
-        part //= 2
-    return out + [rest] * (rest > 0)
+def pieces(df: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text_col: str, capacity: int, fillers: int) -> DataFrame:
+    """Rows (id, start, length, ids_crc32, doc_tokens, draw, seq, ids, part): whole sequences of a document, then what is left of it.
 
-
-def pieces(df: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text_col: str, capacity: int, least: int) -> DataFrame:
-    """Rows (id, start, length, ids_crc32, doc_tokens, part, number): number counts a partition's pieces of that length."""
+    ``draw`` is a row's hash modulo STEPS; rests whose draw is below ``fillers``
+    carry their ids. ``seq`` counts a partition's rows.
+    """
     with open(tokenizer_file, "rb") as f:
         raw = df.sparkSession.sparkContext.broadcast(f.read())
     final = end_id.to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(raw.value).encode
-        seen: dict[int, int] = {}
+        encode, seq, here = encoder(raw.value).encode, 0, TaskContext.get().partitionId()
         for b in batches:
             for low in range(0, b.num_rows, 250):
                 part = b.slice(low, 250)
                 rows = []
                 for i, ids in zip(part.column(0).to_pylist(), encode([x or "" for x in part.column(1).to_pylist()])):
                     ids += final
-                    start, total = 0, len(ids) // 4
-                    for n in cuts(total, capacity, least):
-                        at = seen.get(n, 0)
-                        rows.append((i, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), total, at))
-                        seen[n] = at + 1
-                        start += n
-                columns = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], part.schema.field(0).type), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["id", "start", "length", "ids_crc32", "doc_tokens", "number"])
+                    total = len(ids) // 4
+                    for start in range(0, total, capacity):
+                        own = ids[4 * start : 4 * (start + capacity)]
+                        n = len(own) // 4
+                        # by place, so that copies of one document are dealt like any others
+                        draw = zlib.crc32(f"{here} {seq}".encode()) % STEPS
+                        rows.append((i, start, n, zlib.crc32(own), total, draw, seq, own if n < capacity and draw < fillers else None))
+                        seq += 1
+                columns = list(zip(*rows)) or [()] * 8
+                kinds = [part.schema.field(0).type, *[pa.int64()] * 6, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "draw", "seq", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(id_col, text_col).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, number long")
+    rows = df.select(id_col, text_col).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, draw long, seq long, ids binary")
     return rows.withColumn("part", F.spark_partition_id())
 
 
-def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
-    """(bin, offset) of each length, largest first into the first bin with room."""
-    place: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+def filler_share(lengths: dict[int, int], capacity: int = CAPACITY) -> float:
+    """The share of rests that has to be kept out to fill what the others leave open, from how many rests have each length."""
+    tokens = sum(n * c for n, c in lengths.items())
+    classes: dict[int, int] = {}
+    for n, c in lengths.items():
+        classes[capacity // n] = classes.get(capacity // n, 0) + c
+    room = sum(capacity * c / k for k, c in classes.items())
+    return 1 - tokens / room if room else 0.0
+
+
+def _ahead(counts: DataFrame, by: str | None, order: str, n: str) -> DataFrame:
+    """``counts`` with before: the sum of ``n`` of the rows ahead, a row for each partition or block."""
+    w = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum(n).over(w), F.lit(0))).drop(n)
+
+
+def _line(rows: DataFrame, block: str, order: list[str], length: str) -> DataFrame:
+    """``rows`` with at: where each one begins if all are laid end to end, by ``block``, then ``order``."""
+    own = Window.partitionBy(block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = _ahead(rows.groupBy(block).agg(F.sum(length).alias("n")), None, block, "n")
+    laid = rows.withColumn("at", F.coalesce(F.sum(length).over(own), F.lit(0))).join(F.broadcast(sums), block)
+    return laid.withColumn("at", F.col("at") + F.col("before")).drop("before")
+
+
+#: Sequences that are one row of a sum.
+BLOCK = 1 << 14
+
+
+def first_fit(lengths: list[int], capacity: int) -> list[int]:
+    """The bin of each length, largest first into the first bin with room."""
+    place = [0] * len(lengths)
     room: list[int] = []
     begin: dict[int, int] = {}
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
@@ -183,39 +211,95 @@ def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
         begin[n] = at
         if at == len(room):
             room.append(capacity)
-        place[i] = at, capacity - room[at]
+        place[i] = at
         room[at] -= n
     return place
 
 
-def harmonic_pack(df: DataFrame, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
+def _placed(rests: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """Rests with sequence_id and offset, classes one after the other, and the number of sequences.
+
+    What a class has left over for its last sequence, fewer than k, is put together
+    first-fit with the others': at most capacity / length of each class, so a bounded
+    number at any input.
+    """
+    spark = rests.sparkSession
+    rests = rests.withColumn("k", F.floor(F.lit(capacity) / F.col("length")).cast("int"))
+    per_part = rests.groupBy("k", "part").agg(F.count("*").alias("n"))
+    # at most one row for each class
+    totals = sorted((r["k"], r["n"]) for r in per_part.groupBy("k").agg(F.sum("n").alias("n")).collect())
+    base, classes = 0, []
+    for k, n in totals:
+        classes.append((k, base, n // k * k))
+        base += n // k
+    table = spark.createDataFrame(classes, "k int, base long, full long")
+    number = F.row_number().over(Window.partitionBy("k", "part").orderBy("seq")) - 1
+    rows = rests.withColumn("number", number).join(_ahead(per_part, "k", "part", "n"), ["k", "part"]).join(F.broadcast(table), "k")
+    rows = cut(rows.withColumn("number", F.col("number") + F.col("before")), "classes")
+    left = sorted(map(tuple, rows.where(F.col("number") >= F.col("full")).select("part", "seq", "length").collect()))
+    bins = first_fit([n for _, _, n in left], capacity)
+    spots = spark.createDataFrame([(p, q, base + b) for (p, q, _), b in zip(left, bins)], "part int, seq long, spot long")
+    rows = rows.join(F.broadcast(spots), ["part", "seq"], "left")
+    rows = rows.withColumn("sequence_id", F.coalesce("spot", F.col("base") + F.floor(F.col("number") / F.col("k")).cast("long")))
+    slot = Window.partitionBy("sequence_id").orderBy("number", "part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(slot), F.lit(0)))
+    return rows.drop("k", "number", "before", "base", "full", "spot"), base + max(bins, default=-1) + 1
+
+
+def _poured(fillers: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pieces of ``fillers`` (their columns, at) in the rests of ``open_`` (sequence_id, offset, room, at), both laid on one line."""
+    stretches = lambda n: F.explode(F.sequence(F.floor(F.col("at") / STRETCH), F.floor((F.col("at") + F.col(n) - 1) / STRETCH)))
+    left = fillers.withColumn("stretch", stretches("length"))
+    right = open_.where("room > 0").select("sequence_id", F.col("offset").alias("begin"), F.col("at"), "room").withColumn("stretch", stretches("room")).withColumnRenamed("at", "spot")
+    low, high = F.greatest("at", "spot"), F.least(F.col("at") + F.col("length"), F.col("spot") + F.col("room"))
+    met = left.join(right, "stretch").withColumn("low", low).withColumn("n", high - low)
+    # a pair that meets in two stretches counts in that in which its piece begins
+    met = met.where((F.col("n") > 0) & (F.floor(F.col("low") / STRETCH) == F.col("stretch")))
+    return met.select("id", (F.col("start") + F.col("low") - F.col("at")).alias("start"), F.col("n").alias("length"), "doc_tokens", "sequence_id", (F.col("begin") + F.col("low") - F.col("spot")).alias("offset"), (F.col("low") - F.col("at")).alias("from"), "ids")
+
+
+def _checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Poured pieces with the checksum of their ids in place of these."""
+    for b in batches:
+        crc = [zlib.crc32(ids[4 * low : 4 * (low + n)]) for ids, low, n in zip(b.column(7).to_pylist(), b.column(6).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64()), *b.columns[3:6]], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
+def harmonic_pack(df: DataFrame, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A document is its text's ids, by the tokenizer as its file has it but for special
-    tokens around the text, and ``end_id`` behind them; a null or empty text is that id alone. Every id is in one piece, and the
-    pieces of a sequence stand gapless from offset 0. Repeated rows and null ids are
-    documents of their own; an empty table gives no rows; other columns are ignored.
+    tokens around the text, and ``end_id`` behind them; a null or empty text is that id
+    alone. Every id is in one piece, and the pieces of a sequence stand gapless from
+    offset 0. Documents are cut at the capacity; besides, only those are that fill what
+    classes leave open, about as many as there are tokens to fill, by hash. Repeated
+    rows and null ids are documents of their own; an empty table gives no rows; other
+    columns, whatever their names, are ignored.
     """
-    kind = df.schema[id_col].dataType
-    rows = cut(pieces(df, tokenizer_file, end_id, id_col, text_col, capacity, least), "pieces")
-    per_part = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = per_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    # at most one row for each possible length: the capacity's halves and the lengths below ``least``
-    totals = sorted((r["length"], r["n"]) for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect())
-    spark, base, classes = df.sparkSession, 0, []
-    for length, n in totals:
-        k = capacity // length
-        classes.append((length, k, base, n // k * k))
-        base += n // k
-    table = spark.createDataFrame(classes, "length long, k long, base long, full long")
-    placed = rows.join(before, ["length", "part"]).join(F.broadcast(table), "length").withColumn("number", F.col("number") + F.col("before"))
-    out = ["id", "start", "length", "ids_crc32", "doc_tokens"]
-    whole = placed.where("number < full").select(*out, (F.col("base") + F.floor(F.col("number") / F.col("k"))).alias("sequence_id"), (F.col("number") % F.col("k") * F.col("length")).alias("offset"))
-    left = [(length, n) for (length, n), (_, _, _, full) in zip(totals, classes) for n in range(full, n)]
-    spots = [(length, n, base + b, o) for (length, n), (b, o) in zip(left, first_fit([x for x, _ in left], capacity))]
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("length", "number", "sequence_id", "offset")])
-    # fewer than k for each class, so no more than capacity * (1 + 1/2 + ... + 1/least) rows at any input
-    last = placed.where("number >= full").join(F.broadcast(spark.createDataFrame(spots, schema)), ["length", "number"]).select(*out, "sequence_id", "offset")
-    done = whole.unionByName(last)
-    return done.select(F.col("id").cast(kind).alias(id_col), *out[1:], F.col("sequence_id").cast("long"), F.col("offset").cast("long"))
+    spark, kind = df.sparkSession, df.schema[id_col].dataType
+    rows = cut(pieces(df, tokenizer_file, end_id, id_col, text_col, capacity, int(MOST_FILLERS * STEPS)), "pieces")
+    # at most one row for each length
+    lengths = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    full = lengths.pop(capacity, 0)
+    share = min(MOST_FILLERS, MARGIN * filler_share(lengths, capacity))
+    kept_out = F.col("draw") < int(np.ceil(share * STEPS))
+    out = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    solid, sequences = _placed(rows.where((F.col("length") < capacity) & ~kept_out).drop("ids"), capacity)
+    solid = cut(solid.select(*out), "solid")
+    # whole sequences come after the classes, numbered by partition
+    per_part = _ahead(rows.where(F.col("length") == capacity).groupBy("part").agg(F.count("*").alias("n")), None, "part", "n")
+    whole = rows.where(F.col("length") == capacity).withColumn("number", F.row_number().over(Window.partitionBy("part").orderBy("seq")) - 1)
+    whole = whole.join(F.broadcast(per_part), "part").withColumn("sequence_id", F.col("number") + F.col("before") + sequences).withColumn("offset", F.lit(0).cast("long"))
+
+    open_ = solid.groupBy("sequence_id").agg(F.sum("length").alias("offset")).withColumn("room", capacity - F.col("offset"))
+    sums = rows.where((F.col("length") < capacity) & kept_out).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] - (open_.agg(F.coalesce(F.sum("room"), F.lit(0))).first()[0])
+    more = max(0, -(-sums // capacity))
+    # fillers beyond all rests begin sequences of their own
+    extra = spark.range(more).select((F.col("id") + sequences + full).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(capacity).cast("long").alias("room"))
+    open_ = open_.unionByName(extra).withColumn("block", F.floor(F.col("sequence_id") / BLOCK))
+    fillers = _line(rows.where((F.col("length") < capacity) & kept_out), "part", ["seq"], "length")
+    kinds = f"id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    poured = _poured(fillers, _line(open_, "block", ["sequence_id"], "room")).mapInArrow(_checked, kinds)
+    done = solid.unionByName(whole.select(*out)).unionByName(poured.select(*out))
+    return done.select(F.col("id").cast(kind).alias(id_col), *out[1:5], F.col("sequence_id").cast("long"), F.col("offset").cast("long"))

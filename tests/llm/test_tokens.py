@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
@@ -74,13 +75,18 @@ def test_packing_places_every_id_once(spark):
     docs = [(None, None), (1, ""), (1, ""), (2, "<|endoftext|> hi"), (3, "<|ENDOFTEXT|> hi \u00e9<|STARTOFTEXT|>, it's"), (4, "a\u0130\u036d\u0323 b\n" * 3), *((10 + i, x) for i, x in enumerate(texts(400, 5))), (999, "word salad, and more. " * 3000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     rows = packing.harmonic_pack(df, P.path("word_bpe_49k.json")).collect()
-    want, sequences = Counter(), defaultdict(list)
+    own, sequences = defaultdict(list), defaultdict(list)
     for i, x in docs:
-        ids, start = [*t.encode(x or "", add_special_tokens=False).ids, 2], 0
-        for n in packing.cuts(len(ids)):
-            want[i, start, n, zlib.crc32(struct.pack(f"<{n}I", *ids[start : start + n])), len(ids)] += 1
-            start += n
-    assert want == Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows)
+        own[i].append([*t.encode(x or "", add_special_tokens=False).ids, 2])
+    got = defaultdict(list)
+    for r in rows:
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    assert set(got) == set(own)
+    for i, parts in got.items():
+        # copies of a document are cut wherever they are; together they have each id as often as there are copies
+        ids = own[i][0]
+        assert all(x == ids for x in own[i]) and all(n > 0 and total == len(ids) and crc == zlib.crc32(struct.pack(f"<{n}I", *ids[start : start + n])) for start, n, crc, total in parts)
+        assert Counter(at for start, n, _, _ in parts for at in range(start, start + n)) == {at: len(own[i]) for at in range(len(ids))}
     for r in rows:
         sequences[r.sequence_id].append((r.offset, r.length))
     for spans in sequences.values():
@@ -89,4 +95,22 @@ def test_packing_places_every_id_once(spark):
             assert offset == end
             end += n
         assert end <= 4096
+    assert len(rows) < 1.5 * len(docs) + sum(len(x[0]) for x in own.values()) / 4096
+    assert sum(n for spans in sequences.values() for _, n in spans) > 0.98 * 4096 * (len(sequences) - 1)
+    assert sorted(sequences) == list(range(len(sequences)))
     assert packing.harmonic_pack(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [[9] * 300, [15] * 300, [1] * 40, [5, 6, 7, 8, 9, 10, 11, 3] * 40, [16] * 10, [40, 33, 17] * 30, [1]])
+def test_packing_of_any_lengths(spark, lengths):
+    """Classes that leave half of their sequences open, and ones that leave nothing; columns of clashing names."""
+    docs = [(i, " ".join(["the"] * (n - 1))) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("sequence_id", F.lit(1)).withColumn("id", F.lit("x")).repartition(3)
+    rows = packing.harmonic_pack(df, P.path("word_bpe_49k.json"), capacity=16).collect()
+    places = Counter((r.sequence_id, at) for r in rows for at in range(r.offset, r.offset + r.length))
+    ids = Counter((r.doc_id, at) for r in rows for at in range(r.start, r.start + r.length))
+    assert set(places.values()) == set(ids.values()) == {1} and len(ids) == sum(lengths) and {r.doc_id for r in rows} == set(range(len(lengths)))
+    used = Counter(s for s, _ in places)
+    assert all((s, n - 1) in places and n <= 16 for s, n in used.items())
+    if len(lengths) > 100:
+        assert len(used) <= 1.12 * sum(lengths) / 16 + 2
