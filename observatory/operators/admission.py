@@ -49,3 +49,25 @@ def admit(candidates: DataFrame, order: list[str], scope: str, caps: dict[str, i
     ranked = before(ranked.withColumn("__fits", fits), order, F.col("__fits"), "__of_all")
     refused = F.when(F.col("__of_all") >= room, "total").when(~F.col("__fits"), F.col(scope))
     return ranked.withColumn("refused_by", refused).withColumn("admitted", refused.isNull()).drop("__range", "__of_scope", "__fits", "__of_all")
+
+
+def replay(requests: DataFrame, stored: DataFrame, keys: list[str], order: str, force: str, budget: int, parts: int = 0) -> DataFrame:
+    """``requests`` with outcome: hit, call or refused, as a loop over them in ``order`` has it.
+
+    A request whose key is ``stored``, or was called for before in this run, is a hit,
+    unless ``force``. All others take a call of the budget, or are refused. ``order`` is
+    one column that tells all requests apart; nulls in keys equal each other.
+    """
+    have = stored.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct().withColumn("__stored", F.lit(True))
+    same = lambda side: [requests[k].eqNullSafe(side[f"__{k}"]) for k in keys]
+    first = requests.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.min(order).alias("__first"))
+    rows = requests.join(have, same(have), "left").drop(*(f"__{k}" for k in keys))
+    rows = rows.join(first, [rows[k].eqNullSafe(first[f"__{k}"]) for k in keys]).drop(*(f"__{k}" for k in keys))
+    known = F.coalesce("__stored", F.lit(False))
+    rows = cut(rows.withColumn("__known", known).withColumn("__calls", F.coalesce(F.col(force), F.lit(False)) | (~known & (F.col(order) == F.col("__first")))), "requests")
+    calls = admit(rows.where("__calls").select(F.col(order).alias("__order")).withColumn("__scope", F.lit(None).cast("string")), ["__order"], "__scope", {}, budget, parts=parts).select("__order", "admitted")
+    # of a key that isn't stored, whether its first call was admitted says what became of the others
+    own = F.when(F.col("__calls") | ~F.col("__known"), F.when(F.col("__calls"), F.col(order)).otherwise(F.col("__first")))
+    rows = rows.withColumn("__own", own).join(calls, F.col("__own") == F.col("__order"), "left")
+    outcome = F.when(F.col("__calls"), F.when(F.col("admitted"), "call").otherwise("refused")).when(F.col("__known") | F.col("admitted"), "hit").otherwise("refused")
+    return rows.select(*requests.columns, outcome.alias("outcome"))

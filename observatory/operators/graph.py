@@ -186,6 +186,17 @@ def related_repositories(assoc: DataFrame, topics: DataFrame) -> DataFrame:
     return out.withColumn("score", score)
 
 
+def topics_related_to(assoc: DataFrame, topics: DataFrame, topic: str) -> DataFrame:
+    """(topic, developers, repositories): what other topics share with one; only its own rows are paired."""
+    people = assoc.join(topics, "repository_id").select("developer_id", "topic").distinct()
+
+    def shared(rows: DataFrame, by: str, name: str) -> DataFrame:
+        own = rows.where(F.col("topic") == topic).select(by).distinct()
+        return rows.where(F.col("topic") != topic).join(own, by, "left_semi").groupBy("topic").agg(F.count_distinct(by).alias(name))
+
+    return shared(people, "developer_id", "developers").join(shared(topics, "repository_id", "repositories"), "topic", "full").na.fill(0)
+
+
 def related_topics(assoc: DataFrame, topics: DataFrame) -> DataFrame:
     people = assoc.join(topics, "repository_id").select("developer_id", "topic").distinct()
     sizes = {"developers": people.groupBy("topic").count(), "repositories": topics.groupBy("topic").agg(F.count_distinct("repository_id"))}

@@ -93,3 +93,31 @@ def compare_and_swap(stored: DataFrame, edits: DataFrame, key: str, version: str
     """(key, applied): an edit applies if it names the stored version, or none where nothing is stored."""
     now = stored.select(key, F.col(version).alias("__now"))
     return edits.join(now, key, "left").select(key, F.col(version).eqNullSafe(F.col("__now")).alias("applied"))
+
+
+def apply_edits(stored: DataFrame, edits: DataFrame, key: str, version: str = "version", new_version: str = "new_version", delete: str = "deleted") -> tuple[DataFrame, DataFrame]:
+    """(what is stored next, (key, applied)): edits that name the stored version change or delete its row, or, naming none, add one.
+
+    ``edits`` has the key, the version seen, the new one, whether it deletes, and the
+    other columns of ``stored``; one edit a key. A deletion names a version. An edit
+    that names another version than the stored one is a conflict and changes nothing.
+    """
+    rest = [c for c in stored.columns if c not in (key, version)]
+    told = compare_and_swap(stored, edits, key, version)
+    gone = F.coalesce(F.col(delete), F.lit(False))
+    told = told.join(edits.select(key, (gone & F.col(version).isNull()).alias("__blind")), key).select(key, (F.col("applied") & ~F.col("__blind")).alias("applied"))
+    good = edits.join(told.where("applied").select(key), key, "left_semi")
+    kept = stored.join(good.select(key), key, "left_anti")
+    made = good.where(~gone).select(key, F.col(new_version).alias(version), *rest).select(*stored.columns)
+    return kept.unionByName(made), told
+
+
+def cached_contributors(links: DataFrame, developers: DataFrame, repositories: DataFrame, limit: int) -> DataFrame:
+    """(repository_id, place, developer_id, login, contributions): the first ``limit`` links of each repository that its last fetch saw, by contributions, then id.
+
+    ``repositories`` is (id, fetched_at), ``links`` has last_seen_at.
+    """
+    fetched = repositories.select(F.col("id").alias("repository_id"), "fetched_at")
+    rows = links.join(fetched, "repository_id").where(F.col("last_seen_at") == F.col("fetched_at")).join(developers.select(F.col("id").alias("developer_id"), "login"), "developer_id")
+    order = Window.partitionBy("repository_id").orderBy(F.desc("contributions"), "developer_id")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("repository_id", "place", "developer_id", "login", "contributions")

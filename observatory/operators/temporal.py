@@ -136,6 +136,12 @@ def anchored_deltas(snapshots: DataFrame, keys: list[str], at: str, value: str,
     return out.select(*keys, "e.window_days", "observations", "first_at", "last_at", F.col("cur.value").alias("current"), F.when(usable, F.col("e.base.value")).alias("base"), delta.alias("delta"), complete.alias("complete"))
 
 
+def field_deltas(snapshots: DataFrame, keys: list[str], at: str, fields: list[str], ref: Column, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """``anchored_deltas`` of several fields, with the column field: one pass over the snapshots for all of them."""
+    long = snapshots.select(*keys, at, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("bigint").alias("value")) for f in fields))).alias("__pair")).select(*keys, at, "__pair.*")
+    return anchored_deltas(long, [*keys, "field"], at, "value", ref, windows)
+
+
 def missing_days(snapshots: DataFrame, key: str, at: str, until: Column, complete_days: int = 7) -> DataFrame:
     """(key, day) for each of the last complete UTC days before ``until``, since the series began, without an observation."""
     last = F.date_sub(F.to_date(until), 1)

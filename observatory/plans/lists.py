@@ -236,7 +236,7 @@ def topic_report(s: SparkSession, d: str) -> DataFrame:
     """One topic's reach and its related topics."""
     _, _, assoc, topics = base._graph(s, d)
     reach = graph.topic_reach(topics.where("topic = 'size-1'"), assoc)
-    rel = graph.related_topics(assoc, topics).where("a = 'size-1' or b = 'size-1'").select(F.when(F.col("a") == "size-1", F.col("b")).otherwise(F.col("a")).alias("other"), F.col("developers").alias("shared_developers"), F.col("repositories").alias("shared_repositories"))
+    rel = graph.topics_related_to(assoc, topics, "size-1").select(F.col("topic").alias("other"), F.col("developers").alias("shared_developers"), F.col("repositories").alias("shared_repositories"))
     top = rel.orderBy(F.desc("shared_developers"), F.desc("shared_repositories"), "other").limit(10)
     return reach.select("topic", "repositories", "contributing", "owning", "associated").crossJoin(top)
 

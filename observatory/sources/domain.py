@@ -56,6 +56,10 @@ VIEWS = {
     "developer_snapshots": """
         SELECT developer_id, captured_at, sum(n) OVER (PARTITION BY developer_id ORDER BY captured_at ROWS UNBOUNDED PRECEDING) AS followers
         FROM (SELECT developer_id, max(captured_at) AS captured_at, count(DISTINCT l_orderkey) AS n FROM {lines} GROUP BY developer_id, extract(year FROM captured_at), extract(month FROM captured_at)) x""",
+    "profile_snapshots": """
+        SELECT developer_id, captured_at, sum(n) OVER w AS followers, CASE WHEN sum(n) OVER w % 7 = 0 THEN NULL ELSE sum(f) OVER w END AS following, sum(r) OVER w AS public_repos
+        FROM (SELECT developer_id, max(captured_at) AS captured_at, count(DISTINCT l_orderkey) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS f, count(DISTINCT repository_id) AS r
+          FROM {lines} GROUP BY developer_id, extract(year FROM captured_at), extract(month FROM captured_at)) x WINDOW w AS (PARTITION BY developer_id ORDER BY captured_at ROWS UNBOUNDED PRECEDING)""",
     "collection_runs": """
         SELECT o_orderkey AS run_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'discover' ELSE 'refresh' END AS kind, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
           CAST(o_orderdate AS TIMESTAMP) AS started_at, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR END AS finished_at,

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from observatory.operators import admission, graph, quality, runs, verify
+from observatory.operators import admission, graph, ingest, quality, runs, verify
 from observatory.plans import operations
 
 
@@ -115,3 +115,32 @@ def test_composition_of_the_first(spark):
 
 def test_runs_have_queries_over_all_events(spark, sf_dir):
     assert operations.discovery_run(spark, sf_dir).count() == 600
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_replays_are_those_of_a_loop(spark, seed):
+    rnd = random.Random(seed)
+    stored = {(k, None if k == 2 else "m") for k in range(5) if rnd.random() < 0.5}
+    rows = [(i, rnd.randrange(8), rnd.choice(["m", None]), rnd.random() < 0.15) for i in range(60)]
+    budget, have, want = rnd.randrange(12), set(stored), {}
+    for i, k, m, force in rows:
+        if (k, m) in have and not force:
+            want[i] = "hit"
+        elif budget > 0:
+            budget -= 1
+            have.add((k, m))
+            want[i] = "call"
+        else:
+            want[i] = "refused"
+    asked = spark.createDataFrame(rnd.sample(rows, len(rows)), "i long, k long, m string, force boolean")
+    spent = sum(w == "call" for w in want.values()) + budget
+    got = admission.replay(asked, spark.createDataFrame(sorted(stored, key=str), "k long, m string"), ["k", "m"], "i", "force", spent, parts=4)
+    assert {r.i: r.outcome for r in got.collect()} == want
+
+
+def test_edits_are_applied_by_version(spark):
+    stored = spark.createDataFrame([(1, "v1", "a"), (2, "v1", "b"), (3, "v1", "c")], "id long, version string, status string")
+    edits = [(1, "v1", "v2", False, "x"), (2, "v0", "v2", False, "x"), (3, "v1", "v2", True, None), (4, None, "v1", False, "new"), (5, None, "v1", True, None), (6, "v1", "v2", False, "x")]
+    after, told = ingest.apply_edits(stored, spark.createDataFrame(edits, "id long, version string, new_version string, deleted boolean, status string"), "id")
+    assert sorted(map(tuple, after.collect())) == [(1, "v2", "x"), (2, "v1", "b"), (4, "v1", "new")]
+    assert dict(map(tuple, told.collect())) == {1: True, 2: False, 3: True, 4: True, 5: False, 6: False}

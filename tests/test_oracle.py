@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from observatory.plans import lists_oracle, operations, oracle, streams
+from observatory.plans import lists_oracle, operations, oracle, reports, streams
 from observatory.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ORACLE_SQL = oracle.ORACLE_SQL | lists_oracle.ORACLE_SQL | streams.ORACLE_SQL | operations.ORACLE_SQL
+ORACLE_SQL = oracle.ORACLE_SQL | lists_oracle.ORACLE_SQL | streams.ORACLE_SQL | operations.ORACLE_SQL | reports.ORACLE_SQL
 
 
 def plain(v):
