@@ -77,3 +77,9 @@ def age_band(age: Column) -> Column:
 
 def format_confidence(score: Column) -> Column:
     return F.format_string("%s (%.2f)", level(score), score)
+
+
+def strongest(levels: Column) -> Column:
+    """An aggregate: the highest of levels, LOW over nothing."""
+    order = F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH")))
+    return F.element_at(order, F.greatest(F.coalesce(F.max(F.array_position(order, levels)), F.lit(1)), F.lit(1)).cast("int"))

@@ -40,6 +40,25 @@ def edges(links: DataFrame, repositories: DataFrame, topics: DataFrame) -> DataF
     return owns.union(contributes).union(tagged).distinct()
 
 
+def evidence_edges(links: DataFrame, repositories: DataFrame, topics: DataFrame, developers: DataFrame) -> DataFrame:
+    """(edge_type, source, target, contributions, share, observations): ``edges`` with what is known of contributions, of developers that are there.
+
+    ``links`` has share and observations; owners and contributors without a row in
+    ``developers`` (id) are no nodes and have no edges. Other edges have nulls.
+    """
+    here = developers.select(F.concat(F.lit("D:"), F.col("id").cast("string")).alias("source"))
+    every = edges(links, repositories, topics)
+    known = every.where("edge_type = 'TAGGED_WITH'").unionByName(every.where("edge_type <> 'TAGGED_WITH'").join(here, "source", "left_semi").select(*every.columns))
+    of = links.select(F.lit("CONTRIBUTES_TO").alias("edge_type"), F.concat(F.lit("D:"), F.col("developer_id").cast("string")).alias("source"), F.concat(F.lit("R:"), F.col("repository_id").cast("string")).alias("target"), "contributions", "share", "observations")
+    return known.join(of, ["edge_type", "source", "target"], "left")
+
+
+def shared_between(assoc: DataFrame, topics: DataFrame, topic_a: str, topic_b: str) -> DataFrame:
+    """(repository_id, developers): repositories in both topics, and how many associates they have; each of these bridges the two."""
+    both = topics.where(F.col("topic").isin(topic_a, topic_b)).groupBy("repository_id").agg(F.count_distinct("topic").alias("n")).where("n = 2")
+    return assoc.join(both.select("repository_id"), "repository_id", "left_semi").groupBy("repository_id").agg(F.count_distinct("developer_id").alias("developers"))
+
+
 def nodes(developers: DataFrame, repositories: DataFrame, topics: DataFrame) -> DataFrame:
     d = developers.select(F.lit("DEVELOPER").alias("node_type"), F.concat(F.lit("D:"), F.col("id").cast("string")).alias("node"), F.col("login").alias("label"))
     r = repositories.select(F.lit("REPOSITORY").alias("node_type"), F.concat(F.lit("R:"), F.col("id").cast("string")).alias("node"), F.col("full_name").alias("label"))

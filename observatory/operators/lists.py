@@ -146,3 +146,12 @@ def strongest(levels: list[Column]) -> Column:
 
 def developer_level(available: Column, activity_confidence: Column, emerging_confidence: Column) -> Column:
     return strongest([F.when(available, level(activity_confidence)), level(emerging_confidence)])
+
+
+def has_contact(*fields: str) -> Column:
+    """Whether any of the public fields holds more than white space."""
+    filled = [F.coalesce(F.trim(F.col(f)) != "", F.lit(False)) for f in fields]
+    out = filled[0]
+    for f in filled[1:]:
+        out = out | f
+    return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from observatory.operators import admission, ingest, temporal
+from observatory.functions import expr
+from observatory.operators import admission, graph, ingest, lists, temporal
 from observatory.plans import oracle, queries as base
 from observatory.plans.queries import query
 from observatory.sources import landing
@@ -117,6 +118,45 @@ def explore(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query
+def evidence_edges(s: SparkSession, d: str) -> DataFrame:
+    """Edges with contributions, shares and observations; a tenth of the developers isn't tracked."""
+    links, repos, _, topics = base._graph(s, d)
+    out = graph.evidence_edges(links, repos, topics, view(s, d, "developers").where("id % 10 <> 0"))
+    return out.withColumn("share", F.round("share", 6))
+
+
+PAIRS = [("size-1", "size-2"), ("brand#1", "large")]
+
+
+@query
+def cross_topic_repositories(s: SparkSession, d: str) -> DataFrame:
+    """Repositories that bridge two topics, for some pairs."""
+    _, _, assoc, topics = base._graph(s, d)
+    found = [graph.shared_between(assoc, topics, a, b).select(F.lit(f"{a} and {b}").alias("pair"), "repository_id", "developers") for a, b in PAIRS]
+    return found[0].union(found[1])
+
+
+@query
+def synthesis_levels(s: SparkSession, d: str) -> DataFrame:
+    """Coverage of a text on the ecosystem, on a bridge of two topics, and on each topic."""
+    nodes, edges = base.graph_nodes(s, d), base.graph_edges(s, d).where("edge_type = 'TAGGED_WITH'")
+    there = nodes.select("node_type").distinct().union(edges.select("edge_type").distinct()).select(F.lit("MEDIUM").alias("level"))
+    top = base.developer_bridges(s, d).orderBy(F.desc("bridge"), "developer_id").limit(5).select("level")
+    ecosystem = there.union(top).agg(expr.strongest(F.col("level")).alias("level")).select(F.lit("ecosystem").alias("entity"), "level")
+    bridge = base.cross_topic_bridges(s, d).orderBy(F.desc("bridge"), "developer_id").limit(10).agg(expr.strongest(F.col("level")).alias("level")).select(F.lit("size-1 and size-3").alias("entity"), "level")
+    topics = base.topic_aggregates(s, d).select(F.col("topic").alias("entity"), F.col("confidence_level").alias("level"))
+    return ecosystem.union(bridge).union(topics)
+
+
+@query
+def developers_with_contact(s: SparkSession, d: str) -> DataFrame:
+    """Developers with a public address, site or name elsewhere; blank fields are none."""
+    field = lambda n, text: F.when(F.col("id") % n == 0, text).when(F.col("id") % n == 1, "  ")
+    rows = view(s, d, "developers").withColumn("public_email", field(3, "a@example.com")).withColumn("blog", field(5, "https://example.com")).withColumn("twitter_username", field(7, "x"))
+    return rows.where(lists.has_contact("public_email", "blog", "twitter_username")).select("id", "login")
+
+
 _FIELDS = " UNION ALL ".join(f"SELECT developer_id, captured_at, '{f}' AS field, CAST({f} AS BIGINT) AS v FROM {{profile_snapshots}}" for f in PROFILE_FIELDS)
 _KEYED = "(SELECT id, entity_type || '|' || CAST(CAST(entity_key AS BIGINT) % 3 AS VARCHAR) || '|' || artifact_type || '|' || window_days || '|' || id % 5 || '|' || id % 2 || '|' || id % 3 AS k FROM {artifacts})"
 
@@ -136,6 +176,10 @@ QUERIES_SQL = {
     "landed_contributors": "SELECT user_id AS repository_id, event_id % 5 AS developer_id, 'dev' || event_id % 5 AS login, CAST(max(event_id) AS INTEGER) AS contributions FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {events}) x WHERE n <= 8 GROUP BY ALL",
     "landed_users": "SELECT id, login, CASE WHEN id % 2 = 0 THEN CAST(followers AS INTEGER) END AS followers, CAST(NULL AS INTEGER) AS following, CAST(id % 4 AS INTEGER) AS public_repos FROM {developers}",
     "landed_texts": "SELECT doc_id, sha256(coalesce(text, '')) AS readme_sha256, substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) || ' ' || CASE WHEN trim(split_part(coalesce(text, ''), chr(10), 1)) = '' THEN '—' ELSE trim(split_part(coalesce(text, ''), chr(10), 1)) END AS commit FROM {documents}",
+    "evidence_edges": "SELECT g.edge_type, g.source, g.target, a.contributions, round(a.share, 6) AS share, a.observations FROM {graph_edges} g LEFT JOIN {act} a ON g.edge_type = 'CONTRIBUTES_TO' AND g.source = 'D:' || a.developer_id AND g.target = 'R:' || a.repository_id WHERE g.edge_type = 'TAGGED_WITH' OR g.source IN (SELECT 'D:' || id FROM {developers} WHERE id % 10 <> 0)",
+    "cross_topic_repositories": " UNION ALL ".join(f"SELECT '{a} and {b}' AS pair, a.repository_id, count(DISTINCT a.developer_id) AS developers FROM {{assoc}} a WHERE a.repository_id IN (SELECT repository_id FROM {{repository_topics}} WHERE topic = '{a}') AND a.repository_id IN (SELECT repository_id FROM {{repository_topics}} WHERE topic = '{b}') GROUP BY 2" for a, b in PAIRS),
+    "synthesis_levels": f"SELECT 'ecosystem' AS entity, CASE WHEN max(CASE WHEN level = 'HIGH' THEN 1 ELSE 0 END) = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM (SELECT level FROM ({oracle.QUERIES['developer_bridges']}) b ORDER BY bridge DESC, developer_id LIMIT 5) x UNION ALL SELECT 'size-1 and size-3', coalesce(max_by(level, CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END), 'LOW') FROM (SELECT level FROM ({oracle.QUERIES['cross_topic_bridges']}) c ORDER BY bridge DESC, developer_id LIMIT 10) y UNION ALL SELECT topic, confidence_level FROM ({oracle.QUERIES['topic_aggregates']}) t",
+    "developers_with_contact": "SELECT id, login FROM {developers} WHERE id % 3 = 0 OR id % 5 = 0 OR id % 7 = 0",
     "explore": " UNION ALL ".join([_five(_MOMENTUM, "repositories", "repository_id", "momentum"), _five(f"({oracle.QUERIES['topic_aggregates']})", "topics", "topic", "total_momentum"), _five(_EMERGING, "emerging", "developer_id", "emerging"), _five(f"({oracle.QUERIES['developer_bridges']})", "bridges", "developer_id", "bridge"), f"SELECT 'counts', 'ranked', CAST(count(*) AS DOUBLE) FROM {_MOMENTUM} m", "SELECT 'counts', 'tracked', CAST(count(*) AS DOUBLE) FROM {dense_repositories} r", f"SELECT 'counts', 'emerging', CAST(count(*) AS DOUBLE) FROM {_EMERGING} e"]),
 }
 ORACLE_SQL = {k: oracle.sql(v) for k, v in QUERIES_SQL.items()}
