@@ -74,13 +74,10 @@ def releases(raw: DataFrame, limit: int = RELEASES, key: str = "repository_id",
     return raw.select(key, F.size(found).alias("releases"), F.array_join(F.transform(found, line), "\n\n").alias("text"))
 
 
-PAGE = "chain, page, url, status, link, body"
-
-
 def follow(pages: DataFrame, per_page: int, max_items: int | None = None, items_key: str | None = None, key: str = "chain") -> DataFrame:
     """(chain, page, position, item): the items of landed pages, each chain followed as its pages tell.
 
-    ``pages`` has the columns of PAGE, numbered from 1 within each chain. A chain ends
+    ``pages`` is (chain, page, url, status, link, body), numbered from 1 within each chain. A chain ends
     at a page that is short, empty, of status 204 or names no next one in its link;
     what lies behind is ignored, as is what lies behind ``max_items``. Of pages that
     count it is an error to hold no list (under ``items_key``, if given), to say that

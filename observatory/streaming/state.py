@@ -207,8 +207,8 @@ def gap_days(source: DataFrame, key: str, at: str, delay: str) -> DataFrame:
 class _Anchored(StatefulProcessor):
     """The newest instant of one key, at first the stored one."""
 
-    def __init__(self, at: str, advance: bool) -> None:
-        self.at, self.advance = at, advance
+    def __init__(self, advance: bool) -> None:
+        self.advance = advance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.anchor = handle.getValueState("anchor", "at bigint")
@@ -247,7 +247,7 @@ def quarantine(source: DataFrame, newest: DataFrame, key: str, at: str, seq: str
     rows = source.withColumn("__at", F.unix_micros(at)).withColumn("__seq", F.col(seq).cast("bigint")).withColumn("__key", F.col(key))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields) + ", `__key` " + source.schema[key].dataType.simpleString() + ", accepted boolean"
     with state_store(spark):
-        out = rows.groupBy("__key").transformWithState(_Anchored(at, advance), schema, "Append", "None", initialState=first.groupBy("__key"))
+        out = rows.groupBy("__key").transformWithState(_Anchored(advance), schema, "Append", "None", initialState=first.groupBy("__key"))
     return out.drop("__key")
 
 
