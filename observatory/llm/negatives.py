@@ -37,9 +37,6 @@ TASK_ROWS = 1 << 18
 #: Pairs whose exact products are made at once.
 PAIRS = 1 << 16
 
-#: What one round looks for: the first ``keep`` of each window [low, high] of an anchor; windows of the anchor's own label, or of all others.
-_Found = tuple[np.ndarray, np.ndarray, np.ndarray]
-
 
 def usable(vector: str, most: float) -> Column:
     """Not null, with entries that all are finite numbers below ``most`` in size."""
