@@ -5,11 +5,16 @@ centroid is stored as one byte for each of its parts, the nearest of 256 centroi
 of that part. A query reads the lists nearest to it, scores their vectors from a
 table of its inner products with all part centroids (asymmetric: the query itself
 is not quantised), and ranks the best of them again by the original vectors.
+
+What is stored besides, the norm of what the quantised vector leaves and the radius of
+each list, bounds the true product from above (Cauchy-Schwarz). A query first reads the
+lists nearest to it; its k-th best product there decides which other lists, and which
+of their vectors, may hold a better one. All of those are compared, so that nothing
+is missed whatever the vectors are; how well the centroids fit only sets the cost.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -26,20 +31,16 @@ SAMPLE = 20_000
 #: Vectors that a list holds, about.
 LIST_ROWS = 400
 MOST_LISTS = 4096
-#: Share of the sample's true neighbours that the lists read have to hold; sets how many lists a query reads ...
-TARGET = 0.97
-#: ... and queries of the sample that it is measured on.
-TRIALS = 200
-#: Vectors that a query's lists hold together, at least.
+#: Vectors that the lists which a query reads first hold together, at least.
 PROBE_ROWS = 4000
-#: Candidates for each neighbour asked for that are ranked again by their vectors; ``exact`` compares all.
-RERANK = 8
 #: Queries that are sent to all tasks at a time ...
 QUERIES = 4096
 #: ... of which a task looks at so many at once, with so many vectors.
 RUN, STEP = 256, 4096
 #: Vectors that one task compares, about.
 TASK_ROWS = 1 << 18
+#: Pairs whose exact products are made at once.
+PAIRS = 1 << 14
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -78,6 +79,10 @@ class Quantiser:
             out[:, i] = np.argmax(rest[:, b[i] : b[i + 1]] @ p.T - 0.5 * (p**2).sum(axis=1), axis=1)
         return out
 
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that the codes stand for."""
+        return np.concatenate([p[codes[:, i]] for i, p in enumerate(self.parts)], axis=1)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with the part centroids: queries x parts x 256."""
         b = self.bounds
@@ -94,23 +99,6 @@ def fit(sample: np.ndarray, lists: int, parts: int) -> Quantiser:
     return q
 
 
-def lists_to_read(q: Quantiser, sample: np.ndarray, k: int, target: float = TARGET, trials: int = TRIALS) -> int:
-    """How many of its nearest lists a query reads so that they hold ``target`` of the true neighbours.
-
-    Measured by brute force within the sample, whose neighbours lie further apart
-    than those among all vectors, so on the safe side.
-    """
-    asked = sample[:trials]
-    if len(sample) < 2:
-        return len(q.coarse)
-    s = asked @ sample.T
-    s[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    near = np.argsort(-s, axis=1)[:, : min(k, len(sample) - 1)]
-    place = np.argsort(np.argsort(-(asked @ q.coarse.T), axis=1, kind="stable"), axis=1)
-    needed = np.take_along_axis(place, q.lists(sample)[near], axis=1) + 1
-    return int(np.ceil(np.quantile(needed, target)))
-
-
 def usable(vector: str) -> Column:
     """Not null or zero, without null or non-finite components."""
     finite = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
@@ -122,8 +110,8 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def nearest(
-    df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, target: float = TARGET, probe_rows: int = PROBE_ROWS,
-    rerank: int = RERANK, most_lists: int = MOST_LISTS, exact: bool = False, queries: int = QUERIES,
+    df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, probe_rows: int = PROBE_ROWS,
+    most_lists: int = MOST_LISTS, exact: bool = False, queries: int = QUERIES,
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k vectors of largest inner product with each query vector.
 
@@ -132,14 +120,13 @@ def nearest(
     that are null, zero or hold null or non-finite components, and rows with null
     ids, take no part, nor do vectors of another length than most; rows that repeat
     an id count once, by their smallest vector. The centroids are fitted on at most
-    ``sample`` vectors; all are indexed, in at most ``most_lists`` lists. A query reads
-    as many lists as hold ``target`` of the true neighbours in the sample, and so many
-    that they hold ``probe_rows`` vectors and k others; of what it reads the best
-    k * ``rerank`` by quantised score are ranked by their vectors. ``exact`` compares
-    every query with every vector instead. Vectors may be of any scale whose products
-    are finite. An empty table gives no rows; other columns are ignored.
-
-    Queries go to all tasks in batches of about ``queries``; a task keeps the best of
+    ``sample`` vectors; all are indexed, in at most ``most_lists`` lists. A query first
+    reads its nearest lists, so many that they hold ``probe_rows`` vectors and k others,
+    then all others that may hold a better one by their bounds; none is missed. ``exact``
+    compares every query with every vector, without bounds. Vectors may be of any scale
+    whose products are finite. An empty table gives no rows; other columns are ignored.
+
+    Queries go to all tasks in batches of about ``queries``; a task keeps the k best of
     each query over all it reads, so the index is written once and never shuffled again.
     """
     spark = df.sparkSession
@@ -149,11 +136,11 @@ def nearest(
     if not widths:
         return spark.createDataFrame([], schema)
     dims, total, most = widths[0]
-    # all but the last ranking works on vectors divided by a power of two near the largest component
-    scale = float(2.0 ** -np.ceil(np.log2(most)))
+    # products are of vectors divided by powers of two near their largest component, which takes no bit off them
+    power = int(np.frexp(most)[1])
     rows = rows.where(F.size("v") == dims).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     taken = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
-    x = _matrix(taken.column(0).combine_chunks(), dims) * scale
+    x = np.ldexp(_matrix(taken.column(0).combine_chunks(), dims), -power)
     n_lists = int(max(1, min(most_lists, total // LIST_ROWS, len(x) // 4)))
     q = fit(x, n_lists, dims // 2 if dims % 2 == 0 else dims)
     index = spark.sparkContext.broadcast(q)
@@ -161,159 +148,188 @@ def nearest(
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = index.value
         for b in batches:
-            x = _matrix(b.column(1), dims) * scale
+            x = np.ldexp(_matrix(b.column(1), dims), -power)
             lists = q.lists(x) if len(x) else np.zeros(0, np.int64)
-            codes = pa.array([c.tobytes() for c in q.codes(x, lists)] if len(x) else [], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(lists.astype(np.int32)), codes], names=["id", "v", "q", "list", "codes"])
+            codes = q.codes(x, lists)
+            far, off = _errors(q, x, lists, codes)
+            packed = pa.array([c.tobytes() for c in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists.astype(np.int32)), packed, pa.array(far), pa.array(off)], names=["id", "v", "q", "list", "codes", "far", "off"])
 
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
-    placed = rows.mapInArrow(assign, "id long, v array<double>, q boolean, list int, codes binary")
+    placed = rows.mapInArrow(assign, "id long, v array<double>, q boolean, list int, codes binary, far double, off double")
     # a task has its share of every list, however large that is
     entries = cut(placed.sortWithinPartitions("list", "id"), "index")
-    # one number for each list
-    held = np.zeros(n_lists, dtype=np.int64)
-    for r in entries.groupBy("list").count().collect():
-        held[r[0]] = r[1]
-    least = lists_to_read(q, x, k, target)
-    enough = max(probe_rows, k + 1)
-    keep = 2 * k if exact else max(k * rerank, k)
-    scanned = entries.select("id", "list", "v" if exact else "codes").coalesce(tasks)
+    # two numbers for each list
+    held, radius = np.zeros(n_lists, dtype=np.int64), np.zeros(n_lists)
+    for r in entries.groupBy("list").agg(F.count("*"), F.max("far")).collect():
+        held[r[0]], radius[r[0]] = r[1], r[2]
+    scanned = entries.select("id", "list", "v", "codes", "off").coalesce(tasks)
+
+    def scan(asked: _Asked) -> DataFrame:
+        shared = spark.sparkContext.broadcast(asked)
+        best = scanned.mapInArrow(lambda batches: _scan(batches, index.value, shared.value, dims, power, k, exact), "query_id long, vec_id long, score double, s double")
+        # each task has given the k best of its own rows
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return best.where(F.col("rank") <= k)
+
     batches = max(1, -(-entries.where("q").count() // queries))
     found = []
     for number in range(batches):
         own = entries.where("q").where(F.pmod(F.xxhash64("id"), F.lit(batches)) == number).select("id", "v").orderBy("id").toArrow()
-        if own.num_rows:
-            # a batch's ids and vectors, of a fixed number at any size of the table
-            asked = _Asked(own["id"].to_numpy(), _matrix(own["v"].combine_chunks(), dims) * scale)
-            if not exact:
-                asked.probe(q, held, least, enough)
-            shared = spark.sparkContext.broadcast(asked)
-            found.append(scanned.mapInArrow(lambda batches, shared=shared: _scan(batches, index.value, shared.value, dims, scale, keep, exact), "query long, id long, s double"))
+        if not own.num_rows:
+            continue
+        # a batch's ids and vectors, of a fixed number at any size of the table
+        asked = _Asked(own["id"].to_numpy(), _matrix(own["v"].combine_chunks(), dims))
+        if exact:
+            found.append(scan(asked))
+            continue
+        asked.probe(q, held, max(probe_rows, k + 1))
+        first = cut(scan(asked), "probed")
+        found.append(first)
+        # one number for each query of the batch that has k neighbours by now
+        known = first.where(F.col("rank") == k).select("query_id", "s").toArrow()
+        asked.narrow(q, held, radius, known["query_id"].to_numpy(), known["s"].to_numpy())
+        if asked.reads.any():
+            found.append(scan(asked))
     if not found:
         return spark.createDataFrame([], schema)
     near = reduce(DataFrame.unionAll, found)
-    best = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "id"))).where(F.col("place") <= keep).select("query", "id")
-    vectors = entries.select("id", "v")
-    both = best.join(vectors, "id").join(vectors.select(F.col("id").alias("query"), F.col("v").alias("w")), "query")
-
-    def rank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = np.einsum("ij,ij->i", _matrix(b.column(2), dims), _matrix(b.column(3), dims))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    scored = both.select("query", "id", "v", "w").mapInArrow(rank, "query_id long, vec_id long, score double")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-@dataclass
-class _Asked:
-    """A batch of queries, each divided by its largest component, and the lists that they read."""
+def _errors(q: Quantiser, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distance from the list's centroid, from the quantised vector), both rounded up.
 
-    ids: np.ndarray
-    x: np.ndarray
-    #: lists x queries
-    reads: np.ndarray | None = None
+    The second holds what sums of 24 bits may be off besides: half a unit in each term
+    and step, four times that to be safe, and what is too small for them.
+    """
+    centre, rest = q.coarse[lists], q.decoded(codes)
+    size = np.linalg.norm(centre, axis=1) + np.linalg.norm(rest, axis=1)
+    far = np.linalg.norm(x - centre, axis=1) * (1 + 1e-9) + size * 1e-12
+    off = np.linalg.norm(x - centre - rest, axis=1) * (1 + 1e-6) + size * (len(q.parts) + 8) * 2.0**-22 + 1e-36
+    return far, off
 
-    def __post_init__(self) -> None:
-        self.x = self.x / np.abs(self.x).max(axis=1, keepdims=True)
 
-    def probe(self, q: Quantiser, held: np.ndarray, least: int, enough: int) -> None:
+class _Asked:
+    """A batch of queries, each divided by a power of two near its largest component, and the lists that they read."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.ids = ids
+        self.power = np.frexp(np.abs(x).max(axis=1))[1]
+        self.x = np.ldexp(x, -self.power[:, None])
+        self.norms = np.linalg.norm(self.x, axis=1) * (1 + 1e-6)
+        #: the product that a vector has to reach
+        self.least = np.full(len(ids), -np.inf)
+        #: lists x queries
+        self.reads = np.zeros((0, len(ids)), dtype=bool)
+
+    def probe(self, q: Quantiser, held: np.ndarray, enough: int) -> None:
+        """The nearest lists."""
         self.reads = np.zeros((len(held), len(self.ids)), dtype=bool)
         for i, o in enumerate(np.argsort(-(self.x @ q.coarse.T), axis=1, kind="stable")):
-            n = int(np.searchsorted(np.cumsum(held[o]), enough)) + 1
-            self.reads[o[: max(least, n)], i] = True
+            self.reads[o[: int(np.searchsorted(np.cumsum(held[o]), enough)) + 1], i] = True
+
+    def narrow(self, q: Quantiser, held: np.ndarray, radius: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        """Those lists, of the ones not read so far, whose vectors may reach ``s``, the product of the last neighbour of ``ids``."""
+        self.least[np.searchsorted(self.ids, ids)] = s
+        highest = q.coarse @ self.x.T + radius[:, None] * self.norms
+        self.reads = ~self.reads & (held > 0)[:, None] & (highest >= self.least)
 
 
 #: A run of queries that reads this share of all lists or more is scored against all rows at once, and what it doesn't read is left out after that.
 DENSE = 0.25
 
 
-def _scan(batches: Iterable[pa.RecordBatch], q: Quantiser, asked: _Asked, dims: int, scale: float, keep: int, exact: bool) -> Iterator[pa.RecordBatch]:
-    """(query, id, s): the ``keep`` best of each query among a task's vectors."""
-    runs = [(low, min(low + RUN, len(asked.ids)), _Best(keep)) for low in range(0, len(asked.ids), RUN)]
-    base = q.coarse @ asked.x.T
+def _scan(batches: Iterable[pa.RecordBatch], q: Quantiser, asked: _Asked, dims: int, power: int, k: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """(query, id, score, scaled score): the k best of each query among a task's vectors."""
+    runs = [(slice(low, low + RUN), _Best(k, asked.least[low : low + RUN])) for low in range(0, len(asked.ids), RUN)]
     for b in batches:
         for start in range(0, b.num_rows, STEP):
             part = b.slice(start, STEP)
-            ids, lists = part.column(0).to_numpy(), part.column(1).to_numpy()
-            if exact:
-                rows = _matrix(part.column(2), dims) * scale
-            else:
-                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-            for low, high, best in runs:
-                every = np.arange(low, high)
+            ids, lists, off = (part.column(c).to_numpy() for c in (0, 1, 4))
+            rows = np.ldexp(_matrix(part.column(2), dims), -power)
+            codes = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(ids), -1)
+            for at, best in runs:
                 if exact:
-                    # equal vectors may differ in the last bits of a product; rounded, they tie and the smaller id is kept
-                    _add(best, every, asked, ids, np.round(rows @ asked.x[low:high].T * 2.0**40))
-                    continue
-                tables = q.tables(asked.x[low:high]).transpose(1, 2, 0).copy()  # parts x 256 x queries
-                if asked.reads[:, low:high].mean() >= DENSE:
-                    s = base[lists, low:high]
-                    for i in range(codes.shape[1]):
-                        s += np.take(tables[i], codes[:, i], axis=0)
-                    s[~asked.reads[lists, low:high]] = -np.inf
-                    _add(best, every, asked, ids, s)
-                    continue
-                for one in np.unique(lists):
-                    of = np.flatnonzero(asked.reads[one, low:high])
-                    if not len(of):
-                        continue
-                    at = np.flatnonzero(lists == one)
-                    s = np.tile(base[one, low + of], (len(at), 1))
-                    for i in range(codes.shape[1]):
-                        s += np.take(tables[i][:, of], codes[at, i], axis=0)
-                    _add(best, low + of, asked, ids[at], s)
-    for _, _, best in runs:
-        found, ids, s = best.all()
-        yield pa.RecordBatch.from_arrays([pa.array(asked.ids[found]), pa.array(ids), pa.array(s)], names=["query", "id", "s"])
-
-
-def _add(best: _Best, of: np.ndarray, asked: _Asked, ids: np.ndarray, s: np.ndarray) -> None:
-    """Scores (ids x queries) but those of queries with themselves."""
-    s[ids[:, None] == asked.ids[of]] = -np.inf
-    best.add(of, ids, s)
+                    pairs = [np.divmod(np.arange(len(ids) * len(asked.ids[at])), len(asked.ids[at]))]
+                else:
+                    pairs = _may_be(q, asked.x[at], asked.norms[at], asked.reads[:, at], lists, codes, off, best)
+                for row, query in pairs:
+                    for cut_at in range(0, len(row), PAIRS):
+                        i, j = row[cut_at : cut_at + PAIRS], query[cut_at : cut_at + PAIRS]
+                        other = ids[i] != asked.ids[at][j]
+                        i, j = i[other], j[other]
+                        best.add(j, ids[i], np.einsum("ij,ij->i", rows[i], asked.x[at][j]))
+                best.settle()
+    for at, best in runs:
+        score = np.ldexp(best.s, power + asked.power[at][best.query])
+        yield pa.RecordBatch.from_arrays([pa.array(asked.ids[at][best.query]), pa.array(best.id), pa.array(score), pa.array(best.s)], names=["query_id", "vec_id", "score", "s"])
+
+
+def _may_be(q: Quantiser, x: np.ndarray, norms: np.ndarray, reads: np.ndarray, lists: np.ndarray, codes: np.ndarray, off: np.ndarray, best: _Best) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, queries) of those pairs whose product may be among the best, by the lists read and the bounds."""
+    present, of_row = np.unique(lists, return_inverse=True)
+    if not reads[present].any():
+        return
+    tables = q.tables(x).transpose(1, 2, 0).astype(np.float32)  # parts x 256 x queries
+    base = (q.coarse[present] @ x.T).astype(np.float32)
+    if reads[present].mean() >= DENSE:
+        s = base[of_row]
+        for i in range(codes.shape[1]):
+            s += np.take(tables[i], codes[:, i], axis=0)
+        read = reads[lists]
+        yield np.nonzero(read & best.reach(s, off, norms, np.arange(len(x)), read))
+        return
+    for n, one in enumerate(present):
+        of = np.flatnonzero(reads[one])
+        if len(of):
+            at = np.flatnonzero(of_row == n)
+            s = np.tile(base[n, of], (len(at), 1))
+            for i in range(codes.shape[1]):
+                s += np.take(tables[i][:, of], codes[at, i], axis=0)
+            row, column = np.nonzero(best.reach(s, off[at], norms[of], of, None))
+            yield at[row], of[column]
 
 
 class _Best:
     """The ``keep`` largest scores of each query so far, of equal ones those of the smallest ids."""
 
-    def __init__(self, keep: int) -> None:
-        self.keep = keep
+    def __init__(self, keep: int, least: np.ndarray) -> None:
+        self.keep, self.bound = keep, least.copy()
         self.query, self.id, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)
         self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.waiting = 0
-        self.bound = np.zeros(0, np.float64)
+
+    def reach(self, s: np.ndarray, off: np.ndarray, norms: np.ndarray, queries: np.ndarray, read: np.ndarray | None) -> np.ndarray:
+        """Where scores (rows x queries), right to within ``off`` times ``norms``, may reach the bounds."""
+        width = off.astype(np.float32)[:, None] * norms.astype(np.float32)
+        hit = s + width >= np.nextafter(self.bound[queries].astype(np.float32), np.float32(-np.inf))
+        # one more than kept: the query itself may be among the rows
+        place = len(s) - self.keep - 1
+        if place >= 0 and np.count_nonzero(hit) > 4 * self.keep * len(queries):
+            sure = s - width
+            if read is not None:
+                sure[~read] = -np.inf
+            sure = np.partition(np.ascontiguousarray(sure.T), place, axis=1)[:, place]
+            self.bound[queries] = np.maximum(self.bound[queries], np.nextafter(sure, np.float32(-np.inf)))
+            hit = s + width >= np.nextafter(self.bound[queries].astype(np.float32), np.float32(-np.inf))
+        return hit
 
     def add(self, queries: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
-        """``s`` is ids x queries."""
-        top = queries.max() + 1
-        if len(self.bound) < top:
-            self.bound = np.concatenate([self.bound, np.full(top - len(self.bound), np.finfo(np.float64).min)])
-        hit = s >= self.bound[queries]
-        if len(s) > self.keep and np.count_nonzero(hit) > 4 * self.keep * len(queries):
-            # the ``keep``-th best of these rows is a bound for all
-            least = np.partition(np.ascontiguousarray(s.T), len(s) - self.keep, axis=1)[:, len(s) - self.keep]
-            self.bound[queries] = np.maximum(self.bound[queries], least)
-            hit = s >= self.bound[queries]
-        row, column = np.nonzero(hit)
-        self.new.append((queries[column], ids[row], s[row, column]))
-        self.waiting += len(row)
-        if self.waiting > max(100_000, 2 * len(self.s)):
+        self.new.append((queries, ids, s))
+        if sum(len(n[0]) for n in self.new) > max(100_000, 2 * len(self.s)):
             self.settle()
 
     def settle(self) -> None:
+        if not self.new:
+            return
         query, i, s = (np.concatenate([old, *(n[c] for n in self.new)]) for c, old in enumerate((self.query, self.id, self.s)))
         order = np.lexsort((i, -s, query))
         query = query[order]
         begin = np.flatnonzero(np.diff(query, prepend=-1))
         place = np.arange(len(query)) - np.repeat(begin, np.diff(np.append(begin, len(query))))
         order, full = order[place < self.keep], order[place == self.keep - 1]
-        self.bound[query[place == self.keep - 1]] = s[full]
+        last = query[place == self.keep - 1]
+        self.bound[last] = np.maximum(self.bound[last], s[full])
         self.query, self.id, self.s = query[place < self.keep], i[order], s[order]
-        self.new, self.waiting = [], 0
-
-    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.new:
-            self.settle()
-        return self.query, self.id, self.s
+        self.new = []

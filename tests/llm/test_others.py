@@ -132,6 +132,31 @@ def test_neighbours_at_any_scale(spark, scale):
     assert hit / 600 >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["heavy tails", "few long", "unlike the sample", "tight groups", "one far off"])
+def test_neighbours_of_other_rows(spark, kind):
+    """Vectors that centroids don't fit: all neighbours are those of brute force."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 16))
+    if kind == "heavy tails":
+        x = x / np.abs(rng.normal(size=(6000, 1))) ** 2
+    elif kind == "few long":
+        x[rng.integers(0, 6000, 60)] *= 50
+    elif kind == "unlike the sample":
+        x[1::2] = x[1::2] * 0.01 + 5 * rng.normal(size=16)
+    elif kind == "tight groups":
+        x = rng.normal(size=(6, 16))[rng.integers(0, 6, 6000)] + x * 1e-4
+    else:
+        x[17] *= 1e12
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 100 == 0, sample=400, probe_rows=100).collect()}
+    for q in range(0, 6000, 100):
+        s = np.einsum("ij,j->i", x.astype(float), x[q].astype(float))
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(6000), -s))[:20]
+        assert [got[q, i + 1][0] for i in range(20)] == want.tolist() and np.allclose([got[q, i + 1][1] for i in range(20)], s[want], rtol=1e-12)
+
+
 def test_exact_neighbours(spark):
     rng = np.random.default_rng(5)
     x = (rng.normal(size=(900, 8)) * 10.0 ** rng.integers(-20, 20, size=(900, 1))).astype(np.float32)
