@@ -99,18 +99,32 @@ def fit(rows: Iterable[tuple[list[str], int]], rounds: int = 100, smoothing: flo
     ratio = np.log((p + smoothing) / (p + smoothing).sum()) - np.log((q + smoothing) / (q + smoothing).sum())
     # a ratio from a handful of words is noise
     ratio = np.where((seen >= 3) & (np.abs(ratio) * np.sqrt(seen) > 3), ratio, 0)
+    # features in use by their number among these, of each part's words; held as 32-bit numbers and widened a part at a time
+    kept = np.flatnonzero(ratio).astype(np.int32)
+    number = np.full(FEATURES, -1, dtype=np.int32)
+    number[kept] = np.arange(len(kept), dtype=np.int32)
+    scale = ratio[kept]
+    del p, q, seen, ratio, positive, negative
     found = []
     for low, part in chunks:
         feature, who = ngrams(part)
-        used = ratio[feature] != 0
-        found.append((feature[used].astype(np.int32), (low + who[used]).astype(np.int32)))
-    feature, who = (np.concatenate(x) for x in zip(*found))
-    kept, feature = np.unique(feature, return_inverse=True)
-    scale = ratio[kept]
+        feature = number[feature]
+        found.append((low, len(part), feature[feature >= 0], who[feature >= 0].astype(np.int32)))
+    total = len(names)
+    del names, chunks, number
     by_class = np.where(labels == 1, weight / labels.sum(), (1 - weight) / (len(labels) - labels.sum()))
 
     def logits(w: np.ndarray, b: float) -> np.ndarray:
-        return np.bincount(row, np.bincount(who, (w * scale)[feature], minlength=len(names))[word], minlength=len(labels)) + b
+        value, of_word = w * scale, np.zeros(total)
+        for low, n, feature, who in found:
+            of_word[low : low + n] = np.bincount(who, value[feature], minlength=n)
+        return np.bincount(row, of_word[word], minlength=len(labels)) + b
+
+    def gradient(error: np.ndarray) -> np.ndarray:
+        of_word, g = np.bincount(word, error[row], minlength=total), np.zeros(len(kept))
+        for low, n, feature, who in found:
+            g += np.bincount(feature, of_word[low : low + n][who], minlength=len(kept))
+        return g * scale
 
     # AdaGrad over all rows, both classes with the same weight; a weight below 0 would turn its ratio's sign
     # without any sign a text is no likelier of label 1 than the labels have it, and not predicted
@@ -119,7 +133,7 @@ def fit(rows: Iterable[tuple[list[str], int]], rounds: int = 100, smoothing: flo
     past_w, past_b = np.full(len(kept), 1e-8), 1e-8
     for _ in range(rounds):
         error = by_class * (1 / (1 + np.exp(-np.clip(logits(w, b), -30, 30))) - labels)
-        g = np.bincount(feature, np.bincount(word, error[row], minlength=len(names))[who], minlength=len(kept)) * scale + penalty
+        g = gradient(error) + penalty
         past_w += g * g
         past_b += error.sum() ** 2
         w = np.maximum(0, w - 0.1 * g / np.sqrt(past_w))

@@ -1,6 +1,7 @@
 """Pages, chat, neighbours, toxicity, sharding."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -216,6 +217,19 @@ def test_toxicity_held_out(spark):
     assert toxicity.scores(d, toxicity.train(d, y.limit(0))).where("score = 0.5").count() == 601
 
 
+def test_toxicity_fit_in_little_memory():
+    """The n-grams of many words are held once, in 32 bits; what a round makes of them comes and goes part by part."""
+    rnd = random.Random(2)
+    word = lambda y: "".join(rnd.choice("abcdefgh" if y else "fghijklm") for _ in range(12))
+    rows = [([word(i % 2) for _ in range(60)], i % 2) for i in range(2000)]
+    tracemalloc.start()
+    model = toxicity.fit(iter(rows), rounds=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.word_logits(["abcabc"])[0] > 0 > model.word_logits(["klmklm"])[0]
+    assert most < 130e6
+
+
 def test_sharding_is_level_and_cheapest(spark):
     docs = [(i, "x" * random.Random(i).randrange(200), i % 9 // 4) for i in range(3000)] + [(9000, "y" * 5000, 0), (None, None, 1), (None, None, 1)]
     plan = sharding.reshard(spark.createDataFrame(docs, "doc_id long, text string, old int"), F.col("old"), 3, shards=5).collect()
