@@ -39,12 +39,13 @@ STEPS = 1000
 #: Tokens of the line on which fillers and rests meet; a stretch holds few of either.
 STRETCH = 8192
 #: Entries after which a worker's cache of encoded words begins anew; words of the one before are taken over as they come up.
-CACHE_ENTRIES = 120_000
+CACHE_ENTRIES = 360_000
 
 #: The tokenizer's own pieces, for printable ASCII in lower case.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 _MARKS = frozenset(".,;:!?")
+_LATIN = re.compile("[\0-\u024f]+").fullmatch
 
 def _plain(text: str) -> str:
     """The text in lower case, with fewer different words and the same ids.
@@ -97,7 +98,7 @@ class Encoder(dict):
         piece, rest = self.piece, []
         for w in words:
             stem = w[:-1] if w[-1:] in _MARKS else w  # most words are letters, or letters and a mark
-            if stem.isalpha() and stem.islower() and (stem.isascii() or max(stem) < "\u0250"):
+            if stem.isalpha() and stem.islower() and (stem.isascii() or _LATIN(stem)):
                 if stem is w:
                     piece(w)
                 else:
@@ -121,13 +122,26 @@ class Encoder(dict):
         if len(self) > CACHE_ENTRIES:
             self.before = self.copy()
             self.clear()
-        own = {i: self.whole(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        split = [[] if i in own else _plain(t).replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        new = set().union(*split).difference(self)
-        known = new.intersection(self.before)
-        self.update((w, self.before[w]) for w in known)
-        self.learn(new - known)
-        return [own[i] if i in own else b"".join(map(self.__getitem__, words)) for i, words in enumerate(split)]
+        out: list[bytes | list[bytes | None]] = []
+        gaps: list[tuple[list[bytes | None], list[int], list[str]]] = []
+        for t in texts:
+            if any(a in t for a in self.added):
+                out.append(self.whole(t))
+                continue
+            words = _plain(t).replace("\n", " ").split(" ")
+            found = list(map(self.get, words))  # each word is looked up once
+            out.append(found)
+            if None in found:
+                at = [i for i, ids in enumerate(found) if ids is None]
+                gaps.append((found, at, [words[i] for i in at]))
+        new = set().union(*(words for _, _, words in gaps))
+        again = self.before.keys() & new
+        self.update((w, self.before[w]) for w in again)
+        self.learn(new - again)
+        for found, at, words in gaps:
+            for i, w in zip(at, words):
+                found[i] = self[w]
+        return [x if isinstance(x, bytes) else b"".join(x) for x in out]
 
 
 def encoder(raw: bytes) -> Encoder:

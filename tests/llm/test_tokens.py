@@ -114,3 +114,21 @@ def test_packing_of_any_lengths(spark, lengths):
     assert all((s, n - 1) in places and n <= 16 for s, n in used.items())
     if len(lengths) > 100:
         assert len(used) <= 1.12 * sum(lengths) / 16 + 2
+
+
+def test_words_are_encoded_once():
+    """Many more words than a cache held before come again; none goes to the BPE a second time."""
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        e = packing.Encoder(f.read())
+    learned = []
+
+    def learn(words):
+        learned.extend(words)
+        e.update((w, w.encode()) for w in words)
+
+    e.learn = learn
+    docs = [" ".join(f"w{i}" for i in range(low, low + 1000)) for low in range(0, 300_000, 1000)]
+    for _ in range(2):
+        for low in range(0, len(docs), 50):
+            assert e.encode(docs[low : low + 50]) == [d.replace(" ", "").encode() for d in docs[low : low + 50]]
+    assert len(learned) == len(set(learned)) == 300_000
