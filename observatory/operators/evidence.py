@@ -14,8 +14,13 @@ def signed(x: Column) -> Column:
     return F.coalesce(F.format_string("%+d", x), F.lit(UNKNOWN))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x with so many digits after the point, as C and Python print it: its exact binary value is rounded, halves to the even digit."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
+
+
 def fraction(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", x), F.lit(UNKNOWN))
+    return F.coalesce(fixed(x, 2), F.lit(UNKNOWN))
 
 
 def repository_evidence(scored: DataFrame) -> DataFrame:
@@ -27,7 +32,7 @@ def repository_evidence(scored: DataFrame) -> DataFrame:
     complete = F.when(F.col("stars7.complete"), "complete").otherwise("partial")
     items = {
         "counts": F.concat(F.lit("stars="), F.col("latest.stars").cast("string"), F.lit(" forks="), F.col("latest.forks").cast("string")),
-        "growth": F.when(F.col("stars7").isNull(), "stars over 7 days: " + UNKNOWN).otherwise(F.concat(F.lit("stars over 7 days: "), signed(F.col("stars7.delta")), F.lit(" ("), F.coalesce(F.format_string("%.1f%%", growth), F.lit(UNKNOWN)), F.lit(", "), complete, F.lit(" window)"))),
+        "growth": F.when(F.col("stars7").isNull(), "stars over 7 days: " + UNKNOWN).otherwise(F.concat(F.lit("stars over 7 days: "), signed(F.col("stars7.delta")), F.lit(" ("), F.coalesce(F.concat(fixed(growth, 1), F.lit("%")), F.lit(UNKNOWN)), F.lit(", "), complete, F.lit(" window)"))),
         "momentum": F.concat(F.lit("momentum="), fraction(F.col("momentum"))),
         "trend": F.concat(F.lit("trend="), F.coalesce("trend", F.lit(UNKNOWN))),
     }

@@ -100,7 +100,7 @@ def field_delta(field: str, d: int) -> Column:
     delta = current - base
     made = F.struct(
         base.alias("base"), current.alias("current"), delta.alias("delta"), span.alias("span_days"), (delta / span).alias("per_day"),
-        (F.try_divide(delta.cast("double"), base) * 100).alias("growth_pct"), (~w["fallback"] & (gap <= d * 24 * GAP_SHARE)).alias("complete"),
+        F.try_divide(delta * 100.0, base).alias("growth_pct"), (~w["fallback"] & (gap <= d * 24 * GAP_SHARE)).alias("complete"),
     )
     return F.when((F.col("n") >= 2) & current.isNotNull() & base.isNotNull(), made)
 
