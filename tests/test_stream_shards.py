@@ -34,6 +34,15 @@ def test_answers_of_many_keys_in_two_shards(spark, tmp_path):
     assert same(got, ingest.cached_answers(spark.createDataFrame(rows, schema), "k", "at", "seq", "document", "value", ttl, keep))
 
 
+def test_an_entry_stays_until_its_last_day_is_closed(spark, tmp_path):
+    schema = "k long, at timestamp, seq long, document boolean, value string"
+    hour = lambda h: T0 + timedelta(hours=h)
+    rows = [(1, hour(12), 1, True, "v"), (1, hour(54), 2, False, None), (2, hour(90), 3, False, None), (None, hour(900), 4, None, None)]
+    source = stream_of(spark, tmp_path, rows, schema, files=4)  # the third file's watermark is within the entry's last day
+    got = observations.run(state.answers(source, "k", "at", "seq", "document", "value", timedelta(hours=3), timedelta(hours=48), "1 day"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert sorted((r.seq, r.answer, r.value) for r in got.collect()) == [(2, "stale", "v"), (3, "miss", None)]
+
+
 def test_changes_of_many_keys_in_one_shard(spark, tmp_path):
     rnd = random.Random(8)
     schema = "k double, at timestamp, seq long, v int, w string"
