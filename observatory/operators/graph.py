@@ -7,12 +7,17 @@ owner_id, momentum.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from observatory.functions.expr import bounded, damped, jaccard, level, log_share, mean_or_zero
 from observatory.operators.components import connected_components
 from observatory.operators.developers import MOMENTUM_FULL, SHARE_CAP
+from observatory.shared import cut
 
 # Fixed values of the scores.
 CONFIDENCE = (0.20, 0.40, 0.25, 0.15)
@@ -75,32 +80,111 @@ def components(all_nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
     return out.join(sizes, "component").select("node", "component", "size")
 
 
-#: A node whose groups have more members than this together has its neighbours counted by bitmaps, not by pairs ...
+#: A node whose groups have more members than this together has its neighbours counted in tiles, not by pairs ...
 DENSE = 4096
-#: ... in which a group of more than this many is one bitmap for all its members.
+#: ... to which a group of more than this many comes whole, not as pairs.
 GROUP = 256
+#: Powers of two: a tile is bits of 8,192 nodes by 32,768 others, 32 MB in a task.
+ROWS, COLUMNS = 13, 15
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column places (lists) as binary: 16-bit places, or bits where those are shorter."""
+    for batch in batches:
+        at = batch.schema.names.index("places")
+        out = []
+        for x in batch.column(at):
+            x = np.asarray(x.values, dtype=np.uint16)
+            if 2 * len(x) >= 1 << COLUMNS - 3:
+                bits = np.zeros(1 << COLUMNS, np.uint8)
+                bits[x] = 1
+                x = np.packbits(bits, bitorder="little")
+            out.append(x.tobytes())
+        yield batch.set_column(at, "places", pa.array(out, pa.binary()))
+
+
+def _places(packed: bytes) -> np.ndarray:
+    if len(packed) < 1 << COLUMNS - 3:
+        return np.frombuffer(packed, np.uint16)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little"))
+
+
+def _bits(packed: bytes) -> np.ndarray:
+    if len(packed) < 1 << COLUMNS - 3:
+        bits = np.zeros(1 << COLUMNS, np.uint8)
+        bits[np.frombuffer(packed, np.uint16)] = 1
+        packed = np.packbits(bits, bitorder="little").tobytes()
+    return np.frombuffer(packed, np.uint64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n) from rectangles (row, col, present, own, places), a tile's one after another, the widest first: how many of a tile's columns each node has.
+
+    A node that has all nodes that are present in a tile's columns needs no more of them.
+    """
+    acc, touched, open_, tile = np.zeros((1 << ROWS, 1 << COLUMNS - 6), np.uint64), np.zeros(1 << ROWS, bool), np.ones(1 << ROWS, bool), None
+
+    def done() -> pa.RecordBatch:
+        at = np.flatnonzero(touched)
+        n = np.bitwise_count(acc[at]).sum(axis=1, dtype=np.int64)
+        acc[at] = 0
+        touched[:], open_[:] = False, True
+        return pa.record_batch({"node": pa.array((tile[0] << ROWS) + at, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    for batch in batches:
+        for row, col, present, own, places in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if (row, col) != tile:
+                if tile is not None:
+                    yield done()
+                tile = (row, col)
+            at = _places(own)
+            at = at[open_[at]]
+            if not len(at):
+                continue
+            acc[at] |= _bits(places)
+            touched[at] = True
+            if 16 * len(places) >= present:  # a look is worth it for large parts of what is there
+                open_[at] = np.bitwise_count(acc[at]).sum(axis=1, dtype=np.int64) < present
+    if tile is not None:
+        yield done()
 
 
 def neighbours(rows: DataFrame, by: str, node: str, dense: int = DENSE, group: int = GROUP) -> DataFrame:
     """(node, neighbours): how many other nodes (whole numbers) each node shares a ``by`` with; 0 where there are none.
 
     Pairs are made for nodes with few members in all their groups, at most ``dense``
-    each. For the others a large group is bitmaps of its members, made once, and a
-    node's neighbours are the union of its groups' bitmaps: bytes, not rows, grow with
-    the square of a group.
+    each. For the others equal small groups are one, whose distinct pairs are made, and
+    large groups are rectangles, members by members, of tiles of nodes by nodes. What is
+    shuffled of a large group is its members as bits or 16-bit numbers, once for each
+    tile; a tile's nodes have its columns as bits in one task, so bytes of memory at a
+    time are fixed and only bit operations grow with the square of a group.
     """
-    rows = rows.select(by, F.col(node).cast("bigint").alias(node)).distinct()
-    sized = rows.join(rows.groupBy(by).agg(F.count("*").alias("__n")), by)
-    total = sized.groupBy(node).agg((F.sum("__n") > dense).alias("__dense"))
-    sized = sized.join(total, node)
-    other = rows.select(by, F.col(node).alias("__other"))
-    few = sized.where("not __dense").join(other, by).groupBy(node).agg((F.count_distinct("__other") - 1).alias("neighbours"))
-    many, bucket, bit = sized.where("__dense"), F.bitmap_bucket_number("__other"), F.bitmap_bit_position("__other")
-    made = other.groupBy(by, bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
-    small = many.where(F.col("__n") <= group).join(other, by).groupBy(node, bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
-    large = many.where(F.col("__n") > group).join(made, by).select(node, "__bucket", "__bits")
-    union = small.union(large).groupBy(node, "__bucket").agg(F.bitmap_count(F.bitmap_or_agg("__bits")).alias("__count"))
-    return few.union(union.groupBy(node).agg((F.sum("__count") - 1).alias("neighbours")))
+    rows = rows.select(F.col(by).alias("__by"), F.col(node).cast("bigint").alias("__node")).where("__by is not null and __node is not null").distinct()
+    sized = rows.join(rows.groupBy("__by").agg(F.count("*").alias("__n")), "__by")
+    total = sized.groupBy("__node").agg((F.sum("__n") > dense).alias("__dense"))
+    sized = cut(sized.join(total, "__node"), "groups")
+    other = sized.select("__by", F.col("__node").alias("__other"))
+    few = sized.where("not __dense").join(other, "__by").groupBy("__node").agg((F.count_distinct("__other") - 1).alias("neighbours"))
+    # small groups: each set of members once, its pairs once
+    sets = sized.where(F.col("__n") <= group).groupBy("__by").agg(F.sort_array(F.collect_list("__node")).alias("__set"), F.max("__dense").alias("__any")).where("__any").select("__set").distinct()
+    half = sets.select(F.posexplode("__set").alias("__i", "__node"), "__set").select("__node", F.explode(F.slice("__set", F.col("__i") + 1, F.size("__set"))).alias("__other")).distinct()
+    pairs = half.union(half.where("__node <> __other").select(F.col("__other").alias("__node"), F.col("__node").alias("__other")))
+    pairs = pairs.join(sized.where("__dense").select("__node").distinct(), "__node", "left_semi")
+    place = lambda c, power: F.col(c).bitwiseAND((1 << power) - 1).cast("int").alias("place")
+    block = lambda c, power: F.shiftright(c, power)
+    pack = lambda x, keys, kinds: x.groupBy(*keys).agg(F.collect_list("place").alias("places")).mapInArrow(_packed, f"{kinds}, places binary")
+    kind = sized.schema["__by"].dataType.simpleString()
+    large = sized.where(F.col("__n") > group)
+    own = pack(large.where("__dense").select("__by", block("__node", ROWS).alias("row"), place("__node", ROWS)), ["__by", "row"], f"__by {kind}, row long").withColumnRenamed("places", "own")
+    every = pack(large.select("__by", block("__node", COLUMNS).alias("col"), place("__node", COLUMNS)), ["__by", "col"], f"__by {kind}, col long")
+    alone = pack(pairs.select("__node", block("__other", COLUMNS).alias("col"), place("__other", COLUMNS)), ["__node", "col"], "__node long, col long")
+    one = F.expr(f"unhex(concat(substr(hex(__node & {(1 << ROWS) - 1} | {1 << 16}), 4, 2), substr(hex(__node & {(1 << ROWS) - 1} | {1 << 16}), 2, 2)))")
+    rectangles = own.join(every, "__by").select("row", "col", "own", "places").union(alone.select(block("__node", ROWS), "col", one, "places"))
+    present = sized.select("__node").distinct().groupBy(block("__node", COLUMNS).alias("col")).agg(F.count("*").alias("present"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = rectangles.join(present, "col").select("row", "col", "present", "own", "places").repartition(parts, "row", "col").sortWithinPartitions("row", "col", F.desc(F.length("places")))
+    many = tiles.mapInArrow(_counted, "node long, n long").groupBy("node").agg((F.sum("n") - 1).alias("neighbours"))
+    return few.union(many).withColumnRenamed("__node", node)
 
 
 def developer_reach(developers: DataFrame, assoc: DataFrame, topics: DataFrame) -> DataFrame:

@@ -376,6 +376,11 @@ def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, Da
     return links, repos, dev.associated(links, repos), view(s, d, "repository_topics")
 
 
+def _associated(s: SparkSession, d: str) -> DataFrame:
+    """``developers.associated`` of all links, written once; a developer's rows lie together."""
+    return cut(dev.associated(view(s, d, "links"), view(s, d, "repositories")).repartition("developer_id"), "associated")
+
+
 @query
 def graph_nodes(s: SparkSession, d: str) -> DataFrame:
     return graph.nodes(view(s, d, "developers"), view(s, d, "repositories"), view(s, d, "repository_topics"))
@@ -393,8 +398,7 @@ def edge_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def reach_developer(s: SparkSession, d: str) -> DataFrame:
-    _, _, assoc, topics = _graph(s, d)
-    return graph.developer_reach(view(s, d, "developers"), assoc, topics)
+    return graph.developer_reach(view(s, d, "developers"), _associated(s, d), view(s, d, "repository_topics"))
 
 
 @query
@@ -411,13 +415,12 @@ def reach_topic(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def centrality_developer(s: SparkSession, d: str) -> DataFrame:
-    return graph.developer_centrality(view(s, d, "developers"), _graph(s, d)[2])
+    return graph.developer_centrality(view(s, d, "developers"), _associated(s, d))
 
 
 @query
 def centrality_repository(s: SparkSession, d: str) -> DataFrame:
-    _, repos, assoc, _ = _graph(s, d)
-    return graph.repository_centrality(repos, assoc)
+    return graph.repository_centrality(view(s, d, "repositories"), _associated(s, d))
 
 
 @query
