@@ -250,16 +250,116 @@ def topic_centrality(topics: DataFrame) -> DataFrame:
     return _centrality(_pairs(topics, "repository_id", "topic"), topics.select("topic").distinct(), "topic")
 
 
-def co_contributors(links: DataFrame, repositories: DataFrame) -> DataFrame:
-    """One row per unordered pair (a < b) of developers with a repository both contribute to; ownership doesn't count."""
-    side = lambda x: links.select("repository_id", *(F.col(c).alias(f"{x}_{c}") for c in ("developer_id", "share", "delta", "observations")))
-    rows = side("a").join(side("b"), "repository_id").where("a_developer_id < b_developer_id").join(repositories.select(F.col("id").alias("repository_id"), "momentum"), "repository_id")
-    a_has, b_has = F.col("a_delta").isNotNull(), F.col("b_delta").isNotNull()
-    positive = F.coalesce((F.col("a_delta") > 0).cast("int"), F.lit(0)) + F.coalesce((F.col("b_delta") > 0).cast("int"), F.lit(0))
-    term = F.when(a_has & b_has, positive / 2.0).when(a_has | b_has, positive * 0.25)
-    out = rows.groupBy(F.col("a_developer_id").alias("a"), F.col("b_developer_id").alias("b")).agg(
-        F.count("*").alias("shared_repositories"), F.avg(bounded(F.least("a_share", "b_share", F.lit(SHARE_CAP)) / SHARE_CAP)).alias("share_term"),
-        F.avg("momentum").alias("mean_momentum"), F.avg(term).alias("recent"), F.avg(((F.col("a_observations") > 0) & (F.col("b_observations") > 0)).cast("double")).alias("history"), F.avg((a_has & b_has).cast("double")).alias("recent_share"),
+#: A repository of more contributors than this has its pairs summed in tiles of 1,024 by 1,024 developers, so many repositories at a time.
+PAIRED, SIDE, AT_ONCE = 64, 10, 128
+_SUMS = ["shared_repositories", "share_sum", "momentum_sum", "momentum_n", "recent_sum", "recent_n", "seen_n", "both_n"]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, *_SUMS) from (row, col, momentum, a_place, a_share, a_flags, b_place, b_share, b_flags), a tile's repositories one after another.
+
+    Flags are 1 for a delta, 2 for one above zero, 4 for observations. Counts and sums
+    of products are products of matrices; the smaller share is taken one by one.
+    """
+    size = 1 << SIDE
+    share, smaller = np.zeros((size, size)), np.zeros((size, size))
+    sums = {n: np.zeros((size, size)) for n in _SUMS if n != "share_sum"} | {"share_sum": share}
+    held, tile = [], None
+
+    def flush() -> None:
+        one, has, up, seen = (np.zeros((2, size, len(held)), np.float32) for _ in range(4))
+        weights = np.array([m for m, *_ in held], dtype=np.float64)
+        for i, (_, *sides) in enumerate(held):
+            full = []
+            for s, (place, part, flags) in enumerate(sides):
+                one[s, place, i] = 1
+                for x, bit in ((has, 1), (up, 2), (seen, 4)):
+                    x[s, place, i] = (flags & bit) > 0
+                full.append(np.zeros(size))
+                full[s][place] = part
+            (p, q, _), (r, t, _) = sides
+            if 8 * len(p) * len(r) < size * size:
+                share[np.ix_(p, r)] += np.minimum.outer(q, t)
+            else:
+                np.minimum(full[0][:, None], full[1][None, :], out=smaller)
+                np.add(share, smaller, out=share)
+        known = ~np.isnan(weights)
+        sums["shared_repositories"] += one[0] @ one[1].T
+        sums["momentum_n"] += (one[0] * known.astype(np.float32)) @ one[1].T
+        sums["momentum_sum"] += (one[0] * np.where(known, weights, 0.0)) @ one[1].T.astype(np.float64)
+        sums["recent_sum"] += 0.25 * (up[0] @ (one[1] + has[1]).T + (one[0] + has[0]) @ up[1].T)
+        sums["recent_n"] += one[0] @ has[1].T + has[0] @ (one[1] - has[1]).T
+        sums["seen_n"] += seen[0] @ seen[1].T
+        sums["both_n"] += has[0] @ has[1].T
+        held.clear()
+
+    def done() -> Iterator[pa.RecordBatch]:
+        flush()
+        a, b = np.nonzero(np.triu(sums["shared_repositories"], 1) if tile[0] == tile[1] else sums["shared_repositories"])
+        for i in range(0, len(a), 100_000):
+            at = a[i : i + 100_000], b[i : i + 100_000]
+            out = {"a": (tile[0] << SIDE) + at[0], "b": (tile[1] << SIDE) + at[1]} | {n: sums[n][at] for n in _SUMS}
+            yield pa.record_batch({n: pa.array(x if x.dtype.kind == "f" else x.astype(np.int64)) for n, x in out.items()})
+        for x in sums.values():
+            x[:] = 0
+
+    for batch in batches:
+        row, col, momentum = (batch.column(i).to_pylist() for i in range(3))
+        lists = [batch.column(i) for i in range(3, 9)]
+        for i in range(batch.num_rows):
+            if (row[i], col[i]) != tile:
+                if tile is not None:
+                    yield from done()
+                tile = (row[i], col[i])
+            # copies, as the batch goes before these do
+            x = [np.array(c[i].values) for c in lists]
+            held.append((np.nan if momentum[i] is None else momentum[i], tuple(x[:3]), tuple(x[3:])))
+            if len(held) == AT_ONCE:
+                flush()
+    if tile is not None:
+        yield from done()
+
+
+def _pair_sums(rows: DataFrame, paired: int) -> DataFrame:
+    """(a, b, *_SUMS) of contributors ``rows`` (repository_id, developer_id, momentum, share, flags)."""
+    sized = rows.join(rows.groupBy("repository_id").agg(F.count("*").alias("__n")), "repository_id")
+    side = lambda x, y: x.select("repository_id", *(F.col(c).alias(f"{y}_{c}") for c in x.columns if c not in ("repository_id", "momentum", "__n")))
+    large = sized.where(F.col("__n") > paired).withColumn("block", F.shiftright("developer_id", SIDE)).withColumn("place", F.col("developer_id").bitwiseAND((1 << SIDE) - 1).cast("int"))
+    lists = large.groupBy("repository_id", "momentum", "block").agg(F.collect_list(F.struct("place", "share", "flags")).alias("x")).select("repository_id", "momentum", "block", "x.place", "x.share", "x.flags")
+    tiles = side(lists, "a").join(side(lists, "b"), "repository_id").where("a_block <= b_block").join(lists.select("repository_id", "momentum").distinct(), "repository_id")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = tiles.select(F.col("a_block").alias("row"), F.col("b_block").alias("col"), "momentum", "a_place", "a_share", "a_flags", "b_place", "b_share", "b_flags").repartition(parts, "row", "col").sortWithinPartitions("row", "col")
+    summed = tiles.mapInArrow(_shared, "a long, b long, " + ", ".join(f"{n} double" for n in _SUMS))
+    small = sized.where(F.col("__n") <= paired)
+    if small.isEmpty():
+        return summed  # a pair has all its repositories in one tile
+    pairs = side(small, "a").join(side(small, "b"), "repository_id").where("a_developer_id < b_developer_id").join(small.select("repository_id", "momentum").distinct(), "repository_id")
+    bit = lambda x, n: (F.col(f"{x}_flags").bitwiseAND(n) > 0).cast("int")
+    positive, has = bit("a", 2) + bit("b", 2), bit("a", 1) + bit("b", 1)
+    each = pairs.select(
+        F.col("a_developer_id").alias("a"), F.col("b_developer_id").alias("b"), F.lit(1.0).alias("shared_repositories"), F.least("a_share", "b_share").alias("share_sum"), F.coalesce("momentum", F.lit(0.0)).alias("momentum_sum"), F.col("momentum").isNotNull().cast("double").alias("momentum_n"),
+        (positive * has * 0.25).alias("recent_sum"), (has > 0).cast("double").alias("recent_n"), (bit("a", 4) * bit("b", 4)).cast("double").alias("seen_n"), (has == 2).cast("double").alias("both_n"),
+    )
+    add = lambda x: x.groupBy("a", "b").agg(*(F.sum(n).alias(n) for n in _SUMS))
+    return add(each.union(summed))
+
+
+def co_contributors(links: DataFrame, repositories: DataFrame, paired: int = PAIRED) -> DataFrame:
+    """One row per unordered pair (a < b) of developers (whole numbers) with a repository both contribute to; ownership doesn't count.
+
+    ``links`` has one row for each repository and developer. Pairs of small repositories
+    are joined; large ones, by which most pairs have many repositories in common, come
+    as lists of contributors to tiles of developers by developers, where they are
+    summed without a row for each pair and repository.
+    """
+    part = F.coalesce(bounded(F.least("share", F.lit(SHARE_CAP)) / SHARE_CAP), F.lit(1.0))
+    flags = F.when(F.col("delta").isNotNull(), 1).otherwise(0) + F.when(F.col("delta") > 0, 2).otherwise(0) + F.when(F.col("observations") > 0, 4).otherwise(0)
+    rows = links.select("repository_id", F.col("developer_id").cast("bigint").alias("developer_id"), part.alias("share"), flags.alias("flags")).where("developer_id is not null")
+    rows = rows.join(repositories.select(F.col("id").alias("repository_id"), F.col("momentum").cast("double").alias("momentum")), "repository_id")
+    n = F.col("shared_repositories")
+    out = _pair_sums(rows, paired).select(
+        "a", "b", n.cast("long").alias("shared_repositories"), (F.col("share_sum") / n).alias("share_term"), F.try_divide("momentum_sum", "momentum_n").alias("mean_momentum"),
+        F.try_divide("recent_sum", "recent_n").alias("recent"), (F.col("seen_n") / n).alias("history"), (F.col("both_n") / n).alias("recent_share"),
     )
     w, x, y, z = CO_CONTRIBUTION
     zero = lambda c: F.coalesce(c, F.lit(0.0))
